@@ -215,7 +215,7 @@ _REGION = """b as (select *, median(y1-y0) over (partition by page) as m, lag(y1
 c as (select *, prev is not null and (y0-prev>greatest(m*2.2,12) {sep}) as cut from b),
 r as (select *, 1+sum(cut::int) over (partition by page order by y0, x0, block_index) as region_no from c),
 a as (select source_id, page, region_no, count(*) as n, min(x0)-8 as a, min(y0)-8 as b, max(x1)+8 as c, max(y1)+8 as d from r group by 1, 2, 3)
-select source_id, page, cast(region_no as bigint) as region_no, cast(n as bigint) as blocks, greatest(0,a) as x0, greatest(0,b) as y0, least(260,c) as x1, least(160,d) as y1,
+select source_id, page, cast(region_no as bigint) as region_no, cast(n as bigint) as blocks, greatest(0,a) as x0, greatest(0,b) as y0, least(260,c) as x1, greatest(least(160,d), greatest(0,b)+24) as y1,
   floor((5500+least(n,8)*375+case when max(region_no) over (partition by page)>1 then 1000 else 0 end+5)/10)/1000 as confidence from a"""
 
 
@@ -449,8 +449,8 @@ def _(t):
     "",
     """with p as (select o_custkey%200 as source_id, o_orderkey as page, o_orderkey%3 as slips, case when o_orderkey%11>0 then concat('b', o_orderkey%2) end as bank,
       list_sort(list_distinct([concat('k', o_orderkey%4), concat('k', o_orderkey%6)])) as keys from orders)
-    select a.source_id, a.page, cast(min(b.page) as bigint) as lowest_other, cast(count(*) as bigint) as other_pages from p a join p b on a.source_id=b.source_id and a.bank=b.bank and a.page<>b.page
-      and b.slips>1 and list_has_all(b.keys, a.keys) group by 1, 2""",
+    select a.source_id, a.page, cast(min(b.page) as bigint) as first_page, cast(count(*) filter (where a.page<>b.page) as bigint) as other_pages from p a join p b on a.source_id=b.source_id and a.bank=b.bank
+      and b.slips>1 and list_has_all(b.keys, a.keys) group by 1, 2 having count(*) filter (where a.page<>b.page)>0""",
 )
 def _(t):
     k = F.col("o_orderkey")

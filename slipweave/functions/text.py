@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column
@@ -52,6 +53,11 @@ _STABLE_NFC = (
 )
 
 
+def let(c: Column, body: Callable[[Column], Column]) -> Column:
+    """Evaluate ``c`` once and use it many times; the optimiser would inline a plain reference."""
+    return F.element_at(F.transform(F.array(c), body), 1)
+
+
 def fold_width(c: Column, last: int = 0xFF5E) -> Column:
     """Full-width forms U+FF01..last and the ideographic space to their ASCII twins."""
     wide = "".join(map(chr, range(0xFF01, last + 1))) + "\u3000"

@@ -104,7 +104,7 @@ def is_title(c: Column) -> Column:
     )
     lines = F.filter(lines, lambda s: s != "")
     pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, 65536).alias("b"))
-    named = F.transform(pairs, lambda p: F.struct(p["0"].alias("line"), F.coalesce(p["1"], F.lit("")).alias("next")))
+    named = F.transform(pairs, lambda p: F.struct(p["a"].alias("line"), F.coalesce(p["b"], F.lit("")).alias("next")))
     return F.coalesce(
         F.exists(named, lambda p: ~p["next"].contains("专用章") & _title_line(p["line"])), F.lit(False)
     )

@@ -62,22 +62,26 @@ def _char_counts(text: Column, word: str) -> Column:
 def fuzzy_bound(text: Column, word: str) -> Column:
     """Upper bound of the best window ratio, from character counts alone."""
     k = len(word)
-    common = _char_counts(text, word)
     lengths = [n for n in (k - 1, k, k + 1) if n >= (k if k <= 2 else k - 1)]
-    ratios = [
-        F.when(F.length(text) >= n, 2 * F.least(common, F.lit(n)) / F.lit(float(k + n))).otherwise(F.lit(0.0))
-        for n in lengths
-    ]
-    return F.greatest(*ratios, F.lit(0.0))
 
+    def bound(common: Column, size: Column) -> Column:
+        ratios = [
+            F.when(size >= n, 2 * F.least(common, F.lit(n)) / F.lit(float(k + n))).otherwise(F.lit(0.0))
+            for n in lengths
+        ]
+        return F.greatest(*ratios, F.lit(0.0))
+
+    return tx.let(text, lambda t: tx.let(_char_counts(t, word), lambda common: bound(common, F.length(t))))
 
-def best_ratio(word: str, text: str) -> float:
+
+def best_ratio(word: str, text: str, seen: dict[str, float] | None = None) -> float:
     """Best match ratio of ``word`` against all windows of nearly its length.
 
     Window bounds come from prefix counts of the keyword's characters; windows are then scored
     from the best bound down until no bound can beat the best score, so the maximum is exact.
+    ``seen`` remembers the scores of windows that recur within a batch.
     """
-    k = len(word)
+    k, seen = len(word), {} if seen is None else seen
     codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
     sums = {ch: np.concatenate(([0], np.cumsum(codes == ord(ch)))) for ch in set(word)}
     best = FLOOR = FUZZY_THRESHOLD - 1e-12
@@ -91,7 +95,10 @@ def best_ratio(word: str, text: str) -> float:
         for start in np.argsort(-bound, kind="stable"):
             if bound[start] <= best:
                 break
-            best = max(best, SequenceMatcher(None, word, text[start : start + n]).ratio())
+            window = text[start : start + n]
+            if window not in seen:
+                seen[window] = SequenceMatcher(None, word, window).ratio()
+            best = max(best, seen[window])
     return best if best > FLOOR else 0.0
 
 
@@ -108,13 +115,15 @@ def search_fuzzy(blocks: DataFrame, keyword: str) -> DataFrame:
 
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
-        return texts.map(lambda t: best_ratio(word, t))
+        seen: dict[str, float] = {}
+        return texts.map(lambda t: best_ratio(word, t, seen))
 
+    tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     survivors = (
         blocks.withColumn("matched_text", matched)
         .withColumn("_t", tx.no_space(F.col("matched_text")))
         .filter(fuzzy_bound(F.col("_t"), word) >= FUZZY_THRESHOLD)
-        .repartition(*PAGE, "block_index")  # scoring costs far more than moving the few survivors
+        .repartition(tasks, *PAGE, "block_index")  # scoring costs far more than moving the few survivors
     )
     return (
         survivors.withColumn("_r", score("_t"))

@@ -361,7 +361,7 @@ def uniform_height(slots: DataFrame) -> DataFrame:
 def equal_slots(pages: DataFrame, n: int, top: float = 0.0, bottom: float = 0.0, gap: float = 0.0) -> DataFrame:
     """``n`` slots of equal height between the margins."""
     height = (F.col("page_height") - (top + bottom) - gap * (n - 1)) / n
-    return pages.withColumn("position_index", F.explode(F.sequence(F.lit(1), F.lit(n))).cast("long")).select(
+    return pages.withColumn("position_index", F.explode(F.sequence(F.lit(1).cast("long"), F.lit(n).cast("long")))).select(
         *PAGE, "position_index", F.concat(F.lit("slot-"), F.col("position_index").cast("string")).alias("slot_id"),
         (F.lit(top) + (F.col("position_index") - 1) * (height + gap)).alias("top"), height.alias("height"),
         (height >= MIN_HEIGHT).alias("valid"),

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 import os
 
-from pyspark.sql import SparkSession
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 
 
 def local_session(cpus: int | str = 8, app: str = "slipweave", memory: str = "16g") -> SparkSession:
@@ -25,6 +26,19 @@ def local_session(cpus: int | str = 8, app: str = "slipweave", memory: str = "16
     return spark
 
 
+def stage(df: DataFrame) -> DataFrame:
+    """Compute a table once that later steps read many times.
+
+    Where the cluster names a shared folder the table is checkpointed there, which also keeps the
+    plan short; elsewhere it is cached and rebuilt from its lineage if an executor is lost.
+    """
+    spark = df.sparkSession
+    if spark.conf.get("spark.checkpoint.dir", None):
+        checkpoint_dir(spark)
+        return df.checkpoint()
+    return df.persist(StorageLevel.MEMORY_AND_DISK)
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder named by the cluster; ``fallback`` only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)
