@@ -1,0 +1,216 @@
+"""Output-plan queries over the routed view."""
+
+from pyspark.sql import functions as F
+
+from slipweave.catalog.registry import query
+from slipweave.functions import text as tx  # noqa: F401
+from slipweave.operators import export
+
+_PAGES = """live as (select * replace (case when full_page then -1 else x0 end as x0, case when full_page then -1 else y0 end as y0, case when full_page then -1 else x1 end as x1, case when full_page then -1 else y1 end as y1) from routed where not excluded),
+pages_ as (select group_id, source_id, page, full_page, x0, y0, x1, y1, min(group_label) as group_label, min(kind) as kind, min(source_position) as source_position, min(position_index) as position_index, arg_min(segment_id, (position_index, segment_id)) as segment_id, cast(count(*) as bigint) as slips from live group by all),
+files_ as (select p.*, m.mode, case m.mode when 'merged' then 'all' when 'by_source' then concat('source:', source_id) when 'by_counterparty' then concat('group:', group_id, ':', source_id) else concat('group:', group_id) end as file_key
+  from pages_ p cross join (values ('merged'),('by_source'),('by_counterparty'),('by_counterparty_merged')) m(mode)),
+numbered as (select *, cast(row_number() over (partition by mode, file_key order by source_position, page, position_index, x0, y0, x1, y1, full_page, group_id) as bigint) as output_page from files_)"""
+
+
+def _live(t):
+    return t.routed.filter("not excluded")
+
+
+@query("output_pages", "routed", f"with {_PAGES} select group_id, source_id, page, full_page, x0, y0, position_index, segment_id, slips from pages_")
+def _(t):
+    return export.output_pages(_live(t)).select("group_id", "source_id", "page", "full_page", "x0", "y0", "position_index", "segment_id", "slips")
+
+
+def _numbered(t):
+    return export.output_pages_numbered(export.output_pages(_live(t)), export.MODES)
+
+
+@query("output_page_numbers", "routed", f"with {_PAGES} select mode, file_key, output_page, segment_id, slips from numbered")
+def _(t):
+    return _numbered(t).select("mode", "file_key", "output_page", "segment_id", "slips")
+
+
+@query(
+    "output_files", "routed",
+    f"with {_PAGES} select mode, file_key, cast(count(*) as bigint) as pages, cast(sum(slips) as bigint) as slips, max(case when mode like 'by_counter%' and kind='counterparty_pending' then 1 else 0 end) as pending_last from numbered group by 1, 2",
+)
+def _(t):
+    return export.output_files(_numbered(t))
+
+
+@query(
+    "page_mappings", "routed",
+    f"with {_PAGES} select l.segment_id, n.mode, n.file_key, n.output_page from live l join numbered n using (group_id, source_id, page, full_page, x0, y0, x1, y1)",
+)
+def _(t):
+    return export.page_mappings(_numbered(t), _live(t))
+
+
+@query(
+    "unique_filenames", "",
+    """with s as (select p_partkey, case when p_partkey%40=5 then '_CON' else rtrim(replace(concat(p_brand, case when p_partkey%2=0 then '_x' else '' end), '#', '#')) end as stem from part),
+    n as (select *, row_number() over (partition by lower(stem) order by length(stem), p_partkey) as n from s)
+    select p_partkey, case when n>1 then concat(stem, '-', n) else stem end as stem from n""",
+)
+def _(t):
+    k = F.col("p_partkey")
+    names = t.part.select("p_partkey", F.when(k % 40 == 5, "CON").otherwise(F.concat("p_brand", F.when(k % 2 == 0, "/x").otherwise(" . "))).alias("label"))
+    return export.unique_filenames(names, "p_partkey", "label")
+
+
+@query("extract_order", "routed", "select segment_id, cast(row_number() over (order by source_position, page, position_index, segment_id) as bigint) as position from routed")
+def _(t):
+    return export.extract_order(t.routed).select("segment_id", "position")
+
+
+@query(
+    "results_page", "routed",
+    "select segment_id, position, cast(300 as bigint) as next_offset from (select segment_id, cast(row_number() over (order by source_position, page, position_index, segment_id) as bigint) as position from routed) where position between 151 and 300",
+)
+def _(t):
+    return export.results_page(export.extract_order(t.routed), 150, 150).select("segment_id", "position", "next_offset")
+
+
+@query(
+    "coverage", "",
+    """select o_orderkey, 'missing' as problem from orders where o_orderkey not in (select l_orderkey from lineitem)
+    union all select o_orderkey, 'missing' from orders where o_orderkey in (select l_orderkey from lineitem) and o_orderkey%10=3
+    union all select distinct l_orderkey+1000000, 'unexpected' from lineitem where l_orderkey%7=0 and l_orderkey%10<>3""",
+)
+def _(t):
+    k = F.col("l_orderkey")
+    li = t.lineitem.filter(k % 10 != 3)
+    actual = li.select(k.alias("o_orderkey")).unionByName(li.filter(k % 7 == 0).select((k + 1000000).alias("o_orderkey")))
+    return export.coverage(t.orders, actual, ["o_orderkey"])
+
+
+@query("retained_slips", "routed", "select segment_id from routed where not excluded except select o_orderkey from orders where o_custkey%5=0")
+def _(t):
+    gone = t.routed.filter("excluded").select("segment_id").unionByName(t.orders.filter("o_custkey % 5 = 0").select(F.col("o_orderkey").alias("segment_id")))
+    return export.retained(t.routed, gone, ["segment_id"]).select("segment_id")
+
+
+@query(
+    "merge_manual", "routed",
+    "select segment_id, 'automatic' as origin from routed union all select segment_id+10000000, 'manual' from routed where segment_id%6=0",
+)
+def _(t):
+    manual = t.routed.filter("segment_id % 6 = 0").withColumn("segment_id", F.col("segment_id") + 10000000)
+    return export.merge_manual(t.routed, manual).select("segment_id", "origin")
+
+
+@query(
+    "common_keys", "",
+    """select o_orderkey, array_to_string(list_sort(list_intersect(a, b)), ',') as shared, cast(len(list_filter(a, lambda x: not list_contains(b, x))) as int) as missing, list_has_all(b, a) as covered
+    from (select o_orderkey, list_distinct([concat('k', o_orderkey%4), concat('k', o_orderkey%6)]) as a, [concat('k', o_custkey%4), 'k1', 'k2'] as b from orders)""",
+)
+def _(t):
+    key = lambda c, n: F.concat(F.lit("k"), (F.col(c) % n).cast("string"))
+    a = F.array_distinct(F.array(key("o_orderkey", 4), key("o_orderkey", 6)))
+    c = export.common_keys(a, F.array(key("o_custkey", 4), F.lit("k1"), F.lit("k2")))
+    return t.orders.select("o_orderkey", F.array_join(F.array_sort(c["shared"]), ",").alias("shared"), F.size(c["missing"]).alias("missing"), c["covered"].alias("covered"))
+
+
+@query(
+    "resolve_scope_errors", "",
+    "select event_key as segment_id, case when event_key>=15000 then 'unknown' else 'duplicate' end as error from (select event_id*2 as event_key from events union all select event_id*2 from events where event_id%10=0) group by 1 having count(*)>1 or event_key not in (select o_orderkey from orders)",
+)
+def _(t):
+    k = (F.col("event_id") * 2).alias("segment_id")
+    wanted = t.events.select(k).unionByName(t.events.filter("event_id % 10 = 0").select(k))
+    return export.resolve_scope(t.orders.select(F.col("o_orderkey").alias("segment_id")), wanted)[1]
+
+
+@query(
+    "resolve_scope_counts", "routed",
+    "select cast(count(*) filter (where s) as bigint) as selected, cast(count(*) filter (where not s) as bigint) as omitted, cast(count(*) filter (where s and kind='counterparty_pending') as bigint) as unresolved from (select *, segment_id%2=0 and segment_id//2 in (select event_id from events) as s from routed)",
+)
+def _(t):
+    wanted = t.events.select((F.col("event_id") * 2).alias("segment_id"))
+    chosen, _ = export.resolve_scope(t.routed, wanted)
+    return export.scope_counts(t.routed, chosen, F.col("kind") == "counterparty_pending")
+
+
+@query(
+    "scope_summary", "routed",
+    f"with {_PAGES} select (select cast(count(*) as bigint) from routed) as segments, (select cast(count(*) as bigint) from live) as selected, cast(count(distinct source_id) as bigint) as sources, (select cast(count(*) as bigint) from routed where excluded) as excluded, cast(count(*) as bigint) as output_pages from pages_",
+)
+def _(t):
+    return export.scope_summary(t.routed)
+
+
+@query(
+    "overlap_conflicts", "routed",
+    """with r as (select * replace (y0 - case when segment_id%4=0 then 10 else 0 end as y0) from routed)
+    select distinct a.segment_id from r a join r b on a.source_id=b.source_id and a.page=b.page and a.group_id<>b.group_id
+    and (a.full_page or b.full_page or (least(a.y1,b.y1)>greatest(a.y0,b.y0) and least(a.x1,b.x1)>greatest(a.x0,b.x0)))""",
+)
+def _(t):
+    r = t.routed.withColumn("y0", F.col("y0") - F.when(F.col("segment_id") % 4 == 0, 10).otherwise(0))
+    return export.overlap_conflicts(r)
+
+
+def _reviews(t):
+    return t.orders.select(F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderkey") % 31 == 0, "excluded").when(F.col("o_orderkey") % 37 == 1, "excluded").otherwise("confirmed").alias("review_status"))
+
+
+@query(
+    "export_gate", "routed",
+    """with g as (select segment_id, excluded, kind, segment_id%31=0 or segment_id%37=1 as out_, segment_id%50=2 as stale, case when excluded and segment_id%2=0 then 'excluded' else kind end as route from routed)
+    select segment_id, 'stale_extraction' as violation from g where stale union all select segment_id, 'pending_not_included' from g where route='counterparty_pending'
+    union all select segment_id, 'excluded_with_route' from g where out_ and route<>'excluded' union all select segment_id, 'route_excluded_without_review' from g where not out_ and route='excluded'""",
+)
+def _(t):
+    r = t.routed.withColumns(
+        {"stale": F.col("segment_id") % 50 == 2, "route": F.when(F.col("excluded") & (F.col("segment_id") % 2 == 0), "excluded").otherwise(F.col("kind"))}
+    )
+    return export.export_gate(r, _reviews(t))
+
+
+@query("exclusion_audit", "review_log", "select segment_id, record_revision, reviewed_at, review_status from review_log where review_status='excluded'")
+def _(t):
+    return export.exclusion_audit(t.review_log)
+
+
+def _fields(t):
+    side = F.explode(F.array(F.lit("payer"), F.lit("payee"))).alias("side")
+    s = t.slips.select("*", side).select("*", F.explode(F.array(*[F.lit(f) for f in ("name", "account", "bank")])).alias("field"))
+    own = F.col("side") == F.col("own_role")
+    value = F.when(F.col("field") == "name", F.when(own, F.col("own_name")).otherwise(F.col("cp_name"))).when(F.col("field") == "account", F.when(own, F.col("own_account")).otherwise(F.col("cp_account"))).otherwise("")
+    return s.select("segment_id", "side", "field", value.alias("raw"), value.alias("value"), F.when(value == "", "missing").otherwise("present").alias("state"))
+
+
+_DETAIL = """select segment_id, case when own_role='payer' then own_name else cp_name end as payer_name, case when own_role='payee' then own_account else cp_account end as payee_account,
+  case when case when own_role='payee' then own_account else cp_account end='' then 'missing' else 'present' end as payee_account_state"""
+
+
+@query(
+    "detail_rows", "slips routed",
+    _DETAIL + f", m.file_key, m.output_page from slips join (with {_PAGES} select l.segment_id, n.file_key, n.output_page from live l join numbered n using (group_id, source_id, page, full_page, x0, y0, x1, y1) where mode='merged') m using (segment_id)",
+)
+def _(t):
+    pages = export.output_pages_numbered(export.output_pages(_live(t)), ["merged"])
+    rows = export.detail_rows(_live(t).select("segment_id"), _fields(t), export.page_mappings(pages, _live(t)))
+    return rows.select("segment_id", "payer_name", "payee_account", "payee_account_state", "file_key", "output_page")
+
+
+@query(
+    "draft_rows", "slips",
+    _DETAIL + ", 'slip' as row_kind, cast(null as bigint) as source_id from slips union all select null, null, null, null, 'unfinished_source', source_id from (select o_custkey as source_id from orders group by 1 having bool_or(o_orderstatus='O'))",
+)
+def _(t):
+    sources = t.orders.groupBy(F.col("o_custkey").alias("source_id")).agg((~F.bool_or(F.col("o_orderstatus") == "O")).alias("finished"))
+    rows = export.draft_rows(t.slips.select("segment_id"), _fields(t), sources)
+    return rows.select("segment_id", "payer_name", "payee_account", "payee_account_state", "row_kind", "source_id")
+
+
+@query("write_index")
+def _(t):
+    import tempfile
+
+    # A test run has no shared folder; a cluster run passes its own path.
+    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
+    path = f"{base}/index-{abs(hash(t.folder))}"
+    export.write_index(t.routed.select("segment_id", "group_id", "page"), path, "csv", "overwrite")
+    return t.spark.read.schema("segment_id long, group_id string, page long").option("header", True).csv(path)
