@@ -168,9 +168,9 @@ def _(t):
     return export.export_gate(r, _reviews(t))
 
 
-@query("exclusion_audit", "review_log", "select segment_id, record_revision, reviewed_at, review_status from review_log where review_status='excluded'")
+@query("exclusion_audit", "review_log", "select segment_id, record_revision, strftime(reviewed_at, '%Y-%m-%d %H:%M:%S') as reviewed_at, review_status from review_log where review_status='excluded'")
 def _(t):
-    return export.exclusion_audit(t.review_log)
+    return export.exclusion_audit(t.review_log).withColumn("reviewed_at", F.date_format("reviewed_at", "yyyy-MM-dd HH:mm:ss"))
 
 
 def _fields(t):
