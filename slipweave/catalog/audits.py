@@ -77,10 +77,10 @@ def _(t):
     """with j as (select job_id, list(seq order by arrival) as s from seq_events group by 1),
     r as (select job_id, 0 as i, cast(0 as bigint) as last_seq, cast(null as varchar) as verdict, cast(0 as bigint) as before_ from j
       union all select r.job_id, r.i+1, case when j.s[r.i+1]=r.last_seq+1 then j.s[r.i+1] else r.last_seq end, case when j.s[r.i+1]=r.last_seq+1 then 'accepted' when j.s[r.i+1]<=r.last_seq then 'duplicate' else 'out_of_order' end, r.last_seq from r join j on j.job_id=r.job_id where r.i<len(j.s))
-    select job_id, cast(i as bigint) as arrival, before_ as last_seq, verdict from r where i>0""",
+    select job_id, cast(i as bigint) as arrival, verdict from r where i>0""",
 )
 def _(t):
-    return audit.accept_events(t.seq_events).select("job_id", "arrival", F.col("last_seq").cast("long").alias("last_seq"), "verdict")
+    return audit.accept_events(t.seq_events).select("job_id", "arrival", "verdict")
 
 
 _ISSUES = "i as (select o_orderkey as segment_id, case o_orderkey%4 when 0 then 'own_company_mismatch' when 1 then 'missing_field' when 2 then 'own_account_mismatch' else 'conflicting_field' end as code, case when o_orderkey%2=0 then 'name' else 'account' end as field, case when o_orderkey%3=0 then 'payer' else 'payee' end as role, case when o_orderkey%5=0 then 'missing' else 'ambiguous' end as state, o_custkey as layout from orders)"

@@ -2,8 +2,9 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -45,37 +46,53 @@ def retry_set(pages: DataFrame, max_retries: int) -> DataFrame:
 
 
 def accept_events(events: DataFrame) -> DataFrame:
-    """Judge numbered events in arrival order: only the next number is accepted.
+    """Judge numbered events in arrival order: only the next number is accepted, none buffered.
 
-    Nothing out of order is buffered. Because a number is accepted exactly when it is one more
-    than the last accepted one, the accepted number after any arrival is the length of the chain
-    1, 2, 3, … found so far. Only first arrivals can extend it, and a number extends it at the
-    running maximum of the first-usable arrival; so the chain follows from windows over numbers
-    instead of a fold over one job's whole event list.
+    As long as first arrivals come in number order, each number is accepted at its first arrival;
+    that is checked by joining each number with its predecessor, so one busy job spreads over
+    many tasks. Only what follows a number that came too early and was sent again is read in
+    order, as a stream with one number of state per job. An event whose number was accepted
+    before it arrived is a duplicate, any other is out of order.
     """
-    firsts = events.groupBy("job_id", "seq").agg(F.collect_list("arrival").alias("_arr"))
-    fold = (
-        firsts.groupBy("job_id")
-        .agg(F.array_sort(F.collect_list(F.struct("seq", F.array_sort("_arr").alias("at")))).alias("_s"))
-        .select("job_id", F.aggregate("_s", F.array().cast("array<bigint>"), _extend).alias("_chain"))
+    keys = ["job_id", "seq"]
+    first = events.filter("seq >= 1").groupBy(*keys).agg(F.min("arrival").alias("accepted_at"))
+    before = first.select("job_id", (F.col("seq") + 1).alias("seq"), F.col("accepted_at").alias("_prev"))
+    steps = first.join(before, keys, "left").withColumn(
+        "_ok", (F.col("seq") == 1) | F.coalesce(F.col("accepted_at") > F.col("_prev"), F.lit(False))
     )
-    chain = fold.select("job_id", F.posexplode("_chain").alias("_i", "accepted_at")).select("job_id", (F.col("_i") + 1).cast("long").alias("seq"), "accepted_at")
-    marks = events.join(chain, ["job_id", "seq"], "left")
-    w = Window.partitionBy("job_id").orderBy("arrival").rowsBetween(Window.unboundedPreceding, -1)
-    accepted = F.coalesce(F.col("arrival") == F.col("accepted_at"), F.lit(False))
-    last = F.coalesce(F.max(F.when(accepted, F.col("seq"))).over(w), F.lit(0))
-    return marks.withColumn("last_seq", last).withColumn(
-        "verdict", F.when(accepted, "accepted").when(F.col("seq") <= F.col("last_seq"), "duplicate").otherwise("out_of_order")
+    broken = steps.filter("not _ok").groupBy("job_id").agg(F.min(F.struct("seq", "_prev")).alias("_b"))
+    chain = steps.join(broken, "job_id", "left").filter(F.col("_b").isNull() | (F.col("seq") < F.col("_b.seq"))).select(*keys, "accepted_at")
+    resent = broken.filter("_b._prev is not null").select("job_id", F.col("_b.seq").alias("_next"), F.col("_b._prev").alias("_since"))
+    # A break counts as re-sent only where the chain really reaches the number before it.
+    resent = resent.join(chain.select("job_id", (F.col("seq") + 1).alias("_next")), ["job_id", "_next"], "left_semi")
+    late = events.join(resent, "job_id").filter((F.col("arrival") > F.col("_since")) & (F.col("seq") >= F.col("_next")))
+    tail = (
+        late.select("job_id", "seq", "arrival", "_next")
+        .repartition("job_id")
+        .sortWithinPartitions("job_id", "arrival")
+        .mapInPandas(_follow, "job_id long, seq long, accepted_at long")
+    )
+    marks = events.join(chain.unionByName(tail), keys, "left")
+    return marks.withColumn(
+        "verdict",
+        F.when(F.col("arrival") == F.col("accepted_at"), "accepted")
+        .when((F.col("seq") < 1) | (F.col("accepted_at") < F.col("arrival")), "duplicate")
+        .otherwise("out_of_order"),
     ).drop("accepted_at")
 
 
-def _extend(chain: Column, item: Column) -> Column:
-    """Add the next number's first arrival after its predecessor was accepted."""
-    size = F.size(chain)
-    since = F.when(size > 0, F.element_at(chain, -1)).otherwise(F.lit(0).cast("bigint"))
-    later = F.filter(item["at"], lambda a: a > since)
-    fits = (item["seq"] == size + 1) & (F.size(later) > 0)
-    return F.when(fits, F.concat(chain, F.slice(later, 1, 1))).otherwise(chain)
+def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Accepted numbers of jobs sorted by arrival; the state carries over batch borders."""
+    job, wanted = None, 0
+    for pdf in batches:
+        taken = []
+        for j, seq, arrival, nxt in zip(pdf["job_id"], pdf["seq"], pdf["arrival"], pdf["_next"]):
+            if j != job:
+                job, wanted = j, nxt
+            if seq == wanted:
+                taken.append((j, seq, arrival))
+                wanted += 1
+        yield pd.DataFrame(taken, columns=["job_id", "seq", "accepted_at"])
 
 
 def diagnostic_summary(issues: DataFrame) -> DataFrame:
