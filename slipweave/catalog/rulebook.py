@@ -166,7 +166,7 @@ def _rule_tables(t):
     c = F.col("c_custkey")
     # Rules 0..5 cover every label layout once; rule 6 repeats the layout of rule 0.
     few = t.customer.filter(c < 7)
-    rule = few.select(c.alias("rule_id"), F.lit("Bank A").alias("bank_name"), F.lit(2.0).alias("aspect"), F.lit(False).alias("batch_only"), (c != 4).alias("active"))
+    rule = few.select(c.alias("rule_id"), F.concat(F.lit("Bank "), F.when(c < 100, "A")).alias("bank_name"), F.lit(2.0).alias("aspect"), F.lit(False).alias("batch_only"), (c != 4).alias("active"))
     rule_labels = few.select(c.alias("rule_id"), labels(c % 6, F.lit(0.0)))
     shift = F.when(_k() % 10 == 0, 0.02).otherwise(0.01)
     slips = t.orders.select(

@@ -51,6 +51,10 @@ _STABLE = "^[\\x00-\\x7f\\u4e00-\\u9fff\\u3001\\u3002\\u3008-\\u3011]*$"
 _STABLE_NFC = (
     "^[\\x00-\\u02ff\\u4e00-\\u9fff\\u3000-\\u3020\\u2010-\\u2027\\uff01-\\uff5e]*$"
 )
+# Texts already in normal form, recognised in one scan: words of such characters, single spaces.
+_PLAIN = "[\\x21-\\x7e\\u4e00-\\u9fff]+"
+_PLAIN_NAME = f"^(?:{_PLAIN}(?: {_PLAIN})*)?$"
+_PLAIN_WORD = f"^(?:{_PLAIN})?$"
 
 
 def let(c: Column, body: Callable[[Column], Column]) -> Column:
@@ -111,12 +115,12 @@ def norm_name(c: Column, compose: bool = True) -> Column:
     ``compose=False`` leaves out the NFC step for text already composed on the way in.
     """
     folded = fold_width(c)
-    return squeeze(nfc(folded) if compose else folded)
+    return F.when(c.rlike(_PLAIN_NAME), c).otherwise(squeeze(nfc(folded) if compose else folded))
 
 
 def norm_account(c: Column, compose: bool = True) -> Column:
     folded = fold_width(c)
-    return no_space(nfc(folded) if compose else folded)
+    return F.when(c.rlike(_PLAIN_WORD), c).otherwise(no_space(nfc(folded) if compose else folded))
 
 
 def norm_bank(c: Column, compose: bool = True) -> Column:
@@ -131,7 +135,7 @@ def norm_field(field: Column, c: Column) -> Column:
 
 def full_account(c: Column) -> Column:
     """A complete account: letters and digits, at least one digit, no mask letter."""
-    return F.coalesce(c.rlike("^[A-Za-z0-9]{1,128}$") & c.rlike("[0-9]") & ~c.rlike("[xX]"), F.lit(False))
+    return F.coalesce(c.rlike("^(?=[^0-9]*[0-9])[A-WYZa-wyz0-9]{1,128}$"), F.lit(False))
 
 
 def account_state(c: Column) -> Column:

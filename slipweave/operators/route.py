@@ -52,7 +52,13 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
 
     ``compose`` runs NFC on names; leave it off for text composed on the way in.
     """
-    df = with_optional(slips)
+    have = set(slips.columns)
+
+    def col(name: str) -> Column:
+        """A column, or a typed NULL for an absent optional one, which then folds away."""
+        return F.lit(None).cast(OPTIONAL[name]) if name in OPTIONAL and name not in have else F.col(name)
+
+    df = slips
     company = F.lit(" ".join(account["company_name"].split()))
     number = F.lit("".join(account["account_number"].split()))
 
@@ -60,13 +66,12 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
     steps: dict[str, Column] = {}
     for s in SIDES:
         for f in FIELDS:
-            raw = F.coalesce(f"o_{s}_{f}", f"{s}_{f}", F.lit(""))
-            state = F.coalesce(f"o_{s}_{f}_state", f"{s}_{f}_state")
+            raw = F.coalesce(col(f"o_{s}_{f}"), f"{s}_{f}", F.lit(""))
+            state = F.coalesce(col(f"o_{s}_{f}_state"), f"{s}_{f}_state")
             value = tx.norm_account(raw, compose) if f == "account" else tx.norm_name(raw, compose)
             steps[f"_{s}_{f}"] = value
             steps[f"_{s}_{f}_state"] = state
     df = settle(df, steps)
-    col = F.col
     partial = {f"_{s}_account_state": F.when((col(f"_{s}_account_state") == "present") & ~tx.full_account(col(f"_{s}_account")), "ambiguous").otherwise(col(f"_{s}_account_state")) for s in SIDES}
     df = settle(df, partial)
 
@@ -120,8 +125,8 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
     wrong_account = (by_manual & F.when(confirm == "single", any_full).otherwise(F.coalesce(my_account != number, F.lit(False)))) | (
         undecided & all_full
     ) | found_by_name
-    own_key = tx.no_space(F.coalesce("own_observed_name", F.lit("")))
-    seen_account = tx.no_space(F.coalesce("own_observed_account", F.lit("")))
+    own_key = tx.no_space(F.coalesce(col("own_observed_name"), F.lit("")))
+    seen_account = tx.no_space(F.coalesce(col("own_observed_account"), F.lit("")))
     seen_name_differs = (col("own_observed_name_state") == "present") & (own_key != tx.no_space(company))
     seen_account_differs = (col("own_observed_account_state") == "present") & seen_account.rlike("^[0-9]+$") & (seen_account != number)
     company_differs = (mine("name_state") == "present") & (mine("name") != "") & (mine("name") != company)
@@ -150,7 +155,7 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
     for f in FIELDS:
         other = F.when(col("own_side") == "payer", col(f"_payee_{f}")).when(col("own_side") == "payee", col(f"_payer_{f}"))
         other_state = F.when(col("own_side") == "payer", col(f"_payee_{f}_state")).when(col("own_side") == "payee", col(f"_payer_{f}_state"))
-        lone, lone_state = F.coalesce(f"o_counterparty_{f}", F.lit("")), F.coalesce(f"o_counterparty_{f}_state", F.lit("missing"))
+        lone, lone_state = F.coalesce(col(f"o_counterparty_{f}"), F.lit("")), F.coalesce(col(f"o_counterparty_{f}_state"), F.lit("missing"))
         if f == "name":
             both_ours = col("own_side").isNull() & col("_both_names")
             lone = F.when(both_ours, col("_payer_name")).otherwise(lone)
@@ -159,12 +164,12 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
         base, base_state = F.when(sided, other).otherwise(lone), F.when(sided, other_state).otherwise(lone_state)
         other_over = F.when(col("own_side") == "payer", col(f"o_payee_{f}_state")).when(col("own_side") == "payee", col(f"o_payer_{f}_state"))
         guarded = other_over.isNotNull() | col(f"o_counterparty_{f}_state").isNotNull()
-        value, state = _merge(base, base_state, F.coalesce(f"counterparty_observed_{f}", F.lit("")), col(f"counterparty_observed_{f}_state"), guarded)
+        value, state = _merge(base, base_state, F.coalesce(col(f"counterparty_observed_{f}"), F.lit("")), col(f"counterparty_observed_{f}_state"), guarded)
         value = F.when(col(f"o_counterparty_{f}_state").isNotNull(), col(f"o_counterparty_{f}")).otherwise(value)
-        state = F.coalesce(f"o_counterparty_{f}_state", state)
+        state = F.coalesce(col(f"o_counterparty_{f}_state"), state)
         cp[f"counterparty_{f}"] = tx.norm_account(value, False) if f == "account" else tx.norm_name(value, False)
         cp[f"counterparty_{f}_state"] = state
-    df = settle(df, {**cp, "_renamed": F.coalesce("o_counterparty_name_state", F.when(col("own_side") == "payer", col("o_payee_name_state")).when(col("own_side") == "payee", col("o_payer_name_state"))).isNotNull()})
+    df = settle(df, {**cp, "_renamed": F.coalesce(col("o_counterparty_name_state"), F.when(col("own_side") == "payer", col("o_payee_name_state")).when(col("own_side") == "payee", col("o_payer_name_state"))).isNotNull()})
     name, name_state = col("counterparty_name"), col("counterparty_name_state")
 
     # Route: the first rule that applies.
@@ -179,7 +184,7 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
     has_name = (name_state == "present") & (name != "")
     rule = (
         F.when(F.coalesce(col("excluded"), F.lit(False)), "excluded")
-        .when(special.isNotNull() & F.coalesce("type_confirmed", F.lit(False)), "special")
+        .when(special.isNotNull() & F.coalesce(col("type_confirmed"), F.lit(False)), "special")
         .when(F.size(conflicts) > 0, "conflict")
         .when(has_name & (name == company), "internal")
         .when(col("assigned_group").isNotNull() & (col("assigned_kind") == "named"), "assigned")
@@ -217,7 +222,7 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
             "reasons": F.array_join("reasons", ","),
             "decision_method": F.when(r == "assigned", "manual").when(r.isin("excluded", "conflict", "unnamed"), "none").otherwise("automatic"),
             "group_id": F.when(r == "assigned", col("assigned_group")).when(
-                r != "excluded", identity.group_id(F.coalesce("job_id", F.lit("")), col("route"), col("group_key"))
+                r != "excluded", identity.group_id(F.coalesce(col("job_id"), F.lit("")), col("route"), col("group_key"))
             ),
         },
     ).drop(*[c for c in df.columns if c.startswith("_")])
@@ -288,7 +293,7 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
     many = e.groupBy("segment_id").agg(F.count(F.lit(1)).alias("_edits"))
     rows = df.join(e.dropDuplicates(["segment_id"]), "segment_id", "left").join(many, "segment_id", "left")
     g = groups.select(F.col("group_id").alias("e_assign_group"), F.col("kind").alias("_kind"), F.col("group_key").alias("_key"), F.col("label").alias("_label"))
-    rows = rows.join(F.broadcast(g) if groups.isLocal() else g, "e_assign_group", "left")
+    rows = rows.join(g, "e_assign_group", "left")
     new = F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce("e_name_value", "o_counterparty_name"))
     new_state = F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce("e_name_state", "o_counterparty_name_state"))
     changed = ~new.eqNullSafe(F.col("o_counterparty_name")) | ~new_state.eqNullSafe(F.col("o_counterparty_name_state"))
