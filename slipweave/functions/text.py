@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import unicodedata
-from collections.abc import Callable
+from collections.abc import Callable, Mapping
 
 import pandas as pd
 from pyspark.sql import Column
@@ -62,6 +62,11 @@ def let(c: Column, body: Callable[[Column], Column]) -> Column:
     return F.element_at(F.transform(F.array(c), body), 1)
 
 
+def table(words: Mapping[str, str]) -> Column:
+    """A lookup table as one literal; the optimiser turns it into a constant map."""
+    return F.str_to_map(F.lit("\x02".join(f"{k}\x01{v}" for k, v in words.items())), F.lit("\x02"), F.lit("\x01"))
+
+
 def fold_width(c: Column, last: int = 0xFF5E) -> Column:
     """Full-width forms U+FF01..last and the ideographic space to their ASCII twins."""
     wide = "".join(map(chr, range(0xFF01, last + 1))) + "\u3000"
@@ -174,15 +179,15 @@ def labelled_state(field: Column, c: Column) -> Column:
 def canonical_bank(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """One legal name per bank heading, NULL where the text is no bank heading."""
     aliases = BANK_ALIASES if aliases is None else aliases
-    table = F.create_map(*[F.lit(v) for kv in aliases.items() for v in kv])
+    names = table(aliases)
     compact = F.regexp_replace(c, f"[A-Za-z·.\\-{SPACES}]+", "")
     barred = compact.isin(*BANK_CHANNELS) | compact.rlike("|".join(NOT_ISSUER_WORDS))
     shaped = compact.rlike("^[\\u4e00-\\u9fff]{2,18}(?:银行|农村信用合作联社|农村信用社)$")
     bare = F.regexp_replace(compact, "^中国", "")
     return (
         F.when(c.isNull() | barred, F.lit(None).cast("string"))
-        .when(F.element_at(table, compact).isNotNull(), F.element_at(table, compact))
-        .when(shaped, F.coalesce(F.element_at(table, bare), compact))
+        .when(F.element_at(names, compact).isNotNull(), F.element_at(names, compact))
+        .when(shaped, F.coalesce(F.element_at(names, bare), compact))
     )
 
 
@@ -231,5 +236,6 @@ def effective_type(manual: Column, automatic: Column) -> Column:
 
 
 def type_label(c: Column) -> Column:
-    table = F.create_map(*[F.lit(v) for kv in DOCUMENT_LABELS.items() for v in kv])
-    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("普通回单")).otherwise(F.coalesce(F.element_at(table, c), c))
+    return F.when(F.coalesce(c, F.lit("")) == "", F.lit("普通回单")).otherwise(
+        F.coalesce(F.element_at(table(DOCUMENT_LABELS), c), c)
+    )

@@ -65,7 +65,7 @@ ACCOUNT_WORDS = (
 
 
 def lookup(table: Mapping[str, str], key: Column) -> Column:
-    return F.element_at(F.create_map(*[F.lit(v) for kv in table.items() for v in kv]), key)
+    return F.element_at(tx.table(table), key)
 
 
 def alternatives(words: Sequence[str]) -> str:
