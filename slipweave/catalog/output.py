@@ -114,7 +114,7 @@ def _(t):
 
 @query(
     "resolve_scope_errors", "",
-    "select event_key as segment_id, case when event_key>=15000 then 'unknown' else 'duplicate' end as error from (select event_id*2 as event_key from events union all select event_id*2 from events where event_id%10=0) group by 1 having count(*)>1 or event_key not in (select o_orderkey from orders)",
+    "select event_key as segment_id, case when event_key not in (select o_orderkey from orders) then 'unknown' else 'duplicate' end as error from (select event_id*2 as event_key from events union all select event_id*2 from events where event_id%10=0) group by 1 having count(*)>1 or event_key not in (select o_orderkey from orders)",
 )
 def _(t):
     k = (F.col("event_id") * 2).alias("segment_id")
