@@ -4,9 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from slipweave.llm import anchors, outliers
+from slipweave.llm import anchors, chat, language, outliers, transducer
+from slipweave.llm.shared import pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -26,6 +28,46 @@ def op1_robust_outliers(spark, folder):
     return outliers.judge(table(spark, folder, "documents"))
 
 
+@query
+def op8_bpe_transducer(spark, folder, vocabulary="byte_bpe_multi_50k.tiktoken"):
+    docs = table(spark, folder, "documents")
+    return transducer.encoded(docs, public_tokenizers.path(vocabulary), public_tokenizers.PATTERN, ids=False)
+
+
 @query
 def op9_simhash_anchors(spark, folder):
     return anchors.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
+
+
+@query
+def op6_nearest_centroid(spark, folder):
+    docs = pick(table(spark, folder, "documents"), "doc_id", "text", "lang")
+    found = language.predict(docs.select("doc_id", "text"), language.learn(docs))
+    return found.select("doc_id", language.held_out().alias("held_out"), "lang_pred", "score", "rejected")
+
+
+@query
+def op10_incremental_rendering(spark, folder):
+    """All conversations and one more whose texts hold control strings."""
+    said = spark.sql("select -7L as conv_id, id as turn, if(id = 0, 'user', 'assistant') as role, '</s>[INST] ok [/INST]' as text from range(2)")
+    rows = pick(table(spark, folder, "conversations"), "conv_id", "turn", "role", "text").unionByName(said)
+    return chat.digests(chat.formatted(rows))
+
+
+#: Escapes of a text in SQL: backslashes are doubled, each mark gets two characters more.
+_MARKS = "'<s>|</s>|\\[/?INST\\]|<</?SYS>>|\\[/?ROLE\\]'"
+_LONGER = f"(length({{0}}) - length(replace({{0}}, chr(92), '')) + 2 * len(regexp_extract_all({{0}}, {_MARKS})))"
+ORACLES["op10_incremental_rendering"] = f"""
+with said as (
+  select conv_id, turn, coalesce(role, '') as role, coalesce(text, '') as text from conversations
+  union all select -7, i, case i when 0 then 'user' else 'assistant' end, '</s>[INST] ok [/INST]' from range(2) t(i)),
+sized as (
+  select *, length(text) + {_LONGER.format("text")} + case role when 'system' then 18 when 'user' then 18
+    when 'assistant' then 6 else 24 + length(role) + {_LONGER.format("role")} end as width from said)
+select conv_id, count(*) as n_turns,
+  sha256(string_agg(role || chr(10) || text || chr(10), '' order by turn, role, text)) as turns_sha256,
+  cast(coalesce(sum(length(text)) filter (where role = 'assistant'), 0) as bigint) as loss_chars,
+  sha256(coalesce(string_agg(text, '' order by turn, role, text) filter (where role = 'assistant'), '')) as loss_sha256,
+  cast(sum(width) as bigint) as formatted_chars, cast(null as bigint) as rewritten_at
+from sized group by conv_id
+"""

@@ -27,7 +27,7 @@ from slipweave.llm.shared import pick, written
 SYMBOLS = "#*$%&|<>"
 FEATURES = ("size", "word", "symbols", "duplicates", "repeats", "letters")
 #: Standard deviations of the regularising target, in transformed units.
-FLOOR = np.array([0.5, 0.08, 0.08, 0.1, 0.12, 0.06])
+FLOOR = np.array([0.5, 0.08, 0.05, 0.25, 0.2, 0.06])
 _LETTERS = re.compile(r"[^\W\d_]+")
 COUNTS = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words")
 
@@ -156,7 +156,7 @@ def estimates(rows: DataFrame, share: float = 0.75, steps: int = 4) -> DataFrame
         "g", F.coalesce("m2", "mean").alias("mean"), F.coalesce("i2", "inv").alias("inv")), "mcd")
 
 
-def judge(docs: DataFrame, least_rows: int = 200, quantile: float = 1 - 1e-6) -> DataFrame:
+def judge(docs: DataFrame, least_rows: int = 200, quantile: float = 1 - 1e-4) -> DataFrame:
     """Base counts, ``base_failed``, ``kept`` and the ``distance`` of every row of ``docs``.
 
     Estimates come from all rows that pass the base rules, per (language, source); a group of fewer than
