@@ -6,8 +6,9 @@ from collections.abc import Callable
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
-from slipweave.llm import anchors, chat, language, outliers, transducer
+from slipweave.llm import anchors, chat, decontaminate, language, outliers, secrets, transducer
 from slipweave.llm.shared import pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -39,6 +40,18 @@ def op9_simhash_anchors(spark, folder):
     return anchors.near_duplicates(table(spark, folder, "documents")).select("doc_id", "fingerprint", "component_id")
 
 
+@query
+def op2_spaced_seeds(spark, folder):
+    return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
+
+
+@query
+def op5_randomness_battery(spark, folder):
+    found = secrets.scan(table(spark, folder, "documents"))
+    return found.select(
+        "doc_id", "n_assign", "n_access", "n_hex", F.sha2(secrets.joined("base"), 256).alias("base_sha256"), secrets.joined("spans").alias("spans"))
+
+
 @query
 def op6_nearest_centroid(spark, folder):
     docs = pick(table(spark, folder, "documents"), "doc_id", "text", "lang")
