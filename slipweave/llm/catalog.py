@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import anchors, automaton, chat, decontaminate, language, outliers, secrets, transducer
+from slipweave.llm import anchors, automaton, chat, decontaminate, language, outliers, private, secrets, transducer
 from slipweave.llm.shared import pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -29,6 +29,14 @@ def op1_robust_outliers(spark, folder):
     return outliers.judge(table(spark, folder, "documents"))
 
 
+@query
+def op7_boosted_candidates(spark, folder):
+    found = private.find(table(spark, folder, "documents"))
+    kinds = F.transform("base", lambda s: s["kind"])
+    counts = [F.size(F.filter(kinds, F.lit(i).__eq__)).cast("long").alias(f"n_{k}") for i, k in enumerate(private.KINDS)]
+    return found.select("doc_id", *counts, F.sha2(private.joined("base"), 256).alias("base_sha256"), private.joined("spans").alias("spans"))
+
+
 @query
 def op8_bpe_transducer(spark, folder, vocabulary="byte_bpe_multi_50k.tiktoken"):
     docs = table(spark, folder, "documents")
