@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from slipweave.llm import anchors, automaton, chat, decontaminate, language, outliers, private, secrets, transducer
+from slipweave.llm import anchors, automaton, chat, decontaminate, language, outliers, private, secrets, transducer, wrappers
 from slipweave.llm.shared import pick
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -53,6 +53,11 @@ def op2_spaced_seeds(spark, folder):
     return decontaminate.overlaps(table(spark, folder, "documents"), table(spark, folder, "benchmark"))
 
 
+@query
+def op3_wrapper_induction(spark, folder):
+    return wrappers.extract(table(spark, folder, "pages"))
+
+
 @query
 def op4_backoff_automaton(spark, folder):
     return automaton.scores(table(spark, folder, "documents"))

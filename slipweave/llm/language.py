@@ -167,6 +167,14 @@ def predict(docs: DataFrame, model: Centroids) -> DataFrame:
     return out.mapInArrow(run, schema).toDF(*[docs.columns[i] for i in kept], "lang_pred", "score", "rejected")
 
 
+def accepted(docs: DataFrame, model: Centroids) -> DataFrame:
+    """The rows of ``docs`` whose text is not rejected, with all their columns."""
+    names = [f"c{i}" for i in range(len(docs.columns))]
+    at = docs.columns.index("text")
+    found = predict(docs.toDF(*names[:at], "text", *names[at + 1 :]), model)
+    return found.filter(~F.col("rejected")).drop("lang_pred", "score", "rejected").toDF(*docs.columns)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether the id belongs to the third that is never learned from; a null id does not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 3 == 1, F.lit(False))
