@@ -77,7 +77,8 @@ class Centroids:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = vectors(counts, self.idf) @ self.matrix.T
         best = cosine.argmax(axis=1)
-        score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64)
+        # Rounded to what single precision holds, so that a text's score does not depend on its neighbours in the batch.
+        score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64).round(6)
         langs = [self.langs[i] if k else UNKNOWN for i, k in zip(best, known)]
         # Few n-grams leave a vector far from any centroid, so the bound loosens with length.
         few = np.minimum(1, np.sqrt(counts.sum(axis=1) / 1500))

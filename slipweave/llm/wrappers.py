@@ -128,6 +128,19 @@ def own_text(node: Node) -> str:
     return " ".join(" ".join(c for c in node.children if isinstance(c, str)).split())
 
 
+def block_text(node: Node) -> str:
+    """Text of a node and its inline parts; what other blocks inside it say is theirs."""
+    out: list[str] = []
+    todo: list[Node | str] = list(reversed(node.children))
+    while todo:
+        c = todo.pop()
+        if isinstance(c, str):
+            out.append(c)
+        elif c.tag in INLINE:
+            todo.extend(reversed(c.children or [" "]))
+    return " ".join("".join(out).split())
+
+
 def match(a: Node, b: Node) -> list[tuple[Node, Node]]:
     """Pairs of a largest simple tree matching of two trees whose roots are taken to match."""
     parts = lambda n: [c for c in n.children if isinstance(c, Node)]
@@ -190,7 +203,8 @@ def digest(text: str) -> str:
 def align(pages: list[str]) -> tuple[dict[str, int], dict[tuple[str, str], int]]:
     """From pages of one host: characters of article-like text per path, and in how many pages a node is constant.
 
-    Every tree is matched with the one of most nodes. A text that no other aligned page shares is no template.
+    Every tree is matched with the one of most nodes. Inline elements are parts of their block's text, which is
+    constant as a whole or not; a text that no other aligned page shares is no template.
     """
     trees = [parse(p) for p in pages]
     sizes = [sum(1 for _ in walk(t)) for t in trees]
@@ -201,14 +215,14 @@ def align(pages: list[str]) -> tuple[dict[str, int], dict[tuple[str, str], int]]
         if tree is seed:
             continue
         for x, y in match(seed, tree):
-            if not x.side and (said := own_text(x)) and said == own_text(y):
+            if not x.side and x.tag not in INLINE and (said := block_text(x)) and said == block_text(y):
                 constant[paths[id(x)], said] = constant.get((paths[id(x)], said), 1) + 1
     varying: dict[str, int] = {}
     for tree in trees:
         for path, node in walk(tree):
             if not node.side and node.tag != "a":
                 said = own_text(node)
-                if said and constant.get((path, said), 0) < 0.9 * len(trees):
+                if said and (node.tag in INLINE or constant.get((path, block_text(node)), 0) < 0.9 * len(trees)):
                     varying[path] = varying.get(path, 0) + len(said)
     return varying, {(p, digest(s)): n for (p, s), n in constant.items()}
 
@@ -257,7 +271,7 @@ def blocks(tree: Node, inside: str, template: set[tuple[str, str]]) -> list[str]
             run.append(item)
             continue
         path, node, taking = item
-        if taking and (node.side or template and (path, digest(own_text(node))) in template):
+        if taking and (node.side or template and node.tag not in INLINE and (path, digest(block_text(node))) in template):
             continue
         if not taking and path == inside:
             taking = found = True
