@@ -166,7 +166,8 @@ def judge(docs: DataFrame, least_rows: int = 200, quantile: float = 1 - 1e-4) ->
     """
     stats = written(statistics(docs), "statistics")
     tag = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("-"))
-    level = [F.concat(F.lit("s"), F.to_json(F.array(tag("lang"), tag("source")))), F.concat(F.lit("l"), tag("lang")), F.lit("all")]
+    # The last is the same for all rows, but not a constant to the optimiser, which would make a loop of the join.
+    level = [F.concat(F.lit("s"), F.to_json(F.array(tag("lang"), tag("source")))), F.concat(F.lit("l"), tag("lang")), F.concat(F.lit("all"), F.repeat(tag("lang"), F.lit(0)))]
     passed = stats.filter(~F.col("base_failed"))
     sizes = passed.select(F.explode(F.array(*level)).alias("g")).groupBy("g").count()
     large = written(sizes.filter(F.col("count") >= least_rows).select("g"), "groups")
