@@ -102,3 +102,27 @@ select conv_id, count(*) as n_turns,
   cast(sum(width) as bigint) as formatted_chars, cast(null as bigint) as rewritten_at
 from sized group by conv_id
 """
+
+
+#: Masked tokens joined as text take the place of hashes; every hit is compared position by position.
+_LOOKED = ", ".join(
+    f"({m}, {len(mask)}, {[i for i, c in enumerate(mask) if c == '1']})" for m, mask in enumerate(decontaminate.MASKS))
+_SPLIT = r"list_filter(string_split_regex(lower(coalesce(text, '')), '[^\p{L}\p{N}\p{M}]+'), lambda w: w <> '')"
+ORACLES["op2_spaced_seeds"] = f"""
+with masks(m, width, looked) as (values {_LOOKED}),
+d as (select doc_id, {_SPLIT} as t from documents),
+b as (select distinct item_id, {_SPLIT} as t from benchmark),
+dk as (select doc_id, m, pos, list_transform(looked, lambda o: t[pos + o + 1]) as k from d, masks, unnest(range(0, len(t) - width + 1)) u(pos)),
+bk as (select item_id, m, pos, list_transform(looked, lambda o: t[pos + o + 1]) as k from b, masks, unnest(range(0, len(t) - width + 1)) u(pos)),
+hits as (select doc_id, item_id, dk.pos as doc_hit, bk.pos as item_hit from dk join bk using (m, k)),
+placed as (
+  select doc_id, item_id, d.t, b.t as g, doc_hit - item_hit as shift, least(len(b.t), 20) as size,
+    greatest(0, least(item_hit - 4, len(b.t) - least(len(b.t), 20))) as start
+  from hits join d using (doc_id) join b using (item_id)),
+compared as (
+  select doc_id, item_id, size, start, start + shift as doc_at,
+    len(list_filter(range(start, start + size), lambda i: i + shift >= 0 and t[i + shift + 1] = g[i + 1])) as equal from placed),
+good as (select *, row_number() over (partition by doc_id, item_id order by equal / size desc, equal desc, start, doc_at, size desc) as place,
+    count(*) over (partition by doc_id, item_id) as n_hits from compared where equal >= ceil(size * 0.8))
+select doc_id, item_id, n_hits, equal as matched, size as compared, doc_at, start as item_at from good where place = 1
+"""
