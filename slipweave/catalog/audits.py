@@ -96,28 +96,48 @@ def _issues(t):
 
 @query(
     "diagnostic_summary", "",
-    f"""with {_ISSUES}, two as (select * from i union all select * from i where code='own_company_mismatch')
-    select 'code' as kind, case when code like 'own%' then 'source_conflict' else code end as name, cast(count(distinct segment_id) as bigint) as n from two group by 2
-    union all select 'field', concat_ws('/', field, role, state), cast(count(*) as bigint) from two group by field, role, state
-    union all select 'layout_size', cast(n as varchar), cast(count(*) as bigint) from (select layout, count(*) as n from two group by 1) group by n""",
+    f"""with {_ISSUES}, two as (select * from i union all select * from i where code='own_company_mismatch' union all select segment_id, 'source_conflict', field, role, state, layout from i where segment_id%8=0
+      union all select segment_id, 'both_sides_match_our_account', null, null, null, layout from i where segment_id%7=1),
+    own as (select *, code in ('source_bank_mismatch', 'own_company_mismatch', 'own_account_mismatch', 'both_sides_match_our_account', 'own_side_conflict') as mine from two),
+    c as (select segment_id, greatest(count(*) filter (where code='source_conflict'), 1) as n from own where mine or code='source_conflict' group by 1),
+    l as (select case when segment_id%9=2 then 'unknown' else cast(layout as varchar) end as layout, segment_id from i),
+    g as (select layout, count(*) as n, min(segment_id) as first from l group by 1)
+    select 'code' as kind, code as name, cast(count(*) as bigint) as n from own where not mine and code<>'source_conflict' group by 2
+    union all select 'code', 'source_conflict', cast(sum(n) as bigint) from c
+    union all select 'field', concat_ws('/', field, role, state), cast(count(*) as bigint) from two where state is not null group by field, role, state
+    union all select 'layout', concat('layout-', row_number() over (order by first, layout)), cast(n as bigint) from g
+    union all select 'total', '', cast(count(*) as bigint) from i""",
 )
 def _(t):
-    i = _issues(t)
-    return audit.diagnostic_summary(i.unionByName(i.filter("code = 'own_company_mismatch'")))
+    i, k = _issues(t), F.col("segment_id")
+    none = F.lit(None).cast("string")
+    more = i.filter(k % 7 == 1).withColumns({"code": F.lit("both_sides_match_our_account"), "field": none, "role": none, "state": none})
+    issues = i.unionByName(i.filter("code = 'own_company_mismatch'")).unionByName(i.filter(k % 8 == 0).withColumn("code", F.lit("source_conflict"))).unionByName(more)
+    return audit.diagnostic_summary(issues, i.select("segment_id", F.when(k % 9 != 2, F.col("layout")).alias("layout")))
 
 
-@query(
-    "issue_collections", "",
-    f"""with {_ISSUES} select case when segment_id%6=0 then 'unknown' else code end as issue, concat('b', layout%3) as bank, case when segment_id%6<>0 then field end as field, case when segment_id%6<>0 then role end as role, 'ordinary' as document_type, layout%5 as layout, cast(count(*) as bigint) as items, min(segment_id) as first_item from i group by 1, 2, 3, 4, 5, 6""",
-)
-def _(t):
-    i = _issues(t)
+_MEMBERS = """m as (select distinct segment_id, case when segment_id%6=0 then 'unsupported_layout' else code end as issue, concat('b', layout%3) as bank,
+  case when segment_id%6<>0 then field end as field, case when segment_id%6<>0 then role else 'unknown' end as role, 'ordinary' as document_type, layout%5 as layout from i where segment_id%10<>3)"""
+
+
+def _collected(t):
+    i, k = _issues(t), F.col("segment_id")
     one = F.struct("code", "field", "role")
-    items = i.select(
-        "segment_id", F.when(F.col("segment_id") % 6 != 0, F.array(one, one)).alias("issues"), F.concat(F.lit("b"), (F.col("layout") % 3).cast("string")).alias("bank"),
-        F.lit("ordinary").alias("document_type"), (F.col("layout") % 5).alias("layout"),
+    route = F.when(k % 10 == 3, "named").when(k % 2 == 0, "own_pending").otherwise("counterparty_pending")
+    return i.select(
+        "segment_id", F.when(k % 6 != 0, F.array(one, one)).alias("issues"), F.concat(F.lit(" b"), (F.col("layout") % 3).cast("string")).alias("bank"),
+        F.lit("ordinary").alias("document_type"), (F.col("layout") % 5).alias("layout"), route.alias("route"),
     )
-    return audit.issue_collections(items)
+
+
+@query("issue_collections", "", f"with {_ISSUES}, {_MEMBERS} select issue, bank, field, role, document_type, layout, cast(count(*) as bigint) as items, min(segment_id) as first_item from m group by 1, 2, 3, 4, 5, 6")
+def _(t):
+    return audit.issue_collections(_collected(t))
+
+
+@query("issue_members", "", f"with {_ISSUES}, {_MEMBERS} select * from m")
+def _(t):
+    return audit.issue_members(_collected(t))
 
 
 @query(

@@ -49,13 +49,14 @@ def _(t):
 
 @query(
     "unique_filenames", "",
-    """with s as (select p_partkey, case when p_partkey%40=5 then '_CON' else rtrim(replace(concat(p_brand, case when p_partkey%2=0 then '_x' else '' end), '#', '#')) end as stem from part),
-    n as (select *, row_number() over (partition by lower(stem) order by length(stem), p_partkey) as n from s)
-    select p_partkey, case when n>1 then concat(stem, '-', n) else stem end as stem from n""",
+    """with s as (select p_partkey, case when p_partkey%40=5 then 'CON_' when p_partkey%10=7 then p_brand || '-3' when p_partkey%10=9 then 'a  b' when p_partkey%2=0 then p_brand || '_x' else p_brand end as stem from part),
+    n as (select *, row_number() over (partition by lower(stem) order by p_partkey) as n from s),
+    t as (select distinct lower(stem) as low from s)
+    select p_partkey, case when n=1 then stem when n>=3 and exists (select 1 from t where low=lower(n.stem) || '-3') then concat(stem, '-', n.n+1) else concat(stem, '-', n.n) end as stem from n""",
 )
 def _(t):
     k = F.col("p_partkey")
-    names = t.part.select("p_partkey", F.when(k % 40 == 5, "CON").otherwise(F.concat("p_brand", F.when(k % 2 == 0, "/x").otherwise(" . "))).alias("label"))
+    names = t.part.select("p_partkey", F.when(k % 40 == 5, "CON").when(k % 10 == 7, F.concat("p_brand", F.lit("-3"))).when(k % 10 == 9, " ..a  b. ").otherwise(F.concat("p_brand", F.when(k % 2 == 0, "/x").otherwise(" . "))).alias("label"))
     return export.unique_filenames(names, "p_partkey", "label")
 
 
@@ -207,10 +208,10 @@ def _(t):
 
 @query("write_index")
 def _(t):
-    import tempfile
+    import uuid
 
-    # A test run has no shared folder; a cluster run passes its own path.
-    base = t.spark.conf.get("spark.checkpoint.dir", None) or tempfile.gettempdir()
-    path = f"{base}/index-{abs(hash(t.folder))}"
+    from slipweave.session import shared_folder
+
+    path = f"{shared_folder(t.spark)}/index-{uuid.uuid4().hex}"
     export.write_index(t.routed.select("segment_id", "group_id", "page"), path, "csv", "overwrite")
     return t.spark.read.schema("segment_id long, group_id string, page long").option("header", True).csv(path)

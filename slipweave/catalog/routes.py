@@ -140,14 +140,25 @@ def _(t):
     return route.build_groups(routed, manual)
 
 
+_COUNTS = """cast(count(*) as bigint) as total, cast(count(*) filter (where route='excluded') as bigint) as excluded,
+      cast(count(*) filter (where route<>'excluded' and state in ('pending', 'failed')) as bigint) as extraction_pending,
+      cast(count(*) filter (where route<>'excluded' and not coalesce(own_side is not null and reasons='' and bank_status='matched', false)) as bigint) as own_pending,
+      cast(count(*) filter (where route='counterparty_pending') as bigint) as counterparty_pending,
+      cast(count(*) filter (where route not in ('excluded', 'counterparty_pending', 'own_pending')) as bigint) as assigned,
+      cast(count(*) filter (where route<>'excluded' and state='stale') as bigint) as stale"""
+
+
 @query(
     "route_counts",
     "slips",
-    f"""with {TRUTH} select cast(count(*) as bigint) as total, cast(count(*) filter (where route='excluded') as bigint) as excluded, cast(0 as bigint) as own_pending,
-      cast(count(*) filter (where route='counterparty_pending') as bigint) as counterparty_pending, cast(0 as bigint) as assigned, 'needs_confirmation' as status from routed_slips""",
+    f"""with {TRUTH}, x as (select *, case when segment_id%7=0 then 'stale' when segment_id%11=0 then 'pending' when segment_id%13=0 then 'failed' else 'ready' end as state from routed_slips),
+    k as (select {_COUNTS} from x)
+    select *, case when extraction_pending+own_pending+counterparty_pending+stale=0 then 'ready' else 'needs_confirmation' end as status from k""",
 )
 def _(t):
-    return route.route_counts(route.derive_route(wide(t), ACCOUNT))
+    k = F.col("segment_id")
+    state = F.when(k % 7 == 0, "stale").when(k % 11 == 0, "pending").when(k % 13 == 0, "failed").otherwise("ready")
+    return route.route_counts(route.derive_route(wide(t), ACCOUNT).withColumn("extraction_state", state))
 
 
 @query(
@@ -167,14 +178,14 @@ def _(t):
 @query(
     "refresh_stale",
     "slips",
-    f"""with {TRUTH} select segment_id, case when segment_id%4=0 or segment_id%10=7 then route else 'old' end as route, 'v2' as version, segment_id%4=0 or segment_id%10=7 as recomputed
+    f"""with {TRUTH} select segment_id, case when segment_id%4=0 or segment_id%10=7 or segment_id%9=1 then route else 'old' end as route, 'v2' as version, segment_id%4=0 or segment_id%10=7 or segment_id%9=1 as recomputed
       from routed_slips where true""",
 )
 def _(t):
     s = wide(t)
     stale = F.col("segment_id") % 4 == 0
     old = s.select(
-        "segment_id", *[F.lit("old").alias(c) for c in route.ROUTED], F.when(stale, "v1").otherwise("v2").alias("version")
+        "segment_id", *[F.lit("old").alias(c) for c in route.ROUTED], F.when(F.col("segment_id") % 9 == 1, F.lit(None)).when(stale, "v1").otherwise("v2").alias("version")
     )
     picked = s.filter("segment_id % 10 = 7").select("segment_id")
     return route.refresh(old, s, ACCOUNT, "v2", picked).select("segment_id", "route", "version", "recomputed")
@@ -210,9 +221,9 @@ def _(t):
     "apply_edits_routes",
     "slips",
     f"""with {_EDITS} select segment_id, route, group_label from routed_slips where segment_id%5<>0
-    union all select segment_id, case when base='conflict' then route when base='internal' then 'internal' when assigns then 'named' when names then 'named' else route end,
-      case when base='conflict' then group_label when base='internal' then 'Own Co' when assigns then 'Chosen' when names then 'New Co' else group_label end
-    from z where conflict is null and base<>'excluded'""",
+    union all select segment_id, case when conflict is not null or base='excluded' or base='conflict' then route when base='internal' then 'internal' when assigns then 'named' when names then 'named' else route end,
+      case when conflict is not null or base='excluded' or base='conflict' then group_label when base='internal' then 'Own Co' when assigns then 'Chosen' when names then 'New Co' else group_label end
+    from z""",
 )
 def _(t):
     return _edited(t)[0].select("segment_id", "route", "group_label")

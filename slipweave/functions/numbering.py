@@ -6,6 +6,13 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
+def join_same(left: DataFrame, right: DataFrame, keys: list[str]) -> DataFrame:
+    """Inner join on equal keys, where NULL equals NULL; the keys appear once."""
+    named = right.withColumnsRenamed({k: f"_r_{k}" for k in keys})
+    condition = [F.col(k).eqNullSafe(F.col(f"_r_{k}")) for k in keys]
+    return left.join(named, condition).drop(*[f"_r_{k}" for k in keys])
+
+
 def number_rows(
     df: DataFrame, part: list[str], levels: list[tuple[str, Column]], order: list[Column], out: str
 ) -> DataFrame:
@@ -14,7 +21,8 @@ def number_rows(
     Each level is a named, ever finer bucket that agrees with the wanted order (import block,
     source, page block). Rows are counted per finest bucket with partial aggregation, offsets are
     prefix sums over those counts, and only one finest bucket is ever sorted together. A group
-    holding a third of all rows is therefore numbered by many tasks.
+    holding a third of all rows is therefore numbered by many tasks. NULL sorts first and counts
+    as a value of its own, so no row is lost.
     """
     names = [n for n, _ in levels]
     rows = df.withColumns(dict(levels))
@@ -26,13 +34,12 @@ def number_rows(
         sums = finest if depth == len(names) - 1 else finest.groupBy(*upto).agg(F.sum("_n").alias("_n"))
         w = Window.partitionBy(*above).orderBy(name).rowsBetween(Window.unboundedPreceding, -1)
         step = sums.select(*upto, F.coalesce(F.sum("_n").over(w), F.lit(0)).alias(f"_o{depth}"))
-        offsets = offsets.join(step, upto)
+        offsets = join_same(offsets, step, upto)
         total = total + F.col(f"_o{depth}")
     offsets = offsets.select(*part, *names, total.alias("_offset"))
     local = F.row_number().over(Window.partitionBy(*part, *names).orderBy(*order))
     return (
-        rows.withColumn("_local", local)
-        .join(offsets, part + names)
+        join_same(rows.withColumn("_local", local), offsets, part + names)
         .withColumn(out, (F.col("_offset") + F.col("_local")).cast("long"))
         .drop("_offset", "_local", *names)
     )

@@ -6,7 +6,7 @@ import unicodedata
 from collections.abc import Callable, Mapping
 
 import pandas as pd
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -103,6 +103,22 @@ def nfc(c: Column) -> Column:
     return F.coalesce(_nfc(F.when(~stable, c)), c)
 
 
+@F.pandas_udf(T.ArrayType(T.StringType()))
+def _nfc_each(s: pd.Series) -> pd.Series:
+    return s.map(lambda texts: [None if v is None else unicodedata.normalize("NFC", v) for v in texts], na_action="ignore")
+
+
+def composed(df: DataFrame, columns: list[str]) -> DataFrame:
+    """``df`` with the columns width-folded and composed where any of a row's texts needs it; other rows stay in the JVM."""
+    if not columns:
+        return df
+    unstable = F.lit(False)
+    for c in columns:
+        unstable = unstable | ~F.coalesce(F.col(c).rlike(_STABLE_NFC), F.lit(True))
+    told = df.withColumn("_nfc", _nfc_each(F.when(unstable, F.array(*[fold_width(F.col(c)) for c in columns]))))
+    return told.withColumns({c: F.when(F.col("_nfc").isNull(), F.col(c)).otherwise(F.get("_nfc", F.lit(i))) for i, c in enumerate(columns)}).drop("_nfc")
+
+
 def nfkc(c: Column) -> Column:
     folded = fold_width(c)
     stable = folded.rlike(_STABLE)

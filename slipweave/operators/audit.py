@@ -8,6 +8,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from slipweave.functions.numbering import number_rows
+
 from slipweave.functions import geometry as g
 from slipweave.functions import identity
 from slipweave.operators.export import extract_order
@@ -95,35 +97,53 @@ def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         yield pd.DataFrame(taken, columns=["job_id", "seq", "accepted_at"])
 
 
-def diagnostic_summary(issues: DataFrame) -> DataFrame:
-    """Counts per issue code, per (field, role, state) and per anonymous layout.
+# Reasons that set a slip against our own identity.
+IDENTITY_CONFLICTS = ("source_bank_mismatch", "own_company_mismatch", "own_account_mismatch", "both_sides_match_our_account", "own_side_conflict")
+
+
+def diagnostic_summary(issues: DataFrame, items: DataFrame) -> DataFrame:
+    """Counts per issue code, per (field, role, state), per layout, and of all slips.
 
-    ``issues(segment_id, code, field, role, state, layout)``; conflicts with our own identity
-    count once per slip, as ``source_conflict``. Layouts are numbered by size over the small
-    table of distinct layouts.
+    ``issues(segment_id, code, field, role, state)``, ``items(segment_id, layout)``. A slip with reasons against our
+    own identity and no ``source_conflict`` of its reader counts once as one. Layouts get numbers in the order
+    of their first slip, which name them without telling what they are; slips without a layout share ``unknown``.
     """
-    own = F.col("code").isin("own_company_mismatch", "own_account_mismatch", "source_bank_mismatch")
-    coded = issues.withColumn("code", F.when(own, "source_conflict").otherwise(F.col("code")))
-    by_code = coded.groupBy("code", F.when(F.col("code") == "source_conflict", F.col("segment_id")).alias("_one")).agg(F.count(F.lit(1)).alias("_n"))
-    codes = by_code.groupBy("code").agg(F.sum(F.when(F.col("_one").isNotNull(), 1).otherwise(F.col("_n"))).alias("n"))
-    states = issues.groupBy("field", "role", "state").agg(F.count(F.lit(1)).alias("n"))
-    layouts = issues.groupBy("layout").agg(F.count(F.lit(1)).alias("n"))
-    named = layouts.groupBy("n").agg(F.count(F.lit(1)).alias("layouts"))
+    identity = F.col("code").isin(*IDENTITY_CONFLICTS)
+    read = F.count_if(F.col("code") == "source_conflict")
+    conflicts = issues.filter(identity | (F.col("code") == "source_conflict")).groupBy("segment_id").agg(F.greatest(read, F.lit(1)).alias("_n"))
+    codes = (
+        issues.filter(~identity & (F.col("code") != "source_conflict")).groupBy("code").agg(F.count(F.lit(1)).alias("n"))
+        .unionByName(conflicts.agg(F.sum("_n").alias("n")).filter("n is not null").select(F.lit("source_conflict").alias("code"), "n"))
+    )
+    states = issues.filter("state is not null").groupBy("field", "role", "state").agg(F.count(F.lit(1)).alias("n"))
+    layouts = items.groupBy(F.coalesce(F.col("layout").cast("string"), F.lit("unknown")).alias("layout")).agg(F.count(F.lit(1)).alias("n"), F.min("segment_id").alias("first"))
+    numbered = number_rows(layouts, [], [("_block", F.floor(F.col("first") / 65536))], [F.col("first"), F.col("layout")], "no")
     return (
         codes.select(F.lit("code").alias("kind"), F.col("code").alias("name"), "n")
         .unionByName(states.select(F.lit("field").alias("kind"), F.concat_ws("/", "field", "role", "state").alias("name"), "n"))
-        .unionByName(named.select(F.lit("layout_size").alias("kind"), F.col("n").cast("string").alias("name"), F.col("layouts").alias("n")))
+        .unionByName(numbered.select(F.lit("layout").alias("kind"), F.concat(F.lit("layout-"), F.col("no").cast("string")).alias("name"), "n"))
+        .unionByName(items.agg(F.count(F.lit(1)).alias("n")).select(F.lit("total").alias("kind"), F.lit("").alias("name"), "n"))
     )
 
 
+COLLECTION = ("issue", "bank", "field", "role", "document_type", "layout")
+
+
+def issue_members(items: DataFrame) -> DataFrame:
+    """A row per pending slip and collection it belongs to; a slip without issues has an unsupported layout."""
+    pending = items.filter(F.col("route").isin("counterparty_pending", "own_pending"))
+    votes = pending.select("segment_id", F.explode_outer("issues").alias("_i"), F.trim("bank").alias("bank"), "document_type", "layout")
+    none = F.col("_i").isNull()
+    return votes.select(
+        "segment_id", F.when(none, "unsupported_layout").otherwise(F.col("_i.code")).alias("issue"), "bank", F.col("_i.field").alias("field"),
+        F.when(none, "unknown").otherwise(F.col("_i.role")).alias("role"), "document_type", "layout",
+    ).distinct()
+
+
 def issue_collections(items: DataFrame) -> DataFrame:
-    """Pending items per (issue, bank, field, role, kind, layout), one vote per item."""
-    keys = ["issue", "bank", "field", "role", "document_type", "layout"]
-    votes = items.select("segment_id", F.explode_outer("issues").alias("_i"), "bank", "document_type", "layout").select(
-        "segment_id", F.coalesce("_i.code", F.lit("unknown")).alias("issue"), "bank", F.col("_i.field").alias("field"), F.col("_i.role").alias("role"), "document_type", "layout"
-    )
-    once = votes.groupBy("segment_id", *keys).agg(F.lit(1).alias("_one"))
-    return once.groupBy(*keys).agg(F.count(F.lit(1)).alias("items"), F.min("segment_id").alias("first_item"))
+    """Collections of pending slips by (issue, bank, field, role, kind, layout), largest first; see :func:`issue_members`."""
+    sized = issue_members(items).groupBy(*COLLECTION).agg(F.count(F.lit(1)).alias("items"), F.min("segment_id").alias("first_item"))
+    return sized.orderBy(F.desc("items"), "first_item", *COLLECTION)
 
 
 def rule_result_summary(rows: DataFrame) -> DataFrame:

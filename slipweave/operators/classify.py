@@ -103,7 +103,7 @@ def is_title(c: Column) -> Column:
         split_lines(c), lambda s: F.regexp_replace(tx.squeeze(s), f"(?<={_CJK})\\s+(?={_CJK})", "")
     )
     lines = F.filter(lines, lambda s: s != "")
-    pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, 65536).alias("b"))
+    pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))
     named = F.transform(pairs, lambda p: F.struct(p["a"].alias("line"), F.coalesce(p["b"], F.lit("")).alias("next")))
     return F.coalesce(
         F.exists(named, lambda p: ~p["next"].contains("专用章") & _title_line(p["line"])), F.lit(False)

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+import unicodedata
+
 from collections.abc import Sequence
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -98,32 +101,60 @@ def page_mappings(numbered: DataFrame, records: DataFrame) -> DataFrame:
     return _page_rect(records).select("segment_id", *PAGE_KEY).join(slim, PAGE_KEY).select("segment_id", "mode", "file_key", "output_page")
 
 
-# Device names no file may carry. Fixed values.
-RESERVED = ("CON", "PRN", "AUX", "NUL", *[f"COM{i}" for i in range(1, 10)], *[f"LPT{i}" for i in range(1, 10)])
+# Device names no file may carry, the name of an unnamed group, the longest file name in UTF-16 units.
+RESERVED = ("con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)])
+UNNAMED = "未命名分组"
+LONGEST_NAME = 240
+_ILLEGAL = frozenset('<>:"/\\|?*')
+
+
+def limit_units(text: str, budget: int) -> str:
+    """The longest beginning of at most ``budget`` UTF-16 units that splits no character."""
+    return text.encode("utf-16-le", "surrogatepass")[: 2 * max(0, budget)].decode("utf-16-le", "ignore")
+
+
+def safe_stem(label: str, suffix_units: int = 4) -> str:
+    """File-system safe name without its extension: composed, illegal and invisible characters replaced, ends trimmed, device names marked."""
+    composed = unicodedata.normalize("NFC", label).strip()
+    clean = "".join("_" if c in _ILLEGAL or unicodedata.category(c) in ("Cc", "Cf") else c for c in composed).strip(" .") or UNNAMED
+    clean += "_" if clean.casefold() in RESERVED else ""
+    return limit_units(clean, LONGEST_NAME - suffix_units).rstrip(" .") or UNNAMED
+
+
+def _stems(suffix_units: int):
+    """Stem, its caseless form, and the beginning that leaves room for a number; a group has one label, so few rows come here."""
+    room = LONGEST_NAME - suffix_units - 8
 
+    @F.pandas_udf("stem string, _low string, _head string")
+    def run(labels: pd.Series) -> pd.DataFrame:
+        stems = [safe_stem(v or "", suffix_units) for v in labels]
+        low = [v.casefold() for v in stems]
+        return pd.DataFrame({"stem": stems, "_low": low, "_head": [v if len(v) + sum(c > "\uffff" for c in v) <= room else limit_units(v, room).rstrip(" .") for v in low]})
 
-def safe_stem(label: Column, longest: int = 240) -> Column:
-    """File-system safe name: illegal characters replaced, ends trimmed, reserved words avoided."""
-    clean = F.regexp_replace(label, '[<>:"/\\\\|?*\\x00-\\x1f\\x7f]', "_")
-    clean = F.regexp_replace(tx.squeeze(clean), "[. ]+$", "")
-    clean = F.when(clean == "", "unnamed").otherwise(clean)
-    first = F.upper(F.substring_index(clean, ".", 1))
-    return F.substring(F.when(first.isin(*RESERVED), F.concat(F.lit("_"), clean)).otherwise(clean), 1, longest - 8)
+    return run
 
 
-def unique_filenames(labels: DataFrame, key: str, label: str, rounds: int = 3) -> DataFrame:
-    """Distinct file stems regardless of case: repeats get ``-2``, ``-3``, …
+def unique_filenames(labels: DataFrame, key: str, label: str, suffix_units: int = 4) -> DataFrame:
+    """Distinct file stems regardless of case: the first row of a stem keeps it, the others get ``-2``, ``-3``, …
 
-    Names that a suffix makes collide with another stem get a further suffix; ``rounds`` passes
-    settle chains, and what still collides after them takes its key as suffix.
+    A number whose name another label spells out is passed over, so every name is given once. Stems too long for a suffix are
+    numbered together with all that share the beginning left for it. Rows are numbered in key order by counts and
+    prefix sums, so a stem of very many rows is spread over many tasks; no key may repeat.
     """
-    df = labels.select(key, safe_stem(F.col(label)).alias("stem"))
-    for _ in range(rounds):
-        n = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy(F.length("stem"), key))
-        df = df.withColumn("_n", n).withColumn("stem", F.when(F.col("_n") > 1, F.concat_ws("-", "stem", F.col("_n").cast("string"))).otherwise(F.col("stem")))
-    n = F.row_number().over(Window.partitionBy(F.lower("stem")).orderBy(key))
-    df = df.withColumn("_n", n)
-    return df.select(key, F.when(F.col("_n") > 1, F.concat_ws("-", "stem", F.col(key).cast("string"))).otherwise(F.col("stem")).alias("stem"))
+    rows = labels.select(key, _stems(suffix_units)(label).alias("_s")).select(key, "_s.*")
+    numeric = labels.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
+    block = F.floor(F.col(key) / 65536) if numeric else F.pmod(F.xxhash64(key), F.lit(1024))
+    firsts = rows.groupBy("_low").agg(F.min(key).alias("_first"))
+    named = rows.join(firsts, "_low")
+    rest = number_rows(named.filter(F.col(key) != F.col("_first")), ["_head"], [("_block", block)], [F.col(key)], "_no")
+    spelled = firsts.select(F.regexp_extract("_low", "^(.+)-([0-9]{1,9})$", 1).alias("_head"), F.regexp_extract("_low", "^(.+)-([0-9]{1,9})$", 2).alias("_k"))
+    spelled = spelled.filter(F.col("_k").rlike("^[1-9]")).select("_head", F.col("_k").cast("long").alias("_k"))
+    taken = spelled.join(rest.select("_head").distinct(), "_head", "left_semi").groupBy("_head").agg(F.array_sort(F.collect_set("_k")).alias("_taken"))
+    none = F.array().cast("array<bigint>")
+    number = F.aggregate(F.filter(F.coalesce("_taken", none), lambda k: k >= 2), F.col("_no") + 1, lambda n, k: F.when(k <= n, n + 1).otherwise(n))
+    kept = F.when(F.col("_low") == F.col("_head"), F.col("stem")).otherwise(F.substring(F.col("stem"), F.lit(1), F.length("_head")))
+    suffixed = rest.join(taken, "_head", "left").select(key, F.concat_ws("-", kept, number.cast("string")).alias("stem"))
+    return named.filter(F.col(key) == F.col("_first")).select(key, "stem").unionByName(suffixed)
 
 
 def extract_order(items: DataFrame) -> DataFrame:
@@ -231,8 +262,8 @@ def draft_rows(routed: DataFrame, fields: DataFrame, sources: DataFrame) -> Data
 
 def results_page(snapshot: DataFrame, offset: int, limit: int) -> DataFrame:
     """Rows of one stable page by dense position, with the offset of the next page."""
-    if not 1 <= limit <= 200 or offset < 0:
-        raise ValueError("limit must be 1 to 200 and offset not negative")
+    if limit < 1 or offset < 0:
+        raise ValueError("limit must be positive and offset not negative")
     total = snapshot.agg(F.max("position").alias("n")).scalar()
     rows = snapshot.filter((F.col("position") > offset) & (F.col("position") <= offset + limit))
     return rows.withColumn("next_offset", F.when(total > offset + limit, F.lit(offset + limit).cast("long")))

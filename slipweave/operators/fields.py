@@ -370,23 +370,21 @@ def next_line_value(cells: DataFrame, lines: DataFrame, labels: DataFrame, cente
     )
 
 
-def merge_field_values(candidates: DataFrame, keys: list[str], order: list[str], most: int = 16) -> DataFrame:
+def merge_field_values(candidates: DataFrame, keys: list[str], order: list[str]) -> DataFrame:
     """One value per field: missing readings count for nothing, different readings conflict.
 
-    Equal readings fold by partial aggregation first; a conflict shows its first ``most`` values.
+    Equal readings fold by partial aggregation first; a conflict shows all its different values, in order.
     """
     seen = candidates.filter("state <> 'missing'")
     distinct = seen.groupBy(*keys, "value", "state").agg(F.min(F.struct(*order, "raw")).alias("_o"))
-    ranked = distinct.groupBy(*keys).agg(
-        F.slice(F.array_sort(F.collect_list(F.struct("_o", "value", "state"))), 1, most).alias("_v")
-    )
+    ranked = distinct.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("_o", "value", "state"))).alias("_v"))
     single = F.size("_v") == 1
     first = F.element_at("_v", 1)
     joined = lambda f: F.array_join(F.transform("_v", f), " | ")
     return ranked.select(
         *keys,
-        F.when(single, first["_o"]["raw"]).otherwise(F.substring(joined(lambda s: s["_o"]["raw"]), 1, 4096)).alias("raw"),
-        F.when(single, first["value"]).otherwise(F.substring(joined(lambda s: s["value"]), 1, 4096)).alias("value"),
+        F.when(single, first["_o"]["raw"]).otherwise(joined(lambda s: s["_o"]["raw"])).alias("raw"),
+        F.when(single, first["value"]).otherwise(joined(lambda s: s["value"])).alias("value"),
         F.when(single, first["state"]).otherwise(F.lit("ambiguous")).alias("state"),
         F.size("_v").cast("long").alias("readings"),
     )

@@ -8,6 +8,7 @@ Missing optional columns count as NULL. The decision is one projection without a
 
 from __future__ import annotations
 
+import unicodedata
 from collections.abc import Mapping, Sequence
 
 from pyspark.sql import Column, DataFrame
@@ -47,11 +48,28 @@ def _merge(cur: Column, cur_state: Column, new: Column, new_state: Column, keep:
     return value, state
 
 
-def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = False) -> DataFrame:
+def normal_account(account: Mapping[str, str]) -> dict[str, str]:
+    """The own profile in the normal form of the fields it is compared with: widths folded, composed, spaces collapsed or removed."""
+
+    def text(value: str) -> str:
+        narrow = "".join(chr(ord(ch) - 0xFEE0) if 0xFF01 <= ord(ch) <= 0xFF5E else " " if ch == "\u3000" else ch for ch in value)
+        return " ".join(unicodedata.normalize("NFC", narrow).split())
+
+    return {**account, "company_name": text(account["company_name"]), "bank_name": text(account["bank_name"]), "account_number": text(account["account_number"]).replace(" ", "")}
+
+
+def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = True) -> DataFrame:
     """Decide own side, reasons, route and group of each slip against one own account.
 
-    ``compose`` runs NFC on names; leave it off for text composed on the way in.
+    ``compose`` runs NFC on the texts; leave it off for text composed on the way in. One look per slip tells
+    whether any of its texts needs it, so most slips never go to Python.
     """
+    account = normal_account(account)
+    if compose:
+        texts = [c for c in (*[f"{p}{s}_{f}" for s in SIDES for f in FIELDS for p in ("", "o_")], *[f"o_counterparty_{f}" for f in FIELDS],
+                             *[f"{s}_observed_{f}" for s in ("own", "counterparty") for f in FIELDS], "source_bank") if c in slips.columns]
+        slips = tx.composed(slips, texts)
+        compose = False
     have = set(slips.columns)
 
     def col(name: str) -> Column:
@@ -59,8 +77,8 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
         return F.lit(None).cast(OPTIONAL[name]) if name in OPTIONAL and name not in have else F.col(name)
 
     df = slips
-    company = F.lit(" ".join(account["company_name"].split()))
-    number = F.lit("".join(account["account_number"].split()))
+    company = F.lit(account["company_name"])
+    number = F.lit(account["account_number"])
 
     # Overrides onto the party fields, then one normal form per field.
     steps: dict[str, Column] = {}
@@ -208,7 +226,6 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = F
         F.when(r == "excluded", "已排除").when(r.isin("special", "service"), tx.type_label(kind)).when(pending, "对手待确认")
         .when(r == "internal", company).when(r == "assigned", col("assigned_label")).when(r == "blank", "对方名称为空").otherwise(name)
     )
-    label = F.when(F.length(label) <= 256, label).otherwise(F.concat(F.substring(label, 1, 255), F.lit("…")))
     why = (
         F.when(r == "excluded", "excluded_by_review").when(r == "conflict", "batch_identity_conflict")
         .when(r == "unnamed", F.when(name_state == "ambiguous", "counterparty_name_ambiguous").otherwise("counterparty_name_missing"))
@@ -250,15 +267,24 @@ def build_groups(routed: DataFrame, manual: DataFrame | None = None) -> DataFram
 
 
 def route_counts(routed: DataFrame) -> DataFrame:
-    """Totals of a run and whether it is ready."""
-    pending = F.col("route") == "counterparty_pending"
-    own = F.col("route") == "own_pending"
-    return routed.agg(
-        F.count(F.lit(1)).alias("total"), F.count_if(F.col("route") == "excluded").alias("excluded"),
-        F.count_if(own).alias("own_pending"), F.count_if(pending).alias("counterparty_pending"),
-        F.count_if(F.col("decision_method") == "manual").alias("assigned"),
-        F.when(F.count_if(pending | own) == 0, "ready").otherwise("needs_confirmation").alias("status"),
+    """Totals of a run and whether it is ready.
+
+    An own side is confirmed where it is decided without a reason against it and the bank fits. Assigned
+    are all slips with a route of their own. ``extraction_state`` is optional; without it nothing is pending or stale.
+    """
+    state = F.col("extraction_state") if "extraction_state" in routed.columns else F.lit("ready")
+    live = F.col("route") != "excluded"
+    confirmed = F.col("own_side").isNotNull() & (F.col("reasons") == "") & F.col("bank_status").isin("matched", "manual")
+    counts = routed.agg(
+        F.count(F.lit(1)).alias("total"), F.count_if(~live).alias("excluded"),
+        F.count_if(live & state.isin("pending", "failed")).alias("extraction_pending"),
+        F.count_if(live & ~F.coalesce(confirmed, F.lit(False))).alias("own_pending"),
+        F.count_if(F.col("route") == "counterparty_pending").alias("counterparty_pending"),
+        F.count_if(~F.col("route").isin("excluded", "counterparty_pending", "own_pending")).alias("assigned"),
+        F.count_if(live & (state == "stale")).alias("stale"),
     )
+    open_ = F.col("extraction_pending") + F.col("own_pending") + F.col("counterparty_pending") + F.col("stale")
+    return counts.withColumn("status", F.when(open_ == 0, "ready").otherwise("needs_confirmation"))
 
 
 def switch_account(slips: DataFrame, account: Mapping[str, str]) -> DataFrame:
@@ -268,12 +294,12 @@ def switch_account(slips: DataFrame, account: Mapping[str, str]) -> DataFrame:
 
 
 def refresh(routed: DataFrame, slips: DataFrame, account: Mapping[str, str], version: str, selected: DataFrame | None = None) -> DataFrame:
-    """Recompute only rows of another version (or listed ones); the rest pass through untouched."""
-    stale = F.col("version") != version
+    """Recompute rows of another or no version (or listed ones); the rest pass through untouched."""
+    stale = ~F.col("version").eqNullSafe(F.lit(version))
     if selected is not None:
         routed = routed.join(selected.select("segment_id").distinct().withColumn("_sel", F.lit(True)), "segment_id", "left")
         stale = stale | F.coalesce("_sel", F.lit(False))
-    old = routed.filter(stale).select("segment_id")
+    old = routed.filter(stale).select("segment_id").distinct()
     fresh = keep_routed(derive_route(slips.join(old, "segment_id", "left_semi"), account)).withColumn("version", F.lit(version))
     kept = routed.filter(~stale).drop("_sel")
     cols = ["segment_id", *[c for c in ROUTED if c in kept.columns], "version"]
@@ -286,12 +312,15 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
     ``edits(segment_id, expected_basis, name_value, name_state, clear_name, assign_group, clear_assignment)``
     against ``slips`` with ``basis`` and ``extraction_ready``. Returns (routed, conflicts). A
     changed name drops the earlier assignment; re-sending an equal one drops nothing. Excluded
-    slips reject names and assignments; internal and special slips cannot be assigned.
+    slips reject names and assignments; internal and special slips cannot be assigned. ``routed`` holds every
+    slip: those whose edit is refused, and excluded ones, as they were.
     """
     df = with_optional(slips)
     e = edits.select("segment_id", *[F.col(c).alias("e_" + c) for c in edits.columns if c != "segment_id"])
     many = e.groupBy("segment_id").agg(F.count(F.lit(1)).alias("_edits"))
-    rows = df.join(e.dropDuplicates(["segment_id"]), "segment_id", "left").join(many, "segment_id", "left")
+    # Only edited slips are decided twice. Of several edits of one slip none is taken, so it does not matter which stands for them.
+    rows = df.join(e.dropDuplicates(["segment_id"]), "segment_id").join(many, "segment_id")
+    untouched = df.join(many.select("segment_id"), "segment_id", "left_anti")
     g = groups.select(F.col("group_id").alias("e_assign_group"), F.col("kind").alias("_kind"), F.col("group_key").alias("_key"), F.col("label").alias("_label"))
     rows = rows.join(g, "e_assign_group", "left")
     new = F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce("e_name_value", "o_counterparty_name"))
@@ -301,19 +330,15 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
     named = edited & changed & (new_state == "present")
     assign = F.col("e_assign_group").isNotNull()
     drop = changed | F.coalesce("e_clear_assignment", F.lit(False))
-    basis = derive_route(
-        rows.withColumns(
-            {
-                "_named": F.coalesce(named, F.lit(False)), "_assign": assign, "_drop": F.coalesce(drop, F.lit(False)) & edited,
-                "o_counterparty_name": F.when(edited, new).otherwise(F.col("o_counterparty_name")),
-                "o_counterparty_name_state": F.when(edited, new_state).otherwise(F.col("o_counterparty_name_state")),
-            }
-        ).withColumnsRenamed({"_named": "e_named", "_assign": "e_assign", "_drop": "e_drop", "_kind": "e_kind", "_key": "e_key", "_label": "e_label", "_edits": "e_edits"})
-        .withColumns({"_keep_group": F.col("assigned_group")})
-        .withColumnRenamed("_keep_group", "e_old_group")
-        .withColumn("assigned_group", F.lit(None).cast("string")),
-        account,
-    )
+    tried = rows.withColumns(
+        {
+            "e_named": F.coalesce(named, F.lit(False)), "e_assign": assign, "e_drop": F.coalesce(drop, F.lit(False)) & edited,
+            "e_edits": F.col("_edits"), "e_kind": F.col("_kind"), "e_key": F.col("_key"), "e_label": F.col("_label"),
+            "e_old_group": F.col("assigned_group"), "e_old_name": F.col("o_counterparty_name"), "e_old_state": F.col("o_counterparty_name_state"),
+            "e_new_name": new, "e_new_state": new_state,
+        }
+    ).withColumns({"o_counterparty_name": F.col("e_new_name"), "o_counterparty_name_state": F.col("e_new_state"), "assigned_group": F.lit(None).cast("string")})
+    basis = derive_route(tried, account)
     wants = F.col("e_named") | F.col("e_assign")
     auto_service = (F.col("route") == "special") & F.coalesce(F.col("document_type").isin("", "ordinary"), F.lit(True)) & (F.col("counterparty_name_state") == "blank")
     problem = (
@@ -328,17 +353,21 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
     )
     judged = basis.withColumn("conflict", problem)
     conflicts = judged.filter("conflict is not null").select("segment_id", "conflict")
-    ok = judged.filter("conflict is null and route <> 'excluded' or e_edits is null")
+    # What is refused, and what an edit cannot change, stays as it was.
+    taken = F.col("conflict").isNull() & (F.col("route") != "excluded")
     group = F.when(F.col("e_assign"), F.col("e_assign_group")).when(~F.col("e_drop"), F.col("e_old_group"))
-    final = ok.withColumns(
+    assigned = taken & F.col("e_assign")
+    resolved = judged.withColumns(
         {
-            "assigned_group": group,
-            "assigned_kind": F.when(F.col("e_assign"), F.col("e_kind")).otherwise(F.col("assigned_kind")),
-            "assigned_key": F.when(F.col("e_assign"), F.col("e_key")).otherwise(F.col("assigned_key")),
-            "assigned_label": F.when(F.col("e_assign"), F.col("e_label")).otherwise(F.col("assigned_label")),
+            "o_counterparty_name": F.when(taken, F.col("e_new_name")).otherwise(F.col("e_old_name")),
+            "o_counterparty_name_state": F.when(taken, F.col("e_new_state")).otherwise(F.col("e_old_state")),
+            "assigned_group": F.when(taken, group).otherwise(F.col("e_old_group")),
+            "assigned_kind": F.when(assigned, F.col("e_kind")).otherwise(F.col("assigned_kind")),
+            "assigned_key": F.when(assigned, F.col("e_key")).otherwise(F.col("assigned_key")),
+            "assigned_label": F.when(assigned, F.col("e_label")).otherwise(F.col("assigned_label")),
         }
-    ).drop(*ROUTED)
-    return derive_route(final, account), conflicts
+    ).select(*df.columns)
+    return derive_route(untouched.select(*df.columns).unionByName(resolved), account), conflicts
 
 
 GUIDANCE = (

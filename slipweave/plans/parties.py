@@ -71,7 +71,7 @@ def detect_forms(lines: DataFrame) -> DataFrame:
         return F.max(F.when(F.array_contains(cells, alias), F.col("y0")))
 
     def meta(label: str) -> tuple[Column, Column]:
-        value = F.when(F.col("_c").startswith(label + ":"), F.substring(F.col("_c"), len(label) + 2, 4096))
+        value = F.when(F.col("_c").startswith(label + ":"), F.substr(F.col("_c"), F.lit(len(label) + 2)))
         return F.count(value), F.max(value)
 
     debit_n, debit = meta("借贷标志")
@@ -296,6 +296,6 @@ def layout_signature(cells: DataFrame, scopes: DataFrame) -> DataFrame:
     text = F.concat_ws("|", "kind", *[F.format_string("%.4f", c) for c in ("rx0", "ry0", "rx1", "ry1")])
     hashed = at.groupBy(*SEG).agg(
         F.sha2(F.array_join(F.array_sort(F.collect_list(text)), "\n"), 256).alias("signature"),
-        (F.count(F.lit(1)).between(2, 64) & (F.count_distinct("kind") >= 2)).alias("reliable"),
+        ((F.count(F.lit(1)) >= 2) & (F.count_distinct("kind") >= 2)).alias("reliable"),
     )
     return at.join(hashed, SEG)

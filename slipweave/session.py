@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
@@ -39,6 +40,16 @@ def stage(df: DataFrame) -> DataFrame:
     return df.persist(StorageLevel.MEMORY_AND_DISK)
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """The folder the cluster names for data all executors share; a local session may do with a folder of its own."""
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named.rstrip("/")
+    if not spark.sparkContext.master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a shared folder")
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def checkpoint_dir(spark: SparkSession, fallback: str | None = None) -> str:
     """The shared folder named by the cluster; ``fallback`` only where none is set."""
     configured = spark.conf.get("spark.checkpoint.dir", None)

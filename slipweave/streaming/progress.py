@@ -20,16 +20,20 @@ def stream_search(blocks: DataFrame, clauses: Sequence[Clause]) -> DataFrame:
 
 
 def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+    """Rows of a micro-batch come in any order, so a job's are put in order of arrival first.
+
+    What one trigger brings for one job must fit in memory; ``maxFilesPerTrigger`` bounds it.
+    """
     last = state.get[0] if state.exists else 0
-    for pdf in batches:
-        verdicts = []
-        for seq in pdf["seq"]:
-            if seq == last + 1:
-                last, verdict = int(seq), "accepted"
-            else:
-                verdict = "duplicate" if seq <= last else "out_of_order"
-            verdicts.append(verdict)
-        yield pd.DataFrame({"job_id": pdf["job_id"], "arrival": pdf["arrival"], "seq": pdf["seq"], "verdict": verdicts})
+    pdf = pd.concat(list(batches), ignore_index=True).sort_values("arrival", kind="stable")
+    verdicts = []
+    for seq in pdf["seq"]:
+        if seq == last + 1:
+            last, verdict = int(seq), "accepted"
+        else:
+            verdict = "duplicate" if seq <= last else "out_of_order"
+        verdicts.append(verdict)
+    yield pd.DataFrame({"job_id": pdf["job_id"], "arrival": pdf["arrival"], "seq": pdf["seq"], "verdict": verdicts})
     state.update((last,))
 
 

@@ -7,10 +7,11 @@ import pytest
 
 import __spark_entry__ as entry
 from check import canon
+from slipweave import catalog as registered
 from slipweave.catalog.views import BASE
 
 FOLDER = "/root/testdata/sf0.001"
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLES = registered.QUERIES, registered.ORACLES
 
 pytestmark = pytest.mark.skipif(not os.path.isdir(FOLDER), reason="test tables absent")
 

@@ -156,4 +156,67 @@ def test_number_rows_with_a_hot_source(spark):
 def test_filenames_cascade(spark):
     df = spark.createDataFrame([(1, "a"), (2, "A"), (3, "a-2"), (4, "a/b"), (5, "nul.txt"), (6, "  ")], "id long, label string")
     stems = [r.stem for r in export.unique_filenames(df, "id", "label").orderBy("id").collect()]
-    assert len({s.lower() for s in stems}) == 6 and stems[0] == "a" and stems[3] == "a_b" and stems[4] == "_nul.txt" and stems[5] == "unnamed"
+    assert len({s.lower() for s in stems}) == 6 and stems[0] == "a" and stems[3] == "a_b" and stems[4] == "nul.txt" and stems[5] == "未命名分组"
+
+
+def test_merge_keeps_every_reading(spark):
+    from slipweave.operators import fields
+
+    rows = [(1, "name", i, f"v{i:02d}" * 500, "present") for i in range(40)]
+    df = spark.createDataFrame(rows, "segment_id long, field string, no long, value string, state string").withColumn("raw", F.col("value"))
+    r = fields.merge_field_values(df, ["segment_id", "field"], ["no"]).first()
+    assert r.readings == 40 and r.state == "ambiguous" and r.value == r.raw == " | ".join(v for _, _, _, v, _ in rows)
+
+
+def test_numbers_keep_null_positions(spark):
+    df = spark.createDataFrame([(None, 1, 1), (2, None, 2), (2, 1, 3), (None, None, 4)], "p long, page long, k long")
+    found = {r.k: r.no for r in number_rows(df, ["p"], [("_b", F.col("page"))], [F.col("k")], "no").collect()}
+    assert found == {4: 1, 1: 2, 2: 1, 3: 2}
+
+
+def test_stamp_rule_far_down(spark):
+    far = "\n".join(["行"] * 70_000 + ["客户回单", "业务专用章"])
+    df = spark.createDataFrame([(far,), ("\n".join(["行"] * 70_000 + ["客户回单", "x"]),)], "text string")
+    assert [r.t for r in df.select(classify.is_title(F.col("text")).alias("t")).collect()] == [False, True]
+
+
+def test_any_number_of_clauses():
+    clauses = [(f"q{i}", "k" * (600 + i), "include") for i in range(100)]
+    assert len(search.check_clauses(clauses)) == 100
+
+
+def test_file_stems():
+    cases = {"CON": "CON_", " ..a  b. ": "a  b", "": "未命名分组", "a/b​c": "a_b_c", "é": "é", "x" * 300: "x" * 236, "\U0001F600" * 130: "\U0001F600" * 118}
+    assert {k: export.safe_stem(k) for k in cases} == cases
+
+
+def test_file_names_are_unique(spark):
+    labels = ["A", "a", "A-2", "A", "A-2", "b" * 236, "B" * 236, "b" * 235 + "c", "b" * 235 + "c", "A-2-2"]
+    df = spark.createDataFrame(list(enumerate(labels)), "k long, label string")
+    found = [r.stem for r in sorted(export.unique_filenames(df, "k", "label").collect())]
+    assert len({s.casefold() for s in found}) == len(labels) and all(len(s) <= 236 for s in found)
+    assert found[:5] == ["A", "a-3", "A-2", "A-4", "A-2-3"] and found[5] == "b" * 236
+
+
+WIDE = ["payer_name", "payer_account", "payer_bank", "payee_name", "payee_account", "payee_bank"]
+
+
+def wide_slip(spark, **over):
+    base = {c: "" for c in WIDE} | {f"{c}_state": "missing" for c in WIDE} | {"segment_id": 1, "source_bank": "中国银行", "source_state": "present", "excluded": False}
+    return spark.createDataFrame([base | over])
+
+
+def test_own_profile_is_folded(spark):
+    profile = {"company_name": "Ｏｗｎ　Café", "bank_name": "中国银行", "account_number": "０ ０1"}
+    slip = wide_slip(
+        spark, payer_name="Own Café", payer_name_state="present", payer_account="001", payer_account_state="present",
+        payee_name="Café Ltd", payee_name_state="present", payee_account="9", payee_account_state="present")
+    r = route.derive_route(slip, profile).first()
+    assert (r.own_side, r.reasons, r.route, r.group_key) == ("payer", "", "named", "counterparty:Café Ltd")
+
+
+def test_refresh_keeps_rows_without_version(spark):
+    slips = wide_slip(spark).unionByName(wide_slip(spark, segment_id=2)).unionByName(wide_slip(spark, segment_id=3))
+    old = slips.select("segment_id", *[F.lit("old").alias(c) for c in route.ROUTED], F.when(F.col("segment_id") == 1, "v2").when(F.col("segment_id") == 2, "v1").alias("version"))
+    found = {r.segment_id: r.recomputed for r in route.refresh(old, slips, ACCOUNT, "v2").collect()}
+    assert found == {1: False, 2: True, 3: True}

@@ -54,3 +54,15 @@ def test_stream_progress_keeps_latest_attempt(spark, tmp_path):
     assert sorted((r.page, r.attempt, r.status) for r in final.collect()) == [(1, 2, "succeeded"), (2, 1, "succeeded")]
     counts = audit.progress(final, ["source_id"]).select(F.col("succeeded")).first()
     assert counts.succeeded == 2
+
+
+def test_accept_stream_orders_a_shuffled_batch(spark, tmp_path):
+    schema = "job_id long, arrival long, seq long"
+    rows = [(1, i, i) for i in range(1, 401)]
+    rows = rows[::-1][:150] + rows[:100][::-1] + rows[100:250]
+    spark.createDataFrame(rows, schema).coalesce(1).write.parquet(str(tmp_path / "in"))
+    drain(
+        progress.accept_stream(spark.readStream.schema(schema).parquet(str(tmp_path / "in"))).writeStream.format("parquet").option("path", str(tmp_path / "out"))
+        .option("checkpointLocation", str(tmp_path / "c")).outputMode("append").trigger(availableNow=True).start()
+    )
+    assert {r.verdict for r in spark.read.parquet(str(tmp_path / "out")).collect()} == {"accepted"}
