@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 from slipweave.functions import geometry as g
 from slipweave.functions import text as tx
 from slipweave.functions.geometry import Rect
-from slipweave.operators.nearby import band_pairs, greedy_starts
+from slipweave.operators.nearby import band_pairs, greedy_starts, meet
 from slipweave.schema import PAGE
 
 _CJK = "[\\u3400-\\u4dbf\\u4e00-\\u9fff\\uf900-\\ufaff]"
@@ -275,7 +275,7 @@ def source_heading(lines: DataFrame, slips: DataFrame, headings: DataFrame | Non
     inside = (r.x0 >= s.x0) & (r.y0 >= s.y0) & (r.x1 <= s.x1) & (r.y1 <= s.y1) & (r.y0 <= top)
     frames = slips.select(*PAGE, "segment_id", *_prefixed("s_"))
     found = (
-        frames.join(heads.select(*PAGE, "bank", "x0", "y0", "x1", "y1"), list(PAGE))
+        meet(frames, heads.select(*PAGE, "bank", "x0", "y0", "x1", "y1"), list(PAGE), (F.col("s_y0"), F.col("s_y1")), (F.col("y0"), F.col("y1")))
         .filter(inside)
         .groupBy("segment_id")
         .agg(F.min("bank").alias("_lo"), F.max("bank").alias("_hi"))

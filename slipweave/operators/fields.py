@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from slipweave.functions import geometry as g
 from slipweave.functions import text as tx
 from slipweave.functions.geometry import Rect
-from slipweave.operators.nearby import band_pairs
+from slipweave.operators.nearby import band_pairs, meet
 from slipweave.schema import FIELDS, SIDES
 
 SEG = ["segment_id"]
@@ -39,7 +39,8 @@ def clip_lines(lines: DataFrame, scopes: DataFrame, slack: float = 0.5) -> DataF
     r, o = Rect(), Rect("s")
     inside = (r.x0 >= o.x0 - slack) & (r.y0 >= o.y0 - slack) & (r.x1 <= o.x1 + slack) & (r.y1 <= o.y1 + slack)
     clip = F.when(inside, "inside").when((g.intersection_area(r, o) > 0) & (g.area(r) > 0), "crosses")
-    return lines.join(s, ["source_id", "page"]).withColumn("clip", clip).filter("clip is not null")
+    pairs = meet(lines, s, ["source_id", "page"], (F.col("y0") - slack, F.col("y1") + slack), (F.col("sy0"), F.col("sy1")))
+    return pairs.withColumn("clip", clip).filter("clip is not null")
 
 
 def column_centers(cells: DataFrame) -> DataFrame:

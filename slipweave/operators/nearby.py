@@ -25,6 +25,21 @@ def band_pairs(
     return lhs.join(rhs, [*keys, "_band"]).drop("_band")
 
 
+def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], of_left: tuple[Column, Column], of_right: tuple[Column, Column], step: float = 128.0) -> DataFrame:
+    """Pairs of one page whose vertical intervals may touch, each pair once.
+
+    Both sides are repeated for the bands their intervals touch and meet on (keys, band). A pair that shares several
+    bands is kept in the first of them, where the later of the two intervals begins. The caller filters exactly.
+    """
+    def low(lo: Column, hi: Column) -> Column:
+        return g.band(F.least(lo, hi), step)
+
+    lhs = left.withColumns({"_first": low(*of_left), "_band": F.explode(g.bands(F.least(*of_left), F.greatest(*of_left), step))})
+    rhs = right.withColumns({"_begin": low(*of_right), "_band": F.explode(g.bands(F.least(*of_right), F.greatest(*of_right), step))})
+    pairs = lhs.join(rhs, [*keys, "_band"])
+    return pairs.filter(F.col("_band") == F.greatest("_first", "_begin")).drop("_band", "_first", "_begin")
+
+
 def greedy_starts(values: Column, starts: Callable[[Column, Column], Column]) -> Column:
     """Sorted values kept when ``starts(value, last kept)`` holds; the first is always kept.
 

@@ -11,7 +11,7 @@ from slipweave.functions import geometry as g
 from slipweave.functions import text as tx
 from slipweave.functions.geometry import Rect
 from slipweave.operators import classify
-from slipweave.operators.nearby import band_pairs, greedy_starts
+from slipweave.operators.nearby import band_pairs, greedy_starts, meet
 from slipweave.schema import PAGE
 
 MARGIN = 8.0
@@ -213,12 +213,11 @@ def merge_intervals(segments: DataFrame, tolerance: float = TOLERANCE) -> DataFr
     axes = positions.groupBy(*PAGE).agg(F.array_sort(F.collect_list("position")).alias("_p"))
     starts = greedy_starts(F.col("_p"), lambda p, last: p - last > tolerance)
     pairs = axes.select(*PAGE, F.explode(starts).alias("axis"))
-    w = Window.partitionBy(*PAGE).orderBy("axis")
-    spans = pairs.withColumn("_until", F.lead("axis").over(w))
+    w = Window.partitionBy(*PAGE).orderBy("position", F.col("axis").isNull()).rowsBetween(Window.unboundedPreceding, 0)
     s = segments.select(*PAGE, "position", "start", "end").distinct()
-    on_axis = s.join(spans, list(PAGE)).filter(
-        (F.col("position") >= F.col("axis")) & (F.col("_until").isNull() | (F.col("position") < F.col("_until")))
-    )
+    # Axes are positions; in order of position each segment lies on the last axis begun so far.
+    both = s.unionByName(pairs.withColumns({"position": F.col("axis")}), allowMissingColumns=True)
+    on_axis = both.withColumn("axis", F.last("axis", ignorenulls=True).over(w)).filter("start is not null or end is not null")
     run = Window.partitionBy(*PAGE, "axis").orderBy("start", "end")
     reach = F.max("end").over(run.rowsBetween(Window.unboundedPreceding, -1))
     islands = on_axis.withColumn("_new", F.coalesce(F.col("start") > reach + tolerance, F.lit(True))).withColumn(
@@ -370,7 +369,8 @@ def equal_slots(pages: DataFrame, n: int, top: float = 0.0, bottom: float = 0.0,
 
 def _meetings(slots: DataFrame, things: DataFrame) -> DataFrame:
     """Slot × thing rows of one page that intersect."""
-    return slots.join(things, list(PAGE)).filter(g.intersects(Rect(), Rect("b_")))
+    sides = [(F.col(f"{p}y0"), F.col(f"{p}y1")) for p in ("", "b_")]
+    return meet(slots, things, list(PAGE), *sides).filter(g.intersects(Rect(), Rect("b_")))
 
 
 def occupy_slots(slots: DataFrame, blocks: DataFrame, objects: DataFrame) -> DataFrame:
