@@ -58,10 +58,10 @@ def _(t):
 
 @query(
     "dedupe_failures", "",
-    "select user_id as source_id, event_id%4 as page, event_type as stage, 'E1' as code, 'm' as message, cast(user_id*2 as bigint) as source_position, cast(count(*) as bigint) as seen from events where event_type in ('error','view') group by 1, 2, 3",
+    "select user_id as source_id, event_id%4 as page, event_type as stage, 'E1' as code, 'm' as message, cast(user_id*2 as bigint) as source_position, cast(count(*) as bigint) as seen from events group by 1, 2, 3",
 )
 def _(t):
-    f = t.events.filter("event_type in ('error', 'view')").select(
+    f = t.events.select(
         F.col("user_id").alias("source_id"), (F.col("event_id") % 4).alias("page"), F.col("event_type").alias("stage"), F.lit("E1").alias("code"), F.lit("m").alias("message"), (F.col("user_id") * 2).alias("source_position")
     )
     return audit.dedupe_failures(f)

@@ -206,7 +206,7 @@ def _edited(t):
         F.when(k % 10 == 0, "New Co").alias("name_value"), F.when(k % 10 == 0, "present").alias("name_state"),
         F.lit(False).alias("clear_name"), F.when(k % 15 == 0, "manual-1").alias("assign_group"), F.lit(False).alias("clear_assignment"),
     )
-    groups = t.region.filter("r_regionkey = 0").select(
+    groups = t.region.select(
         F.concat(F.lit("manual-"), (F.col("r_regionkey") + 1).cast("string")).alias("group_id"), F.lit("named").alias("kind"), F.lit(None).cast("string").alias("group_key"), F.lit("Chosen").alias("label")
     )
     return route.apply_edits(s, edits, groups, ACCOUNT)
