@@ -10,6 +10,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 from os.path import commonprefix
 
 import pyarrow as pa
@@ -40,20 +41,21 @@ def unescape(text: str) -> str:
     return re.sub(r"\\([\\:])", lambda m: m[1].replace(":", ""), text)
 
 
+@lru_cache(maxsize=4096)
+def _turn(role: str, text: str) -> str:
+    t = escape(text)
+    if role == "system":
+        return f"<<SYS>> {t} <</SYS>>\n"
+    if role == "user":
+        return f"<s>[INST] {t} [/INST]"
+    if role == "assistant":
+        return f" {t} </s>"
+    return f"<s>[ROLE] {escape(role)} [/ROLE] {t} </s>"
+
+
 def instruction_template(turns: list[Turn]) -> str:
     """System, user and assistant turns in their own marks, any other role by name."""
-    out = []
-    for role, text in turns:
-        t = escape(text)
-        if role == "system":
-            out.append(f"<<SYS>> {t} <</SYS>>\n")
-        elif role == "user":
-            out.append(f"<s>[INST] {t} [/INST]")
-        elif role == "assistant":
-            out.append(f" {t} </s>")
-        else:
-            out.append(f"<s>[ROLE] {escape(role)} [/ROLE] {t} </s>")
-    return "".join(out)
+    return "".join([_turn(*t) for t in turns])
 
 
 def read_back(formatted: str) -> list[Turn]:
@@ -83,7 +85,9 @@ def locate(turns: list[Turn], template: Template) -> tuple[str, list[tuple[int,
             return template(turns), [], k - 1
         role = turns[k - 1][0]
         one, two = (template([*turns[: k - 1], (role, probe)]) for probe in "xy")
-        head = len(commonprefix([one, two]))
+        # What all outputs share from before need not be compared sign by sign.
+        known = len(before) if one.startswith(before) and two.startswith(before) else 0
+        head = known + len(commonprefix([one[known:], two[known:]]))
         tail = len(commonprefix([one[head:][::-1], two[head:][::-1]]))
         spans.append((len(before), len(now), head, len(now) - tail))
         before = now
