@@ -163,6 +163,14 @@ def _(t):
     return review.review_groups(_segs(t))
 
 
+@query(
+    "review_members", "",
+    f"with {_SEGS} select case when issuer is not null and template is not null then concat(issuer,'|',template,'|',position_index) else concat('single|', segment_id) end as review_key, segment_id, source_id, confirmed from s",
+)
+def _(t):
+    return review.review_members(_segs(t))
+
+
 @query(
     "review_rollup", "",
     f"with {_SEGS} select case when issuer is not null and template is not null then concat('bank|', issuer) else concat('source|', source_id) end as bucket, cast(count(*) as bigint) as slips, cast(count(*) filter (where not confirmed) as bigint) as \"open\" from s group by 1",

@@ -1,10 +1,14 @@
 """Search, criteria and evidence queries over document lines."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slipweave.catalog.registry import query
 from slipweave.functions import text as tx
 from slipweave.operators import search
+from slipweave.session import shared_folder
+from slipweave.streaming.progress import stream_search
 
 CLAUSES = [("include-0", "the", "include"), ("include-1", "tion", "include"), ("exclude-0", "nnt", "exclude")]
 _VALUES = "(values ('include-0','the','include'),('include-1','tion','include'),('exclude-0','nnt','exclude')) c(query_id, keyword, role)"
@@ -40,6 +44,18 @@ def _(t):
     )
 
 
+@query("stream_search", "doc_lines", f"with {_HITS} select source_id, block_index, query_id, role, matched_text from hits")
+def _(t):
+    """The same search over lines that land as a stream, read back from its sink."""
+    root = f"{shared_folder(t.spark)}/stream-{uuid.uuid4().hex}"
+    t.doc_lines.write.parquet(f"{root}/landed")
+    landed = t.spark.readStream.schema(t.doc_lines.schema).parquet(f"{root}/landed")
+    hits = stream_search(landed, CLAUSES).select("source_id", "block_index", "query_id", "role", "matched_text")
+    sink = hits.writeStream.format("parquet").option("path", f"{root}/hits").option("checkpointLocation", f"{root}/progress")
+    sink.trigger(availableNow=True).start().awaitTermination()
+    return t.spark.read.schema(hits.schema).parquet(f"{root}/hits")
+
+
 @query(
     "criteria_search_documents",
     "doc_lines",

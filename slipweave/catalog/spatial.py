@@ -51,6 +51,18 @@ def _(t):
     return assign.select_instances(assign.assign_matches(t.box_hits, t.slots), INCLUDES, "any")
 
 
+@query(
+    "selection_evidence",
+    "box_hits slots",
+    f"with {_ASSIGNED}, chosen as (" + _SELECT.format(met="bool_or(query_id='include-0') and bool_or(query_id='include-1')") + """)
+    select source_id, page, instance_id, query_id, x0, y0, x1, y1, max(confidence) as confidence, bool_and(outcome='contained') as certain
+    from out join chosen using (source_id, page, instance_id) where role='include' group by 1, 2, 3, 4, 5, 6, 7, 8""",
+)
+def _(t):
+    assigned = assign.assign_matches(t.box_hits, t.slots)
+    return assign.selection_evidence(assigned, assign.select_instances(assigned, INCLUDES))
+
+
 @query(
     "split_all",
     "slots",

@@ -17,24 +17,23 @@ def carry_forward_reviews(originals: DataFrame, log: DataFrame) -> DataFrame:
     ``originals(item_id, shared_key, revision, signature)`` meet
     ``log(item_id, shared_key, revision, signature, scope, review_status)``: the item's row at
     exactly this revision, else its latest earlier one, else the latest ``shared`` row — and
-    only while the immutable signature is unchanged. Each candidate set is folded to its best
-    row with partial aggregation before it meets the slips.
+    only while the immutable signature is unchanged. The log is folded before it meets the slips, in one
+    ordered pass per item and signature; no row of it is paired with every slip.
     """
     rank = F.struct(F.col("log_revision"), F.col("review_status"))
     own = log.filter("scope = 'item'").select("item_id", "signature", F.col("revision").alias("log_revision"), "review_status")
-    asof = (
-        originals.select("item_id", "revision", "signature")
-        .join(own, ["item_id", "signature"])
-        .filter(F.col("log_revision") <= F.col("revision"))
-        .groupBy("item_id", "revision")
-        .agg(F.max(rank).alias("_own"))
-    )
+    # Log rows and slips of an item in order of revision; each slip takes the greatest row passed so far.
+    folded = own.groupBy("item_id", "signature", F.col("log_revision").alias("revision")).agg(F.max(rank).alias("_row"))
+    asked = originals.select("item_id", "signature", "revision").distinct().withColumn("_asks", F.lit(1))
+    order = Window.partitionBy("item_id", "signature").orderBy("revision", F.coalesce("_asks", F.lit(0)))
+    passed = folded.unionByName(asked, allowMissingColumns=True).withColumn("_own", F.max("_row").over(order.rowsBetween(Window.unboundedPreceding, 0)))
+    asof = passed.filter("_asks = 1").select("item_id", "signature", "revision", "_own")
     shared = (
         log.filter("scope = 'shared'")
         .groupBy("shared_key", "signature")
         .agg(F.max(F.struct(F.col("revision").alias("log_revision"), "review_status")).alias("_shared"))
     )
-    rows = originals.join(asof, ["item_id", "revision"], "left").join(shared, ["shared_key", "signature"], "left")
+    rows = originals.join(asof, ["item_id", "signature", "revision"], "left").join(shared, ["shared_key", "signature"], "left")
     best = F.coalesce("_own", "_shared")
     return rows.select(
         "item_id", "revision", best["review_status"].alias("review_status"), best["log_revision"].alias("log_revision"),
@@ -152,15 +151,25 @@ def review_facets(rows: DataFrame) -> DataFrame:
     return rows.rollup("source_id").agg(*[F.count_if(F.expr(cond)).alias(name) for name, cond in FILTERS.items()])
 
 
-def review_groups(segments: DataFrame) -> DataFrame:
-    """Groups to check together: same issuer, template and position, or each slip alone.
-
-    Slips without verified layout stay single; nothing but counts is gathered per group.
-    """
+def _review_key() -> tuple[Column, Column]:
     known = F.col("issuer").isNotNull() & F.col("template").isNotNull()
     key = F.when(known, F.concat_ws("|", "issuer", "template", F.col("position_index").cast("string"))).otherwise(
         F.concat(F.lit("single|"), F.col("segment_id").cast("string"))
     )
+    return known, key
+
+
+def review_members(segments: DataFrame) -> DataFrame:
+    """The review group of every slip, with what decides whether the group is done."""
+    return segments.select(_review_key()[1].alias("review_key"), "segment_id", "source_id", "confirmed")
+
+
+def review_groups(segments: DataFrame) -> DataFrame:
+    """Groups to check together: same issuer, template and position, or each slip alone.
+
+    Slips without verified layout stay single. Members are rows of :func:`review_members`; here are their counts.
+    """
+    known, key = _review_key()
     return segments.groupBy(key.alias("review_key")).agg(
         F.count(F.lit(1)).alias("slips"), F.count_if("confirmed").alias("confirmed"), F.max(known).alias("verified"), F.min("source_id").alias("first_source")
     )
