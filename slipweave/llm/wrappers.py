@@ -312,8 +312,10 @@ def wrappers(pages: DataFrame, group_pages: int = 16) -> DataFrame:
     A host's pages are dealt by the hash ``deal`` into groups of about ``group_pages``. Template are nodes constant in nine tenths of the
     pages of a host that has five or more.
     """
-    sizes = pages.groupBy("host").agg(F.count("*").alias("pages"))
+    sizes = written(pages.groupBy("host").agg(F.count("*").alias("pages")), "hosts")
     dealt = pages.join(sizes, "host").select("host", "html", F.pmod("deal", F.ceil(F.col("pages") / group_pages)).alias("part"))
+    # A join by host leaves all pages of a host in one place; the groups must not stay there.
+    dealt = dealt.repartition("host", "part")
 
     def induce(group: pa.Table) -> pa.Table:
         varying, constant = align([h or "" for h in group["html"].to_pylist()])
