@@ -4,12 +4,11 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from functools import cache
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-DOCUMENT = ("doc_id", "text", "lang", "source", "n_chars")
-
 
 def pick(df: DataFrame, *names: str) -> DataFrame:
     """The first column of each exact name, whatever other columns the table has.
@@ -24,6 +23,11 @@ def pick(df: DataFrame, *names: str) -> DataFrame:
     return numbered.select(*[F.col(f"c{p}").alias(n) for n, p in zip(names, places)])
 
 
+@cache
+def _own_folder(application: str) -> str:
+    return "file://" + tempfile.mkdtemp(prefix="spark-")
+
+
 def shared_folder(spark: SparkSession) -> str:
     """The folder all executors share, as the session names it in ``spark.checkpoint.dir``.
 
@@ -34,8 +38,7 @@ def shared_folder(spark: SparkSession) -> str:
         return named.rstrip("/")
     if not spark.sparkContext.master.startswith("local["):
         raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
-    spark.conf.set("spark.checkpoint.dir", "file://" + tempfile.mkdtemp(prefix="spark-"))
-    return spark.conf.get("spark.checkpoint.dir")
+    return _own_folder(spark.sparkContext.applicationId)
 
 
 def written(df: DataFrame, name: str) -> DataFrame:
