@@ -11,7 +11,7 @@ mass / (c(h) + mass); from the root an arc per known word and a loop for unknown
 read once from left to right, carrying the state and adding log-probabilities.
 
 No machine holds the model. Documents are dealt into blocks of bounded size by hash. A block asks for the counts of
-just the words and pairs it holds: sorted 64-bit hashes, cut into shards by their upper bits, with its own training counts. A shard
+just the words and pairs it holds: sorted 64-bit hashes, sent as gaps, cut into shards by their upper bits, with its own training counts. A shard
 adds up what the blocks bring and answers each in the order it asked. So a word of whatever frequency is one entry per block,
 and the automaton of a block has the states and arcs its own texts can reach.
 """
@@ -109,6 +109,23 @@ def cut(keys: np.ndarray, shards: int) -> np.ndarray:
     return np.append(np.searchsorted(keys, np.array(edges, np.uint64)), len(keys))
 
 
+def gaps(keys: np.ndarray) -> bytes:
+    """Sorted keys as the first one and the gaps between them, in as many bytes as the widest gap needs."""
+    gap = np.diff(keys)
+    width = (int(gap.max()).bit_length() + 7) // 8 if len(gap) else 0
+    return bytes([width]) + keys[:1].tobytes() + gap.view(np.uint8).reshape(-1, 8)[:, :width].tobytes()
+
+
+def ungapped(raw: bytes) -> np.ndarray:
+    width, first = raw[0], np.frombuffer(raw, np.uint64, 1, offset=1)
+    if not width:
+        return first
+    rest = np.frombuffer(raw, np.uint8, offset=9).reshape(-1, width)
+    gap = np.zeros((len(rest), 8), np.uint8)
+    gap[:, :width] = rest
+    return np.cumsum(np.append(first, gap.view(np.uint64).ravel()), dtype=np.uint64)
+
+
 def held_out(doc_id: str = "doc_id"):
     """Whether the id belongs to the seventh that is never learned from; a null id does not."""
     return F.coalesce(F.crc32(F.col(doc_id).cast("string")) % 7 == 2, F.lit(False))
@@ -133,12 +150,12 @@ def scores(docs: DataFrame, mass: float = 2.0, block_bytes: int = 8 << 20) -> Da
             edges = cut(keys, blocks)
             for shard in np.flatnonzero(np.diff(edges)):
                 a, z = edges[shard], edges[shard + 1]
-                out.append((group["block"][0].as_py(), int(shard), level, keys[a:z].tobytes(), counts[a:z].astype(np.int32).tobytes()))
+                out.append((group["block"][0].as_py(), int(shard), level, gaps(keys[a:z]), counts[a:z].astype(np.int32).tobytes()))
         return pa.Table.from_arrays([pa.array(c, t) for c, t in zip(zip(*out), (pa.int64(), pa.int64(), pa.int32(), pa.binary(), pa.binary()))], ["block", "shard", "level", "keys", "counts"])
 
     def answer(group: pa.Table) -> pa.Table:
         """Totals in each asking block's own order; the first row also says how many words the shard knows and how often they occur."""
-        keys = [np.frombuffer(k, np.uint64) for k in group["keys"].to_pylist()]
+        keys = [ungapped(k) for k in group["keys"].to_pylist()]
         counts = [np.frombuffer(c, np.int32) for c in group["counts"].to_pylist()]
         level = group["level"][0].as_py()
         found, place = np.unique(np.concatenate(keys), return_inverse=True)

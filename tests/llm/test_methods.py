@@ -130,6 +130,14 @@ def test_automaton_equals_the_formula(spark):
         assert r.base_score == pytest.approx(sum(math.log10(p(x)) for x in w)) and r.score == pytest.approx(score)
 
 
+def test_gaps_give_the_keys_back():
+    rng = np.random.default_rng(16)
+    for n in (1, 2, 3, 1000):
+        for top in (2, 2**20, 2**64 - 1):
+            keys = np.sort(rng.integers(0, top, n, dtype=np.uint64, endpoint=True))
+            assert np.array_equal(automaton.ungapped(automaton.gaps(keys)), keys)
+
+
 BASE = (("assign", r"((?ai:password|passwd|secret|token|api_?key))[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", 8), ("access", "AKIA[A-Z0-9]+", 16), ("hex", "[0-9a-f]+", 32))
 
 
