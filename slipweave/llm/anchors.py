@@ -137,14 +137,18 @@ def one_of_each(docs: DataFrame, threshold: int = 3, width: int = 3) -> DataFram
     no row of their component has one.
     """
     found = near_duplicates(docs, threshold, width)
-    stay = (
-        found.groupBy("root")
-        .agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
-        .select(F.col("s.doc_id").alias("stay_id"), F.col("s.text_hash").alias("stay_hash"))
-    )
+    first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
+    chosen = F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("text_hash") == F.col("s.text_hash"))
+    stay = written(
+        found.join(first, "root").filter(chosen).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+        .select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "times"), "stay")
     keys = pick(docs, "doc_id", "text")
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, text = (f"c{docs.columns.index(c)}" for c in keys.columns)
     hashed = numbered.withColumn("hash", F.xxhash64(text))
-    kept = hashed.join(stay, F.col(own).eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash")), "left_semi")
-    return kept.dropDuplicates([own, "hash"]).drop("hash").toDF(*docs.columns)
+    kept = hashed.join(stay, F.col(own).eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash"))).drop("stay_id", "stay_hash")
+    # Only rows that stand there several times are gathered to keep one of them.
+    once = kept.filter("times = 1").drop("times")
+    if not stay.filter("times > 1").isEmpty():
+        once = once.union(kept.filter("times > 1").drop("times").dropDuplicates([own, "hash"]))
+    return once.drop("hash").toDF(*docs.columns)

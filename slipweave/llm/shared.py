@@ -49,6 +49,11 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def small(df: DataFrame, most_rows: int = 200_000) -> DataFrame:
+    """``df`` marked for broadcast if its counted rows are few; beyond that the join shuffles both sides. For written tables of short rows."""
+    return F.broadcast(df) if df.count() <= most_rows else df
+
+
 def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
     """``node, root`` of every node that has an edge; ``root`` is the smallest node of its component.
 
