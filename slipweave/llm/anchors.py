@@ -136,7 +136,11 @@ def one_of_each(docs: DataFrame, threshold: int = 3, width: int = 3) -> DataFram
     Of rows that share that id the one of the smallest text hash stays, once. Rows without an id stay only where
     no row of their component has one.
     """
-    found = near_duplicates(docs, threshold, width)
+    return first_of_each(docs, near_duplicates(docs, threshold, width))
+
+
+def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
+    """The rows ``one_of_each`` keeps, by the components of ``found`` (``doc_id, text_hash, root`` per row of ``docs``)."""
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
     chosen = F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("text_hash") == F.col("s.text_hash"))
     stay = written(
