@@ -21,6 +21,8 @@ from pyspark.sql import functions as F
 from slipweave.llm.shared import pick
 
 BINS = 1 << 13
+#: So many texts of a cluster, or else of its language, tell how far its own texts lie.
+FEW = 30
 UNKNOWN = "und"
 
 
@@ -86,7 +88,11 @@ class Centroids:
 
 
 def cluster(counts: np.ndarray, idf: np.ndarray, k: int, rounds: int = 12) -> tuple[np.ndarray, np.ndarray]:
-    """Spherical k-means from far-apart starts, and the cosine that one text in 1,000 of each cluster stays under, less a margin."""
+    """Spherical k-means from far-apart starts, and the cosine that one text in 1,000 of each cluster stays under, less a margin.
+
+    A cluster of few texts takes the bound of all texts given here; where these are few too, nothing is known of the distance of
+    further texts, and the bound is zero.
+    """
     v = vectors(counts, idf)
     starts = [int((v @ v.mean(axis=0)).argmax())]
     while len(starts) < min(k, len(v)):
@@ -98,7 +104,9 @@ def cluster(counts: np.ndarray, idf: np.ndarray, k: int, rounds: int = 12) -> tu
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     cosine = v @ centres.T
     own = cosine.argmax(axis=1)
-    reach = [np.quantile(cosine[own == c, c], 0.001) * 0.8 if (own == c).sum() else 0.0 for c in range(len(centres))]
+    least = lambda x, other: np.quantile(x, 0.001) * 0.8 if len(x) >= FEW else other
+    pooled = least(cosine.max(axis=1), 0.0)
+    reach = [least(cosine[own == c, c], pooled) for c in range(len(centres))]
     return centres.astype(np.float32), np.array(reach)
 
 
@@ -106,8 +114,8 @@ def fit(labelled: DataFrame, k: int = 3, sample: int = 2000) -> Centroids:
     """Centroids of every language of ``labelled`` (``text, lang``); rows without a language or a letter teach nothing.
 
     Document frequencies are counted over all labelled rows. The clusters of a language are fitted on about ``sample``
-    of its rows, chosen by a hash of the text (all rows, if it has fewer; never over twice as many), by one task per language. What reaches
-    the driver is ``k`` vectors per language.
+    of its distinct texts, chosen by a hash of the text (all of them, if it has no more), by one task per language. Copies
+    take no part in that share. What reaches the driver is ``k`` vectors per language.
     """
 
     def frequencies(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -134,10 +142,11 @@ def fit(labelled: DataFrame, k: int = 3, sample: int = 2000) -> Centroids:
         centres, reach = cluster(counts, idf, k)
         return pd.DataFrame({"lang": key[0], "centre": [c.tolist() for c in centres], "reach": reach})
 
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    distinct = rows.select("lang", F.xxhash64("text", F.lit(17)).alias("h")).distinct()
+    sizes = {r["lang"]: r["count"] for r in distinct.groupBy("lang").count().collect()}
     shares = {lang: min(1.0, sample / n) for lang, n in sizes.items()}
     share = F.create_map(*[F.lit(x) for item in shares.items() for x in item])[F.col("lang")]
-    # Equal texts have equal hashes; the row number within a language bounds a sample of many copies.
+    # Equal texts have equal hashes, so the sample holds a text with all its copies or not at all.
     chosen = rows.filter(F.pmod(F.xxhash64("text", F.lit(17)), F.lit(1 << 20)) < share * (1 << 20)).dropDuplicates(["text", "lang"])
     found = chosen.groupBy("lang").applyInPandas(clusters, "lang string, centre array<float>, reach double").orderBy("lang", "reach").collect()
     return Centroids(idf, [r["lang"] for r in found], np.array([r["centre"] for r in found], np.float32).reshape(-1, BINS), np.array([r["reach"] for r in found]))

@@ -2,7 +2,9 @@
 
 import random
 
-from slipweave.llm import copies
+from pyspark.sql import functions as F
+
+from slipweave.llm import copies, language
 
 
 def changed(rng, words, n):
@@ -36,3 +38,22 @@ def test_near_copies_from_similarity_four_fifths_on_are_dropped(spark):
     rows += [(2000 + i, " ".join(changed(rng, base, 2))) for i in range(300)]
     found = {r.doc_id for r in copies.one_of_each(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
     assert found == kept | {1000, 2000}
+
+
+def test_copies_do_not_shrink_the_language_sample(spark):
+    rng = random.Random(22)
+    texts = [" ".join("".join(rng.choices(["ka", "lo", "mi", "tu", "re", "so"], k=rng.randint(1, 4))) for _ in range(40)) for _ in range(200)]
+    labelled = spark.createDataFrame([(t, "aa") for t in texts], "text string, lang string")
+    copied = labelled.union(labelled.limit(1).withColumn("n", F.explode(F.sequence(F.lit(1), F.lit(40_000)))).drop("n"))
+    model = language.fit(copied, sample=300)
+    # All 200 distinct texts are learned from, as without the copies; then their own reach takes them in.
+    assert sorted(model.langs) == ["aa"] * 3
+    assert not any(model.predict(texts)[2])
+
+
+def test_few_texts_give_no_reach(spark):
+    rng = random.Random(23)
+    sounds = [a + b for a in "bcdfghjklmnpqrstvwxz" for b in "aeiou"]
+    texts = [" ".join("".join(rng.choices(sounds, k=rng.randint(1, 4))) for _ in range(100)) for _ in range(40)]
+    model = language.fit(spark.createDataFrame([(t, "aa") for t in texts[:3]], "text string, lang string"))
+    assert not any(model.predict(texts)[2])
