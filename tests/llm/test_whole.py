@@ -4,7 +4,7 @@ import random
 
 from pyspark.sql import functions as F
 
-from slipweave.llm import copies, language
+from slipweave.llm import copies, language, secrets
 
 
 def changed(rng, words, n):
@@ -57,3 +57,14 @@ def test_few_texts_give_no_reach(spark):
     texts = [" ".join("".join(rng.choices(sounds, k=rng.randint(1, 4))) for _ in range(100)) for _ in range(40)]
     model = language.fit(spark.createDataFrame([(t, "aa") for t in texts[:3]], "text string, lang string"))
     assert not any(model.predict(texts)[2])
+
+
+def test_identifiers_are_no_secrets_and_keys_without_digits_are(spark):
+    rng = random.Random(24)
+    letters = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz"
+    keys = ["".join(rng.choice(letters) for _ in range(32)) for _ in range(20)] + ["".join(rng.choice(letters + "0123456789") for _ in range(32)) for _ in range(20)]
+    plain = ["getUserById2AndReturnName", "Donaudampfschifffahrtsgesellschaft", "readTableColumn3IntoTheIndexList", "src/pages/account/update_user_name2", "x" * 40, "a-b-" * 10]
+    rows = list(enumerate([f"see {k} there" for k in keys + plain]))
+    found = {r.doc_id: [s.kind for s in r.spans] for r in secrets.scan(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert sum(found[i] == ["random"] for i in range(20)) >= 17 and sum(found[i] == ["random"] for i in range(20, 40)) >= 19
+    assert not any(found[i] for i in range(40, len(rows)))
