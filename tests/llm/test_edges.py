@@ -113,7 +113,7 @@ def test_registered_queries(spark, name):
     assert got
     if name in catalog.ORACLES:
         con = duckdb.connect()
-        for t in ("documents", "benchmark", "conversations"):
+        for t in ("documents", "benchmark", "conversations", "embeddings"):
             con.execute(f"create view {t} as select * from '{FOLDER}/{t}.parquet'")
         cur = con.execute(catalog.ORACLES[name])
         names = [d[0] for d in cur.description]
