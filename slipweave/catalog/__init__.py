@@ -5,6 +5,7 @@ from __future__ import annotations
 from slipweave.catalog.registry import ORACLES, QUERIES
 from slipweave.catalog import (  # noqa: F401  registration happens on import
     audits,
+    editing,
     fields,
     output,
     reviews,
