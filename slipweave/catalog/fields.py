@@ -234,7 +234,7 @@ _DIRECT_TEXTS = """case k when 1 then concat('对方户名：', case when cp_sta
 
 
 def _direct_lines(t):
-    s = t.slips.filter("segment_id % 3 <> 0 or segment_id % 2 = 0").withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
+    s = t.slips.withColumn("k", F.explode(F.sequence(F.lit(1), F.lit(5))))
     k = F.col("k")
     text = (
         F.when(k == 1, F.concat(F.lit("对方户名："), F.when(F.col("cp_state") == "missing", "").otherwise(F.col("cp_name"))))
@@ -254,12 +254,111 @@ def _direct_lines(t):
     """select segment_id, side, field, raw, raw as value, case when raw='' then 'missing' else 'present' end as state from (
     select segment_id, side, field, case when side='own' then case when field='name' then own_name else '' end
       when field='name' then case when cp_state='missing' then '' else cp_name end when field='account' then cp_account else concat('银行', cp_account) end as raw
-    from slips cross join (values ('own'),('counterparty')) s(side) cross join (values ('name'),('account'),('bank')) f(field) where segment_id%3<>0 or segment_id%2=0)""",
+    from slips cross join (values ('own'),('counterparty')) s(side) cross join (values ('name'),('account'),('bank')) f(field))""",
 )
 def _(t):
     return parties.extract_direct(_direct_lines(t))
 
 
+_R = "x0 y0 x1 y1".split()
+_DOUBTFUL = """d as (select *, segment_id%9 as k9, case when segment_id%9=4 then concat(chr(65533), 'x') when cp_state='missing' then '' else cp_name end as shown,
+   case when segment_id%5=0 then concat('6222*', cp_account) else cp_account end as acc from slips),
+read as (select segment_id, 'counterparty' as side, 'name' as field, 1 as line, '对方户名' as label, shown as raw, case when shown='' then 'missing' when k9=4 then 'ambiguous' else 'present' end as state from d
+  union all select segment_id, 'counterparty', 'name', 6, '对方户名', 'Other', 'present' from d where k9=5
+  union all select segment_id, 'counterparty', 'account', 2, '对方账号', acc, case when segment_id%5=0 then 'ambiguous' else 'present' end from d
+  union all select segment_id, 'own', 'name', 3, '本方户名', own_name, 'present' from d
+  union all select segment_id, 'counterparty', 'bank', 4, '对方开户行', concat('银行', cp_account), 'present' from d)"""
+
+
+def _doubtful_lines(t):
+    """Direct labels with lost characters, incomplete accounts and second names among them."""
+    k, i = F.col("segment_id"), F.col("line_no")
+    lines = _direct_lines(t).join(t.slips.select("segment_id", "cp_account"), "segment_id")
+    text = (
+        F.when((i == 1) & (k % 9 == 4), "对方户名：\ufffdx").when((i == 2) & (k % 5 == 0), F.concat(F.lit("对方账号：6222*"), "cp_account"))
+        .otherwise(F.col("text"))
+    )
+    more = t.slips.select("segment_id", F.lit(6).cast("long").alias("line_no"), F.when(k % 9 == 5, "对方户名：Other").otherwise("").alias("text"),
+                          *[F.lit(v).alias(c) for c, v in zip(_R, (40.0, 84.0, 240.0, 96.0))])
+    return lines.withColumn("text", text).select(more.columns).unionByName(more)
+
+
+@query(
+    "direct_evidence", "slips",
+    f"""with {_DOUBTFUL} select segment_id, side, field, cast(row_number() over (partition by segment_id, side, field order by line) as bigint) as reading,
+      case when state='missing' then null when line=4 then 'next_line' else 'same_line' end as method, label, cast(40 as double) as label_x0, cast(14*line as double) as label_y0, cast(240 as double) as label_x1, cast(14*line+12 as double) as label_y1,
+      raw, raw as value, state, case when state<>'missing' then 40::double end as x0, case when state<>'missing' then (case line when 4 then 70 else 14*line end)::double end as y0,
+      case when state<>'missing' then 240::double end as x1, case when state<>'missing' then (case line when 4 then 82 else 14*line+12 end)::double end as y1 from read""")
+def _(t):
+    return parties.explained_direct(_doubtful_lines(t)).evidence
+
+
+_DIRECT_ISSUES = _DOUBTFUL + """, i as (
+  select segment_id, side, field, 'missing_field' as code, line from read where state='missing'
+  union all select segment_id, 'counterparty', 'name', 'missing_field', null from d where shown='' and k9<>5
+  union all select segment_id, 'counterparty', 'name', 'invalid_text', 1 from d where k9=4
+  union all select segment_id, 'counterparty', 'name', 'conflicting_field', 1 from d where k9=5 and shown<>''
+  union all select segment_id, 'counterparty', 'account', 'incomplete_account', 2 from d where segment_id%5=0)"""
+
+
+@query("direct_issues", "slips", f"with {_DIRECT_ISSUES} select segment_id, side, field, code, (case when line is not null then 40 end)::double as x0, (14*line)::double as y0, (case when line is not null then 240 end)::double as x1, (14*line+12)::double as y1 from i")
+def _(t):
+    return parties.explained_direct(_doubtful_lines(t)).issues
+
+
+@query("direct_status", "slips", f"with {_DIRECT_ISSUES} select segment_id, cast(count(code) as bigint) as issues, case when count(code)>0 then 'needs_review' else 'ok' end as status from slips left join i using (segment_id) group by 1")
+def _(t):
+    return parties.explained_direct(_doubtful_lines(t)).status
+
+
+_PLACED = """placed as (select *, case side when 'payer' then 0 else 3 end + case field when 'name' then 1 when 'account' then 2 else 3 end as line,
+   concat(case side when 'payer' then '付款人' else '收款人' end, case field when 'name' then '名称' when 'account' then '账号' else '开户行' end) as label,
+   case when printed='无' then '' else printed end as value, case when printed='无' then 'blank' when printed='***' then 'ambiguous' else 'present' end as state from truth)"""
+
+
+@query(
+    "party_evidence", "slips",
+    f"""with {_TRUTH}, {_PLACED} select segment_id, side, field, cast(1 as bigint) as reading, 'same_line' as method, label, 40::double as label_x0, (20*line)::double as label_y0, 240::double as label_x1, (20*line+12)::double as label_y1,
+      printed as raw, value, state, 40::double as x0, (20*line)::double as y0, 240::double as x1, (20*line+12)::double as y1 from placed where printed<>''""")
+def _(t):
+    return parties.explained_parties(_scoped(t.slip_lines)).evidence
+
+
+@query(
+    "party_evidence_cells", "slips",
+    f"""with {_TRUTH}, {_PLACED}, c as (select *, case side when 'payer' then 0 else 300 end as dx, 20*((line-1)%3+1) as y from placed where printed<>'')
+    select segment_id, side, field, cast(1 as bigint) as reading, 'same_row' as method, label, (40+dx)::double as label_x0, y::double as label_y0, (110+dx)::double as label_x1, (y+12)::double as label_y1,
+      printed as raw, value, state, (120+dx)::double as x0, (y+1)::double as y0, (260+dx)::double as x1, (y+11)::double as y1 from c""")
+def _(t):
+    return parties.explained_parties(_scoped(t.cell_lines)).evidence
+
+
+_ISSUES = f"""{_TRUTH}, {_PLACED}, i as (
+  select segment_id, cast(null as varchar) as side, cast(null as varchar) as field, 'no_text_in_scope' as code, cast(null as int) as line from slips where segment_id%7=0
+  union all select segment_id, null, 'name', 'generic_label_side_unknown', 1 from slips where segment_id%7=1
+  union all select segment_id, side, field, case when printed='' then 'label_without_value' when line=1 and segment_id%7=2 then 'conflicting_field_values' else 'field_ambiguous' end, line
+    from placed where segment_id%7>1 and case when line=1 and segment_id%7=2 then printed<>'' else printed in ('', '***') end)"""
+
+
+def _unclear_lines(t):
+    """Slips without text, with a label of no side, and with two payer names among the plain ones."""
+    k, i = F.col("segment_id"), F.col("line_no")
+    text = F.when(k % 7 == 0, " ").when(k % 7 == 1, F.when(i == 1, "户名：x").otherwise("")).otherwise(F.col("text"))
+    more = t.slips.select("segment_id", F.lit(7).cast("long").alias("line_no"), F.when(k % 7 == 2, "付款人名称：Else").otherwise("").alias("text"),
+                          *[F.lit(v).alias(c) for c, v in zip(_R, (40.0, 140.0, 240.0, 152.0))])
+    return _scoped(t.slip_lines.withColumn("text", text).select(more.columns).unionByName(more), height=160.0)
+
+
+@query("party_issues", "slips", f"with {_ISSUES} select segment_id, side, field, code, (case when line is not null then 40 end)::double as x0, (20*line)::double as y0, (case when line is not null then 240 end)::double as x1, (20*line+12)::double as y1 from i")
+def _(t):
+    return parties.explained_parties(_unclear_lines(t), t.slips).issues
+
+
+@query("party_status", "slips", f"with {_ISSUES} select segment_id, cast(count(code) as bigint) as issues, case when count(code)>0 then 'needs_review' else 'ok' end as status from slips left join i using (segment_id) group by 1")
+def _(t):
+    return parties.explained_parties(_unclear_lines(t), t.slips).status
+
+
 def _form_lines(t):
     """Three forms in turn: online transfer, small payment, tax voucher."""
     n = F.col("segment_id") % 3

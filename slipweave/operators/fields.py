@@ -305,7 +305,8 @@ def nearest_right(cells: DataFrame, labels: DataFrame, lines: DataFrame) -> Data
 def join_wrapped(values: DataFrame) -> DataFrame:
     """Values of one label that continue each other line by line become one text.
 
-    Account numbers and texts with Latin letters never join; one broken step keeps all apart.
+    Account numbers and texts with Latin letters never join; one broken step keeps all apart. ``x0 … y1`` is the
+    rectangle around the lines of a text.
     """
     w = Window.partitionBy(*CELL).orderBy("y0", "x0", "value_line")
     whole = Window.partitionBy(*CELL)
@@ -320,7 +321,8 @@ def join_wrapped(values: DataFrame) -> DataFrame:
     return (
         rows.withColumn("value_no", part.cast("long"))
         .groupBy(*CELL, "side", "field", "label", "value_no")
-        .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("text"))
+        .agg(F.array_join(F.transform(ordered, lambda s: s["text"]), "").alias("text"),
+             *[(F.min if c[1] == "0" else F.max)(c).alias(c) for c in _R])
     )
 
 
@@ -339,7 +341,7 @@ def next_line_value(cells: DataFrame, lines: DataFrame, labels: DataFrame, cente
     )
     w = Window.partitionBy(*SEG).orderBy("line_no")
     state = F.struct(
-        "text", "y0", mid.alias("cx"), F.coalesce("_lab", F.lit(False)).alias("lab"),
+        "text", *_R, mid.alias("cx"), F.coalesce("_lab", F.lit(False)).alias("lab"),
         F.coalesce("_lp", F.lit(False)).alias("payer"), F.coalesce("_lq", F.lit(False)).alias("payee"),
     )
     ahead = lines.select(*SEG, "line_no", "text", *_R).join(sides, [*SEG, "line_no"], "left").select(
@@ -363,11 +365,11 @@ def next_line_value(cells: DataFrame, lines: DataFrame, labels: DataFrame, cente
         )
 
     first, second = verdict("n1"), verdict("n2")
-    text = F.when(first == "take", F.col("n1.text")).when((first == "skip") & (second == "take"), F.col("n2.text"))
+    got = F.when(first == "take", F.col("n1")).when((first == "skip") & (second == "take"), F.col("n2"))
     return (
-        rows.withColumn("text", tx.strip(text))
-        .filter("text is not null")
-        .select(*CELL, "side", "field", "label", F.lit(1).cast("long").alias("value_no"), "text")
+        rows.withColumn("_got", got)
+        .filter("_got is not null")
+        .select(*CELL, "side", "field", "label", F.lit(1).cast("long").alias("value_no"), tx.strip(F.col("_got.text")).alias("text"), *[F.col("_got." + c).alias(c) for c in _R])
     )
 
 

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -13,6 +15,9 @@ from slipweave.operators import labels as lb
 from slipweave.operators.fields import CELL, SEG
 from slipweave.session import stage
 
+_RECT = ("x0", "y0", "x1", "y1")
+FIELD = [*SEG, "side", "field"]
+ORDER = ["line_no", "cell_no", "value_no"]
 # Forms whose labels need the form to be known. Fixed values.
 TAX_TITLES = ("电子缴税付款凭证", "上海银行电子缴税付款凭证")
 TABLE_TITLES = ("宁波银行客户回单",)
@@ -172,8 +177,26 @@ def table_form(lines: DataFrame, generic: DataFrame) -> DataFrame:
     return found.join(complete, SEG, "left_semi")
 
 
+@dataclass(frozen=True)
+class Readings:
+    """``found``: every reading with the method and the rectangle of its value; ``labels``: the labels whose side is known;
+    ``sideless``: those that name a field and no side, where nothing tells the side."""
+
+    found: DataFrame
+    labels: DataFrame
+    sideless: DataFrame
+
+
 def candidates(lines: DataFrame) -> DataFrame:
     """Every reading of a party field, in reading order, before conflicts are resolved."""
+    return readings(lines).found.select(*CELL, "side", "field", "value_no", "text")
+
+
+def readings(lines: DataFrame) -> Readings:
+    """Labels of party fields and what is read behind, beside or below them.
+
+    A reading is known by its label's place (``CELL``) and ``value_no``; evidence and issues are joined to it by that, at the end.
+    """
     text = lines.filter(tx.strip(F.col("text")) != "")
     cells = stage(form_labels(text, detect_forms(text)))
     generic = cells.filter("not explicit")
@@ -203,14 +226,10 @@ def candidates(lines: DataFrame) -> DataFrame:
     marked = loose.join(in_table, CELL, "left")
     by_table = marked.filter("_head is not null").withColumn("side", F.col("_head"))
     by_column = fd.column_side(marked.filter("_head is null").drop("side"), anchors)
-    resolved = stage(
-        anchors.withColumn("_head", F.lit(None).cast("string"))
-        .unionByName(by_table)
-        .unionByName(by_column)
-        .filter("side is not null")
-    )
+    told = stage(anchors.withColumn("_head", F.lit(None).cast("string")).unionByName(by_table).unionByName(by_column))
+    resolved = told.filter("side is not null")
     inline = resolved.filter("value <> ''").select(
-        *CELL, "side", "field", F.lit(1).cast("long").alias("value_no"), F.col("value").alias("text")
+        *CELL, "side", "field", F.lit(1).cast("long").alias("value_no"), F.col("value").alias("text"), *_RECT, F.lit("same_line").alias("method")
     )
     open_cells = resolved.filter("value = '' and not inline_only")
     free = text.join(rows.select(*SEG, "line_no").distinct(), [*SEG, "line_no"], "left_anti")
@@ -222,8 +241,22 @@ def candidates(lines: DataFrame) -> DataFrame:
     read = stage(fd.join_wrapped(from_table.unionByName(beside.select(from_table.columns))))
     waiting = open_cells.filter("_head is null").join(read.select(*CELL).distinct(), CELL, "left_anti")
     below = fd.next_line_value(waiting, text, rows, centers)
-    cols = [*CELL, "side", "field", "value_no", "text"]
-    return inline.select(cols).unionByName(read.select(cols)).unionByName(below.select(cols))
+    cols = [*CELL, "side", "field", "value_no", "text", *_RECT, "method"]
+    beside_or_table = read.withColumn("method", F.lit("same_row")).select(cols)
+    found = inline.select(cols).unionByName(beside_or_table).unionByName(below.withColumn("method", F.lit("next_line")).select(cols))
+    place = [*CELL, "label", "field", *_RECT]
+    return Readings(found, resolved.select(*place, "side"), told.filter("side is null").select(place))
+
+
+def _valued(found: DataFrame) -> DataFrame:
+    """Readings with ``raw``, ``value`` and ``state``."""
+    value = tx.norm_field(F.col("field"), F.col("raw"))
+    return (
+        found.withColumn("raw", tx.strip(F.col("text")))
+        .withColumn("_v", value)
+        .withColumn("state", tx.labelled_state(F.col("field"), F.col("_v")))
+        .withColumn("value", F.when(F.col("state") == "blank", "").otherwise(F.col("_v")))
+    )
 
 
 def extract_parties(lines: DataFrame) -> DataFrame:
@@ -232,24 +265,101 @@ def extract_parties(lines: DataFrame) -> DataFrame:
     ``lines(segment_id, line_no, text, x0, y0, x1, y1, sy0, sy1)`` are clipped to the slip and
     numbered in reading order. Two different readings of a field make it ambiguous.
     """
-    value = tx.norm_field(F.col("field"), F.col("raw"))
-    found = (
-        candidates(lines)
-        .withColumn("raw", tx.strip(F.col("text")))
-        .withColumn("_v", value)
-        .withColumn("state", fd.tx.labelled_state(F.col("field"), F.col("_v")))
-        .withColumn("value", F.when(F.col("state") == "blank", "").otherwise(F.col("_v")))
-    )
-    merged = fd.merge_field_values(found, [*SEG, "side", "field"], ["line_no", "cell_no", "value_no"])
+    merged = fd.merge_field_values(_valued(candidates(lines)), FIELD, ORDER)
     return fd.all_fields(lines, merged)
 
 
+@dataclass(frozen=True)
+class Parties:
+    """``fields`` as of :func:`extract_parties`; ``evidence``: a row per reading; ``issues``: a row per doubt; ``status``: per slip."""
+
+    fields: DataFrame
+    evidence: DataFrame
+    issues: DataFrame
+    status: DataFrame
+
+
+def explained_parties(lines: DataFrame, slips: DataFrame | None = None) -> Parties:
+    """Party fields with where they were read and what speaks against them.
+
+    ``evidence`` has, for each reading of a field in order (``reading`` from 1), its method (same_line, same_row, next_line), the label and its
+    rectangle, raw text, value and state, and the value's rectangle. ``issues`` are ``field_ambiguous`` (one reading, not safe to use),
+    ``conflicting_field_values``, ``label_without_value`` (a label was found and nothing to read), ``generic_label_side_unknown`` and, for those of ``slips``
+    that have no line at all, ``no_text_in_scope``; each with the rectangle to look at. A slip with an issue needs review.
+    """
+    r = readings(lines)
+    found = stage(_valued(r.found))
+    fields = fd.all_fields(lines if slips is None else slips, fd.merge_field_values(found, FIELD, ORDER))
+    labels = r.labels.select(*CELL, "label", *[F.col(c).alias("label_" + c) for c in _RECT])
+    order = Window.partitionBy(*FIELD).orderBy(*ORDER)
+    evidence = found.join(labels, CELL).select(
+        *FIELD, F.row_number().over(order).cast("long").alias("reading"), "method", "label", *["label_" + c for c in _RECT], "raw", "value", "state", *_RECT)
+    # One pass per field: how many different readings, and the rectangle of the first.
+    seen = found.filter("state <> 'missing'").groupBy(*FIELD).agg(
+        F.count_distinct("value", "state").alias("_n"), F.min("state").alias("_state"),
+        F.min(F.struct(*ORDER, *_RECT)).alias("_at"))
+    doubt = F.when(F.col("_n") > 1, "conflicting_field_values").when(F.col("_state") == "ambiguous", "field_ambiguous")
+    unsure = seen.withColumn("code", doubt).filter("code is not null").select(*FIELD, "code", *[F.col("_at." + c).alias(c) for c in _RECT])
+    # A label all of whose field stays unread; the first such label is shown.
+    unread = r.labels.join(seen.select(*FIELD), FIELD, "left_anti").groupBy(*FIELD).agg(F.min(F.struct("line_no", "cell_no", *_RECT)).alias("_at"))
+    unread = unread.select(*FIELD, F.lit("label_without_value").alias("code"), *[F.col("_at." + c).alias(c) for c in _RECT])
+    nobody = F.lit(None).cast("string").alias("side")
+    sideless = r.sideless.select(*SEG, nobody, "field", F.lit("generic_label_side_unknown").alias("code"), *_RECT)
+    issues = unsure.unionByName(unread).unionByName(sideless)
+    every = lines.select(*SEG).distinct()
+    if slips is not None:
+        every = slips.select(*SEG).distinct()
+        empty = every.join(lines.filter(tx.strip(F.col("text")) != "").select(*SEG).distinct(), SEG, "left_anti")
+        nothing = [F.lit(None).cast("double").alias(c) for c in _RECT]
+        issues = issues.unionByName(empty.select(*SEG, nobody, F.lit(None).cast("string").alias("field"), F.lit("no_text_in_scope").alias("code"), *nothing))
+    counted = issues.groupBy(*SEG).agg(F.count(F.lit(1)).alias("issues"))
+    status = every.join(counted, SEG, "left").select(*SEG, F.coalesce("issues", F.lit(0)).alias("issues"), F.when(F.col("issues") > 0, "needs_review").otherwise("ok").alias("status"))
+    return Parties(fields, evidence, issues, status)
+
+
 def extract_direct(lines: DataFrame) -> DataFrame:
     """Fields printed with own/counterparty labels, for slips that have a counterparty label.
 
     Says nothing about who pays. A label alone may take the aligned next line, if that line has
     no label of its own.
     """
+    read = _direct_readings(lines)
+    merged = fd.merge_field_values(read, FIELD, ["line_no", "cell_no"])
+    return fd.all_fields(read, merged, ("own", "counterparty"))
+
+
+def explained_direct(lines: DataFrame) -> Parties:
+    """The fields of :func:`extract_direct` with evidence, issues and status, as :func:`explained_parties` gives them.
+
+    Issues are ``missing_field`` (a label without a value, and a counterparty without a name), ``invalid_text`` (lost characters, a name without letter
+    or digit), ``incomplete_account`` and ``conflicting_field``.
+    """
+    read = stage(_direct_readings(lines))
+    fields = fd.all_fields(read, fd.merge_field_values(read, FIELD, ["line_no", "cell_no"]), ("own", "counterparty"))
+    order = Window.partitionBy(*FIELD).orderBy("line_no", "cell_no")
+    evidence = read.select(
+        *FIELD, F.row_number().over(order).cast("long").alias("reading"), "method", "label", *["label_" + c for c in _RECT], "raw", "value", "state", *_RECT)
+    per = read.groupBy(*FIELD).agg(
+        F.count(F.lit(1)).alias("_all"), F.count_distinct(F.when(F.col("state") != "missing", F.struct("value", "state"))).alias("_n"),
+        F.max(F.when(F.col("state") != "missing", F.col("state"))).alias("_state"),
+        F.max(F.col("value").contains("\ufffd")).alias("_lost"), F.max(F.col("value").rlike(r"[\p{L}\p{N}]")).alias("_said"),
+        F.min(F.struct("line_no", "cell_no", *["label_" + c for c in _RECT])).alias("_at"))
+    ambiguous = (F.col("_n") > 1) | ((F.col("_n") == 1) & (F.col("_state") == "ambiguous"))
+    unfit = F.col("_lost") | ((F.col("field") == "name") & ~F.col("_said"))
+    code = F.when(ambiguous, F.when(unfit, "invalid_text").when((F.col("field") == "account") & (F.col("_all") == 1), "incomplete_account").otherwise("conflicting_field"))
+    at = [F.col("_at.label_" + c).alias(c) for c in _RECT]
+    unsure = per.withColumn("code", code).filter("code is not null").select(*FIELD, "code", *at)
+    lacking = read.filter("state = 'missing'").select(*FIELD, F.lit("missing_field").alias("code"), *[F.col("label_" + c).alias(c) for c in _RECT])
+    nameless = fields.filter("side = 'counterparty' and field = 'name' and state = 'missing'").select(*FIELD, F.lit("missing_field").alias("code"), *[F.lit(None).cast("double").alias(c) for c in _RECT])
+    issues = unsure.unionByName(lacking).unionByName(nameless)
+    counted = issues.groupBy(*SEG).agg(F.count(F.lit(1)).alias("issues"))
+    status = fields.select(*SEG).distinct().join(counted, SEG, "left").select(
+        *SEG, F.coalesce("issues", F.lit(0)).alias("issues"), F.when(F.col("issues") > 0, "needs_review").otherwise("ok").alias("status"))
+    return Parties(fields, evidence, issues, status)
+
+
+def _direct_readings(lines: DataFrame) -> DataFrame:
+    """Readings behind own/counterparty labels, with their method, the label's rectangle and the value's (NULL without one)."""
     known = {
         **lb.field_labels(), **lb.side_labels(tax=True), **{b: ("meta", "boundary") for b in lb.BOUNDARY_LABELS},
         **lb.OBSERVED_LABELS,
@@ -267,23 +377,24 @@ def extract_direct(lines: DataFrame) -> DataFrame:
         & (n.y0 >= F.col("y1")) & (n.y0 - F.col("y1") <= h * 1.2) & (F.abs(n.x0 - F.col("x0")) <= h * 2)
     )
     raw = F.when(F.coalesce(wraps, F.lit(False)), tx.strip(F.col("_next.text"))).otherwise(F.col("value"))
+    wrapped = F.coalesce(wraps, F.lit(False))
+    method = F.when(wrapped, "next_line").when(F.col("value") != "", "same_line")
+    rect = [F.when(wrapped, F.col("_next." + c)).when(F.col("value") != "", F.col(c)).alias(c) for c in _RECT]
     with_cp = cells.filter("side = 'counterparty'").select(*SEG).distinct()
-    read = (
+    return (
         cells.join(with_cp, SEG, "left_semi")
-        .select(*CELL, "side", "field", raw.alias("raw"))
+        .select(*CELL, "side", "field", "label", raw.alias("raw"), method.alias("method"), *[F.col(c).alias("label_" + c) for c in _RECT], *rect)
         .withColumn("_v", tx.norm_field(F.col("field"), F.col("raw")))
         .withColumn("state", tx.field_state(F.col("field"), F.col("_v")))
         .withColumn("value", F.when(F.col("state") == "blank", "").otherwise(F.col("_v")))
     )
-    merged = fd.merge_field_values(read, [*SEG, "side", "field"], ["line_no", "cell_no"])
-    return fd.all_fields(with_cp, merged, ("own", "counterparty"))
 
 
 def layout_signature(cells: DataFrame, scopes: DataFrame) -> DataFrame:
     """Labels of a slip at positions relative to it, and one hash over them.
 
     Returns the label table with ``rx0 … ry1`` (four decimals) plus ``signature`` and
-    ``reliable`` (2 to 64 labels of at least two kinds).
+    ``reliable`` (at least two labels of at least two kinds).
     """
     s = scopes.select(*SEG, *fd.prefixed("s"))
     w, hgt = F.col("sx1") - F.col("sx0"), F.col("sy1") - F.col("sy0")
