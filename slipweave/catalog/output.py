@@ -3,8 +3,9 @@
 from pyspark.sql import functions as F
 
 from slipweave.catalog.registry import query
+from slipweave.catalog.routes import ACCOUNT, TRUTH, wide
 from slipweave.functions import text as tx  # noqa: F401
-from slipweave.operators import export
+from slipweave.operators import export, route
 
 _PAGES = """live as (select * replace (case when full_page then -1 else x0 end as x0, case when full_page then -1 else y0 end as y0, case when full_page then -1 else x1 end as x1, case when full_page then -1 else y1 end as y1) from routed where not excluded),
 pages_ as (select group_id, source_id, page, full_page, x0, y0, x1, y1, min(group_label) as group_label, min(kind) as kind, min(source_position) as source_position, min(position_index) as position_index, arg_min(segment_id, (position_index, segment_id)) as segment_id, cast(count(*) as bigint) as slips from live group by all),
@@ -206,6 +207,32 @@ def _(t):
     return rows.select("segment_id", "payer_name", "payee_account", "payee_account_state", "row_kind", "source_id")
 
 
+@query(
+    "draft_sheet", "slips",
+    f"""with {TRUTH}, e as (select segment_id, own_role, concat('{{"reading":1,"label":{{"rect":{{"x0":40.0,"y0":20.0,"x1":80.0,"y1":32.0}},"text":"户名"}},"method":"same_row","value":{{"rect":{{"x0":90.0,"y0":20.0,"x1":240.0,"y1":32.0}},"text":"', own_name, '"}}}}') as one,
+        case when segment_id%3=0 then concat('{{"reading":2,"label":{{"rect":{{"x0":40.0,"y0":60.0,"x1":80.0,"y1":72.0}},"text":"户名"}},"method":"next_line","value":{{"rect":{{"x0":90.0,"y0":60.0,"x1":240.0,"y1":72.0}},"text":"', own_name, '2"}}}}') end as two from slips),
+      j as (select segment_id, own_role, concat('[', one, case when two is not null then ',' || two else '' end, ']') as told from e)
+    select segment_id, case route when 'excluded' then '已排除' when 'named' then '交易对手' when 'internal' then '本公司内部往来' when 'blank' then '对方名称为空' else '交易对手待确认' end as route_text,
+      case decision_method when 'none' then '尚未确认' else '按规则归组' end as decision_method_text, case own_side when 'payer' then '付款方' when 'payee' then '收款方' else '' end as own_side_text,
+      case bank_status when 'matched' then '已匹配' when 'unknown' then '待确认' else '不符' end as bank_status_text, case own_side when 'payer' then 'payee' when 'payee' then 'payer' end as counterparty_side, nm as counterparty_name,
+      case when own_role='payer' then told else '[]' end as payer_name_evidence, case when own_role='payee' then told else '[]' end as payee_name_evidence, '[]' as payee_bank_evidence
+    from routed_slips join j using (segment_id)""")
+def _(t):
+    """The check sheet's texts, effective counterparty and evidence."""
+    i = F.explode(F.sequence(F.lit(1).cast("long"), F.when(F.col("segment_id") % 3 == 0, 2).otherwise(1).cast("long")))
+    s = t.slips.select("segment_id", F.col("own_role").alias("side"), F.lit("name").alias("field"), "own_name", i.alias("reading"))
+    y = 40.0 * F.col("reading") - 20
+    rects = {f"{p}{c}": v for p, xs in (("label_", (40.0, 80.0)), ("", (90.0, 240.0))) for c, v in (("x0", F.lit(xs[0])), ("y0", y), ("x1", F.lit(xs[1])), ("y1", y + 12))}
+    evidence = s.withColumns({
+        "method": F.when(F.col("reading") == 1, "same_row").otherwise("next_line"), "label": F.lit("户名"),
+        "raw": F.when(F.col("reading") == 1, F.col("own_name")).otherwise(F.concat("own_name", F.lit("2"))), **rects})
+    routed = route.keep_routed(route.derive_route(wide(t), ACCOUNT))
+    none = t.orders.select(F.col("o_custkey").alias("source_id"), F.lit(True).alias("finished"))
+    return export.draft_rows(routed, _fields(t), none, evidence).select(
+        "segment_id", "route_text", "decision_method_text", "own_side_text", "bank_status_text", "counterparty_side", "counterparty_name",
+        "payer_name_evidence", "payee_name_evidence", "payee_bank_evidence")
+
+
 @query("write_index")
 def _(t):
     import uuid

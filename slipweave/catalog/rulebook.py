@@ -157,43 +157,54 @@ def _(t):
 
 
 def _rule_tables(t):
-    """Slips of the orders with two or three labels; rules of the first customers."""
-    def labels(key, shift):
-        third = F.when(key % 6 < 3, F.struct(F.lit("account").alias("kind"), F.lit(0.1).alias("rx0"), F.lit(0.5).alias("ry0"), F.lit(0.2).alias("rx1"), F.lit(0.6).alias("ry1")))
-        y = 0.1 + 0.05 * (key % 3) + shift
-        two = [F.struct(F.lit(k).alias("kind"), F.lit(x).alias("rx0"), y.alias("ry0"), F.lit(x + 0.1).alias("rx1"), (y + 0.05).alias("ry1")) for k, x in (("name", 0.1), ("bank", 0.6))]
-        return F.inline(F.array_compact(F.array(*two, third)))
-
-    c = F.col("c_custkey")
-    # Rules 0..5 cover every label layout once; rule 6 repeats the layout of rule 0.
-    few = t.customer.filter(c < 7)
-    rule = few.select(c.alias("rule_id"), F.concat(F.lit("Bank "), F.when(c < 100, "A")).alias("bank_name"), F.lit(2.0).alias("aspect"), F.lit(False).alias("batch_only"), (c != 4).alias("active"))
-    rule_labels = few.select(c.alias("rule_id"), labels(c % 6, F.lit(0.0)))
-    shift = F.when(_k() % 10 == 0, 0.02).otherwise(0.01)
+    """A rule for every customer; slips of the orders print their customer's layout, moved a little or too far."""
+    def spec(key):
+        return {
+            "x": 0.1 + 0.03 * (key % 17), "y": 0.1 + 0.05 * (F.floor(key / 17) % 11), "third": key % 6 < 3,
+            "bank": F.concat(F.lit("Bank "), (key % 7).cast("string")), "aspect": 1.5 + 0.1 * (key % 10)}
+
+    def labels(s, shift):
+        box = lambda kind, x, y: F.struct(F.lit(kind).alias("kind"), x.alias("rx0"), y.alias("ry0"), (x + 0.1).alias("rx1"), (y + 0.05).alias("ry1"))
+        third = F.when(s["third"], box("account", F.lit(0.1), F.lit(0.5)))
+        return F.inline(F.array_compact(F.array(box("name", s["x"], s["y"] + shift), box("bank", s["x"] + 0.2, s["y"] + shift), third)))
+
+    c, k = F.col("c_custkey"), _k()
+    drawn = spec(F.when(c % 25 == 0, c + 1).otherwise(c))
+    rule = t.customer.select(c.alias("rule_id"), drawn["bank"].alias("bank_name"), drawn["aspect"].alias("aspect"), F.lit(False).alias("batch_only"), (c % 9 != 4).alias("active"))
+    rule_labels = t.customer.select(c.alias("rule_id"), labels(drawn, F.lit(0.0)))
+    printed, shift = spec(F.col("o_custkey")), F.when(k % 10 == 0, 0.02).otherwise(0.01)
     slips = t.orders.select(
-        _k().alias("segment_id"), F.when(_k() % 7 == 0, "Bank B").otherwise("Bank A").alias("bank"), F.when(_k() % 11 == 0, 2.1).otherwise(2.02).alias("aspect"), (_k() % 13 != 0).alias("reliable"),
-        F.concat_ws("-", (_k() % 6).cast("string"), (_k() % 10 == 0).cast("string")).alias("signature"),
+        k.alias("segment_id"), F.when(k % 7 == 0, "Bank X").otherwise(printed["bank"]).alias("bank"), (printed["aspect"] * F.when(k % 11 == 0, 1.05).otherwise(1.01)).alias("aspect"), (k % 13 != 0).alias("reliable"),
+        F.concat_ws("-", F.col("o_custkey").cast("string"), (k % 10 == 0).cast("string")).alias("signature"),
     )
-    return slips, t.orders.select(_k().alias("segment_id"), labels(_k(), shift)), rule, rule_labels
+    return slips, t.orders.select(k.alias("segment_id"), labels(printed, shift)), rule, rule_labels
+
+
+# Every rule against every slip.
+_LAYOUT = "0.1::double+0.03::double*({k}%17) as x, 0.1::double+0.05::double*(({k}//17)%11) as y, {k}%6<3 as third, {k}%7 as bank, 1.5::double+0.1::double*({k}%10) as aspect"
+_RULES = f"""rl as (select rid, active, {_LAYOUT.format(k="k")} from (select c_custkey as rid, case when c_custkey%25=0 then c_custkey+1 else c_custkey end as k, c_custkey%9<>4 as active from customer)),
+sl as (select o_orderkey, o_custkey, case when o_orderkey%7=0 then -1 else o_custkey%7 end as shown_bank, case when o_orderkey%10=0 then 0.02::double else 0.01::double end as shift, {_LAYOUT.format(k="o_custkey")} from orders),
+fit as (select o_orderkey, o_custkey, rid, active, rl.bank=shown_bank and abs(sl.aspect*case when o_orderkey%11=0 then 1.05::double else 1.01::double end/rl.aspect-1)<=0.015::double as same
+  from rl, sl where rl.third=sl.third and abs(rl.x-sl.x)<=0.012::double and abs(sl.y+shift-rl.y)<=0.012::double)"""
 
 
 @query(
     "match_rules", "",
-    """select o_orderkey as segment_id, case when o_orderkey%13<>0 and o_orderkey%7<>0 and o_orderkey%11<>0 and o_orderkey%10<>0 and o_orderkey%6 not in (0,4) then cast(o_orderkey%6 as bigint) end as rule_id,
-    case when o_orderkey%13=0 then 'labels_unavailable' when o_orderkey%7=0 or o_orderkey%11=0 or o_orderkey%10=0 or o_orderkey%6=4 then 'no_rule' when o_orderkey%6=0 then 'multiple_rules' else 'matched' end as reason from orders""",
+    f"""with {_RULES}, n as (select o_orderkey, count(*) as n, min(rid) as rid from fit where active and same group by 1)
+    select o.o_orderkey as segment_id, case when o.o_orderkey%13<>0 and n=1 then rid end as rule_id, case when o.o_orderkey%13=0 then 'labels_unavailable' when n=1 then 'matched' when n>1 then 'multiple_rules' else 'no_rule' end as reason
+    from orders o left join n using (o_orderkey)""",
 )
 def _(t):
     return rules.match_rules(*_rule_tables(t))
 
 
-@query(
-    "match_layout_one_to_one", "",
-    "select r as a_id, o_orderkey as b_id from orders cross join (select unnest([0,1,2,3,4,5,6]) as r) where o_orderkey%10<>0 and o_orderkey%6=r%6 and o_custkey%7=r",
-)
+@query("match_layout_one_to_one", "", f"with {_RULES} select rid as a_id, o_orderkey as b_id from fit where rid in (o_custkey, o_custkey-1, o_custkey+1)")
 def _(t):
+    """Each slip against the rules of its customer and of the neighbours."""
     _, b, _, a = _rule_tables(t)
-    pairs = t.orders.select((F.col("o_custkey") % 7).alias("a_id"), _k().alias("b_id"))
-    return rules.match_layout_one_to_one(pairs, a.withColumnRenamed("rule_id", "a_id"), b.withColumnRenamed("segment_id", "b_id")).select(F.col("a_id").cast("int").alias("a_id"), "b_id")
+    near = F.explode(F.array(*[F.col("o_custkey") + i for i in (-1, 0, 1)]))
+    pairs = t.orders.select(near.alias("a_id"), _k().alias("b_id"))
+    return rules.match_layout_one_to_one(pairs, a.withColumnRenamed("rule_id", "a_id"), b.withColumnRenamed("segment_id", "b_id"))
 
 
 @query(

@@ -40,20 +40,54 @@ def match_layout_one_to_one(pairs: DataFrame, left: DataFrame, right: DataFrame,
     return ok_a.join(ok_b, ["a_id", "b_id"]).select("a_id", "b_id")
 
 
+def _cells(low: Column, high: Column, width: float) -> Column:
+    """Numbers of the cells an interval touches."""
+    return F.sequence(F.floor(low / width), F.floor(high / width))
+
+
+def layout_candidates(rules: DataFrame, rule_labels: DataFrame, shapes: DataFrame, shape_labels: DataFrame, tol: float = TOLERANCE, aspect_tol: float = 0.015) -> DataFrame:
+    """Pairs ``(a_id, b_id)`` of a rule and a shape that may match, by a grid of label boxes; a match is never left out.
+
+    ``rules(a_id, bank, aspect)``, ``shapes(b_id, bank, aspect)`` and their labels. What matches has the same bank, the same multiset of
+    kinds, and for each label of the rule one of the shape within ``tol`` on all edges. Of the first kind in order a rule takes one label: the shape's
+    partner of it lies in one of the few grid cells within ``tol``, which the rule probes. A shape stands in one cell for each of its labels of that kind. The aspect
+    is a fifth axis. So rules and shapes meet on a hash key, and a bank with many rules spreads over its layouts.
+    """
+    width, stretch = 4 * tol, 4 * aspect_tol
+
+    def profile(labels: DataFrame, key: str) -> DataFrame:
+        return labels.groupBy(key).agg(F.xxhash64(F.array_sort(F.collect_list("kind"))).alias("_kinds"), F.min("kind").alias("kind"))
+
+    one = rule_labels.join(profile(rule_labels, "a_id"), ["a_id", "kind"]).groupBy("a_id", "_kinds", "kind").agg(F.min(F.struct(*REL)).alias("_at"))
+    probes = one.join(rules.select("a_id", "bank", "aspect"), "a_id")
+    for c in REL:
+        probes = probes.withColumn("_" + c, F.explode(_cells(F.col("_at")[c] - tol, F.col("_at")[c] + tol, width)))
+    low, high = F.log(F.col("aspect") * (1 - aspect_tol)), F.log(F.col("aspect") * (1 + aspect_tol))
+    probes = probes.withColumn("_aspect", F.explode(_cells(low - 1e-9, high + 1e-9, stretch)))
+    homes = shape_labels.join(profile(shape_labels, "b_id"), ["b_id", "kind"]).join(shapes.select("b_id", "bank", "aspect"), "b_id")
+    homes = homes.withColumns({**{"_" + c: F.floor(F.col(c) / width) for c in REL}, "_aspect": F.floor(F.log("aspect") / stretch)})
+    cell = ["bank", "_kinds", "kind", *["_" + c for c in REL], "_aspect"]
+    met = probes.select("a_id", F.col("aspect").alias("_ra"), *cell).join(homes.select("b_id", "aspect", *cell).distinct(), cell)
+    return met.filter(F.abs(F.col("aspect") / F.col("_ra") - 1) <= aspect_tol).select("a_id", "b_id").distinct()
+
+
 def match_rules(slips: DataFrame, slip_labels: DataFrame, rules: DataFrame, rule_labels: DataFrame) -> DataFrame:
     """The one active rule of a slip's bank that fits its labels, else none or multiple.
 
-    ``slips(segment_id, bank, aspect, reliable, signature)``: equal signatures have equal labels,
-    so rules meet distinct (bank, aspect, signature) shapes, not the slips themselves.
+    ``slips(segment_id, bank, aspect, reliable, signature)``: equal signatures have equal labels, so distinct (bank, aspect,
+    signature) shapes are matched, not the slips themselves; and of rules that are equal in all of these one stands for all. Rules meet shapes
+    by :func:`layout_candidates`.
     """
     shape = ["bank", "aspect", "signature"]
     usable = slips.filter("reliable")
     shapes = usable.groupBy(*shape).agg(F.min("segment_id").alias("b_id"))
-    live = rules.filter("active and not batch_only").select(F.col("rule_id").alias("a_id"), F.col("bank_name").alias("bank"), F.col("aspect").alias("_ra"))
-    pairs = live.join(shapes, "bank").filter(F.abs(F.col("aspect") / F.col("_ra") - 1) <= 0.015)
     b = slip_labels.join(shapes.select(F.col("b_id").alias("segment_id")), "segment_id", "left_semi").withColumnRenamed("segment_id", "b_id")
-    fit = match_layout_one_to_one(pairs.select("a_id", "b_id"), rule_labels.withColumnRenamed("rule_id", "a_id"), b)
-    per_shape = fit.groupBy("b_id").agg(F.count(F.lit(1)).alias("_n"), F.min("a_id").alias("_rule"))
+    live = rules.filter("active and not batch_only").select("rule_id", F.col("bank_name").alias("bank"), "aspect")
+    drawn = rule_labels.groupBy("rule_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("kind", *REL)))).alias("_drawn"))
+    kinds = live.join(drawn, "rule_id").groupBy("bank", "aspect", "_drawn").agg(F.min("rule_id").alias("a_id"), F.count(F.lit(1)).alias("_same"))
+    a = rule_labels.join(kinds.select(F.col("a_id").alias("rule_id")), "rule_id", "left_semi").withColumnRenamed("rule_id", "a_id")
+    fit = match_layout_one_to_one(layout_candidates(kinds, a, shapes, b), a, b).join(kinds.select("a_id", "_same"), "a_id")
+    per_shape = fit.groupBy("b_id").agg(F.sum("_same").alias("_n"), F.min("a_id").alias("_rule"))
     by_shape = shapes.join(per_shape, "b_id", "left").select(*shape, F.coalesce("_n", F.lit(0)).alias("_n"), "_rule")
     return slips.join(by_shape, shape, "left").select(
         "segment_id", F.when(F.col("reliable") & (F.col("_n") == 1), F.col("_rule")).alias("rule_id"),
