@@ -76,13 +76,32 @@ def _(t):
     "accept_events", "seq_events",
     """with j as (select job_id, list(seq order by arrival) as s from seq_events group by 1),
     r as (select job_id, 0 as i, cast(0 as bigint) as last_seq, cast(null as varchar) as verdict, cast(0 as bigint) as before_ from j
-      union all select r.job_id, r.i+1, case when j.s[r.i+1]=r.last_seq+1 then j.s[r.i+1] else r.last_seq end, case when j.s[r.i+1]=r.last_seq+1 then 'accepted' when j.s[r.i+1]<=r.last_seq then 'duplicate' else 'out_of_order' end, r.last_seq from r join j on j.job_id=r.job_id where r.i<len(j.s))
+      union all select r.job_id, r.i+1, case when j.s[r.i+1]=r.last_seq+1 then j.s[r.i+1] else r.last_seq end, case when j.s[r.i+1]=r.last_seq+1 then 'accepted' when j.s[r.i+1]<1 then 'invalid' when j.s[r.i+1]<=r.last_seq then 'duplicate' else 'out_of_order' end, r.last_seq from r join j on j.job_id=r.job_id where r.i<len(j.s))
     select job_id, cast(i as bigint) as arrival, verdict from r where i>0""",
 )
 def _(t):
     return audit.accept_events(t.seq_events).select("job_id", "arrival", "verdict")
 
 
+@query(
+    "accept_generations", "seq_events",
+    """with e as (select job_id, (arrival-1)//12 as generation, arrival, case when arrival%29=7 then null else seq-12*((arrival-1)//12) end as seq, case when event_type='purchase' and arrival%5=0 then 'completed' else 'progress' end as type from seq_events),
+    j as (select job_id, generation, list(struct_pack(a:=arrival, s:=seq, t:=type) order by arrival) as l from e group by 1, 2),
+    r as (select job_id, generation, 0 as i, cast(0 as bigint) as last, false as over_, false as lost, cast(null as varchar) as verdict from j
+      union all select job_id, generation, i+1, case when v='accepted' then s else last end, over_ or v='accepted' and t='completed', lost or s is null, v from (
+        select r.*, x.s, x.t, case when x.s is null then 'snapshot_required' when x.s<1 then 'invalid' when lost then 'snapshot_required' when over_ then 'completed' when x.s=last+1 then 'accepted' when x.s<=last then 'duplicate' else 'out_of_order' end as v
+        from (select r.*, j.l[r.i+1] as x from r join j using (job_id, generation) where r.i<len(j.l)) r))
+    select job_id, generation, j.l[i].a as arrival, verdict from r join j using (job_id, generation) where i>0""",
+)
+def _(t):
+    """Numbers that begin anew in each generation, with completions and lost numbers."""
+    g = F.floor((F.col("arrival") - 1) / 12)
+    e = t.seq_events.select(
+        "job_id", g.alias("generation"), "arrival", F.when(F.col("arrival") % 29 != 7, F.col("seq") - 12 * g).alias("seq"),
+        F.when((F.col("event_type") == "purchase") & (F.col("arrival") % 5 == 0), "completed").otherwise("progress").alias("type"))
+    return audit.accept_events(e).select("job_id", "generation", "arrival", "verdict")
+
+
 _ISSUES = "i as (select o_orderkey as segment_id, case o_orderkey%4 when 0 then 'own_company_mismatch' when 1 then 'missing_field' when 2 then 'own_account_mismatch' else 'conflicting_field' end as code, case when o_orderkey%2=0 then 'name' else 'account' end as field, case when o_orderkey%3=0 then 'payer' else 'payee' end as role, case when o_orderkey%5=0 then 'missing' else 'ambiguous' end as state, o_custkey as layout from orders)"
 
 

@@ -2,17 +2,16 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from slipweave.functions.numbering import number_rows
-
 from slipweave.functions import geometry as g
 from slipweave.functions import identity
+from slipweave.functions.numbering import number_rows
 from slipweave.operators.export import extract_order
+from slipweave.session import stage
 
 STATUSES = ("pending", "running", "succeeded", "failed")
 
@@ -50,51 +49,62 @@ def retry_set(pages: DataFrame, max_retries: int) -> DataFrame:
 def accept_events(events: DataFrame) -> DataFrame:
     """Judge numbered events in arrival order: only the next number is accepted, none buffered.
 
-    As long as first arrivals come in number order, each number is accepted at its first arrival;
-    that is checked by joining each number with its predecessor, so one busy job spreads over
-    many tasks. Only what follows a number that came too early and was sent again is read in
-    order, as a stream with one number of state per job. An event whose number was accepted
-    before it arrived is a duplicate, any other is out of order.
+    ``events(job_id, arrival, seq[, generation, type])``; every generation of a job counts for itself, and arrivals are unique in it. Verdicts are
+    ``accepted``; ``duplicate`` (the number was accepted before); ``out_of_order``; ``completed`` for all that follows an accepted event of that type; ``snapshot_required``
+    for an event without a number and all that follows it; ``invalid`` for numbers below one, which change nothing.
+
+    As long as first arrivals come in number order, each number is accepted at its first arrival; that is checked by
+    joining each number with its predecessor. Where a number came too early and was sent again, its followers are found by
+    doubling pointers (:func:`_followed`). Either way a busy job spreads over many tasks.
     """
-    keys = ["job_id", "seq"]
+    job = ["job_id", "generation"] if "generation" in events.columns else ["job_id"]
+    keys = [*job, "seq"]
     first = events.filter("seq >= 1").groupBy(*keys).agg(F.min("arrival").alias("accepted_at"))
-    before = first.select("job_id", (F.col("seq") + 1).alias("seq"), F.col("accepted_at").alias("_prev"))
+    before = first.select(*job, (F.col("seq") + 1).alias("seq"), F.col("accepted_at").alias("_prev"))
     steps = first.join(before, keys, "left").withColumn(
         "_ok", (F.col("seq") == 1) | F.coalesce(F.col("accepted_at") > F.col("_prev"), F.lit(False))
     )
-    broken = steps.filter("not _ok").groupBy("job_id").agg(F.min(F.struct("seq", "_prev")).alias("_b"))
-    chain = steps.join(broken, "job_id", "left").filter(F.col("_b").isNull() | (F.col("seq") < F.col("_b.seq"))).select(*keys, "accepted_at")
-    resent = broken.filter("_b._prev is not null").select("job_id", F.col("_b.seq").alias("_next"), F.col("_b._prev").alias("_since"))
+    broken = steps.filter("not _ok").groupBy(*job).agg(F.min(F.struct("seq", "_prev")).alias("_b"))
+    chain = steps.join(broken, job, "left").filter(F.col("_b").isNull() | (F.col("seq") < F.col("_b.seq"))).select(*keys, "accepted_at")
+    resent = broken.filter("_b._prev is not null").select(*job, F.col("_b.seq").alias("_next"), F.col("_b._prev").alias("_since"))
     # A break counts as re-sent only where the chain really reaches the number before it.
-    resent = resent.join(chain.select("job_id", (F.col("seq") + 1).alias("_next")), ["job_id", "_next"], "left_semi")
-    late = events.join(resent, "job_id").filter((F.col("arrival") > F.col("_since")) & (F.col("seq") >= F.col("_next")))
-    tail = (
-        late.select("job_id", "seq", "arrival", "_next")
-        .repartition("job_id")
-        .sortWithinPartitions("job_id", "arrival")
-        .mapInPandas(_follow, "job_id long, seq long, accepted_at long")
+    resent = resent.join(chain.select(*job, (F.col("seq") + 1).alias("_next")), [*job, "_next"], "left_semi")
+    late = events.join(resent, job).filter((F.col("arrival") > F.col("_since")) & (F.col("seq") >= F.col("_next")))
+    marks = events.join(chain.unionByName(_followed(late.select(*keys, "arrival", "_next"), job)), keys, "left")
+    taken = F.coalesce(F.col("arrival") == F.col("accepted_at"), F.lit(False))
+    verdict = (
+        F.when(F.col("seq").isNull(), "snapshot_required").when(F.col("seq") < 1, "invalid").when(taken, "accepted")
+        .when(F.col("accepted_at") < F.col("arrival"), "duplicate").otherwise("out_of_order")
     )
-    marks = events.join(chain.unionByName(tail), keys, "left")
-    return marks.withColumn(
-        "verdict",
-        F.when(F.col("arrival") == F.col("accepted_at"), "accepted")
-        .when((F.col("seq") < 1) | (F.col("accepted_at") < F.col("arrival")), "duplicate")
-        .otherwise("out_of_order"),
-    ).drop("accepted_at")
-
-
-def _follow(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-    """Accepted numbers of jobs sorted by arrival; the state carries over batch borders."""
-    job, wanted = None, 0
-    for pdf in batches:
-        taken = []
-        for j, seq, arrival, nxt in zip(pdf["job_id"], pdf["seq"], pdf["arrival"], pdf["_next"]):
-            if j != job:
-                job, wanted = j, nxt
-            if seq == wanted:
-                taken.append((j, seq, arrival))
-                wanted += 1
-        yield pd.DataFrame(taken, columns=["job_id", "seq", "accepted_at"])
+    lost = F.min(F.when(F.col("seq").isNull(), F.col("arrival")))
+    over = F.col("type") == "completed" if "type" in events.columns else F.lit(False)
+    ends = marks.groupBy(*job).agg(lost.alias("_lost"), F.min(F.when(taken & over, F.col("arrival"))).alias("_over")).filter("_lost is not null or _over is not null")
+    after = marks.join(ends, job, "left").withColumn("verdict", verdict)
+    cut = F.col("_lost").isNull() | (F.col("_over") < F.col("_lost"))
+    closed = F.when(F.col("seq").isNull() | (F.col("arrival") > F.col("_lost")), "snapshot_required").when(cut & (F.col("arrival") > F.col("_over")), "completed")
+    return after.withColumn("verdict", F.when(F.col("verdict") == "invalid", "invalid").otherwise(F.coalesce(closed, F.col("verdict")))).drop("accepted_at", "_lost", "_over")
+
+
+def _followed(late: DataFrame, job: list[str]) -> DataFrame:
+    """``seq, accepted_at`` of the numbers accepted from ``_next`` on, for the events that come after the chain so far.
+
+    Every event points to the first later arrival of the next number. The accepted chain starts at the first arrival of ``_next``; it
+    is marked by jumping: in each round what is marked marks its pointer's end, and pointers are replaced by their pointers' pointers. So a
+    chain of n numbers takes about log2(n) rounds of joins on (job, arrival), whose rows spread over all tasks whatever the job.
+    """
+    node = [*job, "arrival"]
+    late = stage(late)
+    starts = late.filter("seq = _next").groupBy(*job, "seq").agg(F.min("arrival").alias("arrival"))
+    asked = late.select(*node, (F.col("seq") + 1).alias("_of"), F.lit(False).alias("_is")).unionByName(late.select(*node, F.col("seq").alias("_of"), F.lit(True).alias("_is")))
+    ahead = Window.partitionBy(*job, "_of").orderBy("arrival").rowsBetween(1, Window.unboundedFollowing)
+    pointers = asked.withColumn("_to", F.min(F.when(F.col("_is"), F.col("arrival"))).over(ahead)).filter("not _is and _to is not null").select(*node, "_to")
+    pointers = stage(pointers)
+    marked = starts.select(*node)
+    while not pointers.isEmpty():
+        marked = stage(marked.unionByName(marked.join(pointers, node).select(*job, F.col("_to").alias("arrival"))))
+        onward = pointers.select(*job, F.col("arrival").alias("_to"), F.col("_to").alias("_far"))
+        pointers = stage(pointers.join(onward, [*job, "_to"]).select(*node, F.col("_far").alias("_to")))
+    return late.join(marked, node, "left_semi").select(*job, "seq", F.col("arrival").alias("accepted_at"))
 
 
 # Reasons that set a slip against our own identity.

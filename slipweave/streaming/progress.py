@@ -24,23 +24,33 @@ def _judge(key: tuple, batches: Iterator[pd.DataFrame], state: GroupState) -> It
 
     What one trigger brings for one job must fit in memory; ``maxFilesPerTrigger`` bounds it.
     """
-    last = state.get[0] if state.exists else 0
+    last, over, lost = state.get if state.exists else (0, False, False)
     pdf = pd.concat(list(batches), ignore_index=True).sort_values("arrival", kind="stable")
     verdicts = []
-    for seq in pdf["seq"]:
-        if seq == last + 1:
-            last, verdict = int(seq), "accepted"
+    for seq, kind in zip(pdf["seq"], pdf["type"]):
+        if pd.isna(seq):
+            lost, verdict = True, "snapshot_required"
+        elif seq < 1:
+            verdict = "invalid"
+        elif lost or over:
+            verdict = "snapshot_required" if lost else "completed"
+        elif seq == last + 1:
+            last, over, verdict = int(seq), kind == "completed", "accepted"
         else:
             verdict = "duplicate" if seq <= last else "out_of_order"
         verdicts.append(verdict)
-    yield pd.DataFrame({"job_id": pdf["job_id"], "arrival": pdf["arrival"], "seq": pdf["seq"], "verdict": verdicts})
-    state.update((last,))
+    yield pdf[["job_id", "generation", "arrival", "seq"]].assign(seq=pdf["seq"].astype("Int64"), verdict=verdicts)
+    state.update((last, over, lost))
 
 
 def accept_stream(events: DataFrame) -> DataFrame:
-    """Accept only the next number of each job; one number of state, nothing is buffered."""
-    return events.groupBy("job_id").applyInPandasWithState(
-        _judge, "job_id long, arrival long, seq long, verdict string", "last long", "append", "NoTimeout"
+    """Accept only the next number of each job and generation, as :func:`audit.accept_events` does; three values of state, nothing is buffered.
+
+    ``events(job_id, arrival, seq[, generation, type])``; without a generation it is 1.
+    """
+    missing = {c: v for c, v in (("generation", F.lit(1).cast("long")), ("type", F.lit(""))) if c not in events.columns}
+    return events.withColumns(missing).groupBy("job_id", "generation").applyInPandasWithState(
+        _judge, "job_id long, generation long, arrival long, seq long, verdict string", "last long, over boolean, lost boolean", "append", "NoTimeout"
     )
 
 
