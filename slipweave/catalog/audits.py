@@ -1,9 +1,13 @@
 """Progress, completeness, diagnostic and snapshot queries."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from slipweave.catalog.registry import query
 from slipweave.operators import audit
+from slipweave.session import shared_folder
+from slipweave.streaming.progress import PageState
 
 _COUNTS = "cast(count(*) filter (where status='pending') as bigint) as pending, cast(0 as bigint) as running, cast(count(*) filter (where status='succeeded') as bigint) as succeeded, cast(count(*) filter (where status='failed') as bigint) as failed, cast(count(*) as bigint) as total"
 
@@ -102,6 +106,24 @@ def _(t):
     return audit.accept_events(e).select("job_id", "generation", "arrival", "verdict")
 
 
+@query(
+    "page_progress", "page_status",
+    """with n as (select source_id, count(*) as n from page_status group by 1),
+    f as (select source_id, page, case when status='failed' and page%2=0 then 'succeeded' else status end as status, case when status='failed' then (page+2)%3 else (page+1)%3 end as b from page_status)
+    select source_id, cast(count(*) as bigint) as pages, cast(count(*) filter (where status='succeeded') as bigint) as succeeded, cast(count(*) filter (where status='failed') as bigint) as failed,
+      cast(case when bool_and(status='succeeded') then max(b) end as bigint) as published from f group by 1""",
+)
+def _(t):
+    """Page events in three batches, failed pages of even number tried again; counts per source and the batch that made it full."""
+    p = t.page_status
+    again = p.filter("status = 'failed' and page % 2 = 0").select("source_id", "page", F.lit("succeeded").alias("status"), F.lit(2).alias("attempt"))
+    events = p.select("source_id", "page", "status", F.lit(1).alias("attempt")).unionByName(again).withColumn("event_id", F.col("page") * 10 + F.col("attempt"))
+    state = PageState(f"{shared_folder(t.spark)}/progress-{uuid.uuid4().hex}", p.groupBy("source_id").agg(F.count(F.lit(1)).alias("page_count")))
+    for batch in range(3):
+        state.fold(events.filter((F.col("page") + F.col("attempt")) % 3 == batch), batch)
+    return state.counts(t.spark, 2).select("source_id", "pages", "succeeded", "failed", "published")
+
+
 _ISSUES = "i as (select o_orderkey as segment_id, case o_orderkey%4 when 0 then 'own_company_mismatch' when 1 then 'missing_field' when 2 then 'own_account_mismatch' else 'conflicting_field' end as code, case when o_orderkey%2=0 then 'name' else 'account' end as field, case when o_orderkey%3=0 then 'payer' else 'payee' end as role, case when o_orderkey%5=0 then 'missing' else 'ambiguous' end as state, o_custkey as layout from orders)"
 
 

@@ -50,7 +50,7 @@ def test_stream_progress_keeps_latest_attempt(spark, tmp_path):
     for rows in batches:
         spark.createDataFrame(rows, schema).coalesce(1).write.mode("append").parquet(str(src))
         drain(progress.stream_progress(spark.readStream.schema(schema).parquet(str(src)), str(tmp_path / "t"), str(tmp_path / "c")))
-    final = spark.read.parquet(str(tmp_path / "t" / "v=1"))
+    final = progress.PageState(str(tmp_path / "t")).pages(spark, 1)
     assert sorted((r.page, r.attempt, r.status) for r in final.collect()) == [(1, 2, "succeeded"), (2, 1, "succeeded")]
     counts = audit.progress(final, ["source_id"]).select(F.col("succeeded")).first()
     assert counts.succeeded == 2
@@ -114,3 +114,34 @@ def test_accepted_events_equal_the_state_machine(spark, tmp_path):
     streamed = spark.read.parquet(str(tmp_path / "out")).collect()
     assert {(r.job_id, r.generation, r.arrival): r.verdict for r in streamed} == want
     assert audit.accept_events(table.filter("false")).count() == 0
+
+
+def test_a_batch_rewrites_what_it_touches_and_publishes_once(spark, tmp_path):
+    import glob
+
+    schema = "source_id long, page long, attempt int, event_id long, status string"
+    sources = spark.createDataFrame([(i, 3) for i in range(40)] + [(77, 10_000)], "source_id long, page_count long")
+    state = progress.PageState(str(tmp_path / "t"), sources, buckets=16)
+    batches = [
+        [(i, p, 1, 10 * i + p, "failed" if i == 5 and p == 2 else "succeeded") for i in range(40) for p in (1, 2)] + [(77, p, 1, p, "succeeded") for p in range(1, 10_001, 2)],
+        [(3, 3, 1, 1, "succeeded"), (5, 3, 1, 1, "succeeded")],
+        [(5, 2, 2, 2, "succeeded"), (3, 3, 1, 1, "succeeded"), (3, 1, 2, 9, "succeeded")],
+        [(77, p, 1, p, "succeeded") for p in range(2, 10_001, 2)],
+    ]
+    frames = [spark.createDataFrame(b, schema) for b in batches]
+    for i, b in enumerate(frames):
+        state.fold(b, i)
+        first = sorted(map(tuple, state.counts(spark, i).collect()), key=str)
+        touched = {k: len(glob.glob(f"{tmp_path}/t/{k}/bucket=*/v={i}")) for k in ("pages", "sources")}
+        # The batch runs again, as after a lost driver: same tables, nothing published twice.
+        state.fold(b, i)
+        assert first == sorted(map(tuple, state.counts(spark, i).collect()), key=str)
+        if i in (1, 2):
+            assert touched["pages"] <= 2 and touched["sources"] <= 2
+    published = [sorted(r.source_id for r in spark.read.parquet(f"{tmp_path}/t/published/v={i}").collect()) for i in range(4)]
+    assert published == [[], [3], [5], [77]]
+    counts = {r.source_id: (r.pages, r.succeeded, r.failed, r.published) for r in state.counts(spark, 3).collect()}
+    assert counts[3] == (3, 3, 0, 1) and counts[5] == (3, 3, 0, 2) and counts[77] == (10_000, 10_000, 0, 3) and counts[0] == (2, 2, 0, None)
+    assert state.pages(spark, 3).filter("source_id = 77").count() == 10_000
+    # Of each bucket only versions that a manifest may still need are left.
+    assert max(len(glob.glob(f"{d}/v=*")) for d in glob.glob(f"{tmp_path}/t/*/bucket=*")) <= 2
