@@ -14,6 +14,7 @@ from __future__ import annotations
 
 import heapq
 import json
+import re
 from collections.abc import Iterator
 from functools import cache
 
@@ -61,7 +62,9 @@ class Counter:
         if len(self.special) < len(told["added_tokens"]):
             raise ValueError("an added token takes more than its own characters")
         newer = "".join("-".join(chr(int(c, 16)) for c in span.split("-")) for span in NEWER.split())
-        self.newer, self.all_pieces = regex.compile(f"[{newer}]").search, regex.compile(PATTERN).findall
+        # The first of them is far up, so one range settles most texts.
+        self.far, self.newer = re.compile(f"[{newer[0]}-\U0010ffff]").search, regex.compile(f"[{newer}]").search
+        self.all_pieces = regex.compile(PATTERN).findall
         older = PATTERN.replace(r"[^\p{White_Space}\p{L}\p{N}]", rf"(?:[^\p{{White_Space}}\p{{L}}\p{{N}}]|[{newer}])")
         for kind in (r"\p{L}+", r"\p{N}+"):
             older = older.replace(kind, f"(?:(?![{newer}]){kind[:-1]})+")
@@ -131,7 +134,7 @@ class Counter:
 
     def pieces(self, text: str) -> list[str]:
         """The pre-tokens of ``text``."""
-        return self.older_pieces(text) if self.newer(text) else self.all_pieces(text)
+        return self.older_pieces(text) if self.far(text) and self.newer(text) else self.all_pieces(text)
 
     def piece(self, piece: str) -> int:
         found = self.known.get(piece)
@@ -161,7 +164,8 @@ class Counter:
         for part in self.slices(text):
             found = self.pieces(part)
             rest = [p for p in found if p not in self.alone]
-            total += len(found) - len(rest) + sum(map(self.piece, rest))
+            counts = list(map(self.known.get, rest))
+            total += len(found) - len(rest) + (sum(map(self.piece, rest)) if None in counts else sum(counts))
         return total
 
     def count(self, text: str) -> int:
