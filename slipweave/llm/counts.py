@@ -28,6 +28,8 @@ from slipweave.llm.shared import pick
 #: The pre-token pattern of byte-level vocabularies; white space is Unicode's.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\p{White_Space}\p{L}\p{N}]+|\p{White_Space}+(?!\P{White_Space})|\p{White_Space}+"
 LIMIT, WINDOW, SLICE = 512, 1_024, 1 << 20
+#: Up to so many bytes scanning all pairs is faster than a heap of them.
+SHORT = 48
 #: What the regex engine has as letters or numbers and the library's tables (Unicode 16) have not yet.
 NEWER = (
     "0558 058B-058C 088F 0C5C 0CDC 208F 209D-209F A7CE-A7CF A7D2 A7D4 A7DD A7E2 A7F1 AB6C-AB6D 107BB-107BF 10940-10959 10EC5-10EC7 "
@@ -45,7 +47,7 @@ def spelled() -> dict[str, int]:
 
 
 class Counter:
-    def __init__(self, path: str, most_pieces: int = 200_000):
+    def __init__(self, path: str, most_pieces: int = 1_000_000):
         with open(path, encoding="utf-8") as f:
             told = json.load(f)
         model = told["model"]
@@ -89,6 +91,18 @@ class Counter:
         """Tokens of ``raw`` by the merges as defined: the pair of least rank first, of equal ones the leftmost."""
         pairs, tokens = self.pairs, [self.byte[b] for b in raw]
         n = len(tokens)
+        if n <= SHORT:
+            none = (1 << 60, -1)
+            found = [pairs.get(p, none) for p in zip(tokens, tokens[1:])]
+            while found and (least := min(found)) is not none:
+                i = found.index(least)
+                tokens[i : i + 2] = [least[1]]
+                del found[i]
+                if i:
+                    found[i - 1] = pairs.get((tokens[i - 1], tokens[i]), none)
+                if i < len(found):
+                    found[i] = pairs.get((tokens[i], tokens[i + 1]), none)
+            return tokens
         following, previous = [*range(1, n), -1], [*range(-1, n - 1)]
         heap = [(*found, i) for i in range(n - 1) if (found := pairs.get((tokens[i], tokens[i + 1])))]
         # By rank, then place; an entry is void once either of its tokens has changed.
