@@ -405,13 +405,14 @@ def _(t):
 @query(
     "layout_signature",
     "slips",
-    """select segment_id, 'payer.name' as kind, round(40/600.0::double, 4) as rx0, cast('true' as boolean) as reliable, cast(1 as bigint) as signatures from slips""",
+    """select segment_id, kind, round(40/600.0::double, 4) as rx0, round((20*k)/140.0::double, 4) as ry0, cast('true' as boolean) as reliable, cast(1 as bigint) as signatures from slips
+    cross join (values (1,'payer.name'),(2,'payer.account'),(3,'payer.bank'),(4,'payee.name'),(5,'payee.account'),(6,'payee.bank')) v(k, kind)""",
 )
 def _(t):
     lines = _scoped(t.slip_lines)
     sig = parties.layout_signature(lb.match_labels(lines), lines.select("segment_id", *[F.col("s" + c).alias(c) for c in ("x0", "y0", "x1", "y1")]).distinct())
     n = sig.agg(F.count_distinct("signature").alias("n")).scalar()
-    return sig.filter("kind = 'payer.name'").select("segment_id", "kind", "rx0", "reliable", n.alias("signatures"))
+    return sig.select("segment_id", "kind", "rx0", "ry0", "reliable", n.alias("signatures"))
 
 
 @query(

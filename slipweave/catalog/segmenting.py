@@ -140,10 +140,12 @@ _HEADS = """heads as (select * from block_truth h where bank is not null and not
     and ((least(h.y1,a.y1)>greatest(h.y0,a.y0)) or abs(a.y0-h.y0)<=2 or (h.y0-a.y1 between 0 and 20))))"""
 
 
-@query("masthead_bank", "blocks block_truth", f"with {_HEADS} select source_id, page, block_index, bank from heads union all select source_id, page, block_index, bank from (select *, '农商银行' as b2 from block_truth where text='农商银行') h where false")
+_NAMED = "from (select * replace (case when text in ('中国银行','农商银行') then text end as bank) from block_truth) h where bank is not null"
+
+
+@query("masthead_bank", "blocks block_truth", f"with {_HEADS.replace('from block_truth h where bank is not null', _NAMED)} select source_id, page, block_index, bank from heads")
 def _(t):
-    found = classify.masthead_bank(t.blocks).filter("bank <> '农商银行'")
-    return found.select("source_id", "page", "block_index", "bank")
+    return classify.masthead_bank(t.blocks).select("source_id", "page", "block_index", "bank")
 
 
 @query(
@@ -312,12 +314,12 @@ def _(t):
     "loose_slots boxes",
     """with s as (select *, top+height-lead(top) over w as over_, lead(top) over w as nt from loose_slots window w as (partition by page order by position_index)),
     m as (select *, case when over_>0 then (top+height+nt)/2 end as mid from s),
-    c as (select *, coalesce(over_>2.5 or (over_>0 and exists (select 1 from boxes b where b.page=m.page and b.tag='A' and b.y0<mid and mid<b.y1)), false) as bad from m),
+    c as (select *, coalesce(over_>2.5 or (over_>0 and exists (select 1 from boxes b where b.page=m.page and b.y0<mid and mid<b.y1)), false) as bad from m),
     f as (select *, lag(mid) over (partition by page order by position_index) as pm, bool_or(bad) over (partition by page) as inv from c)
     select source_id, page, position_index, coalesce(pm, top) as top, coalesce(mid, top+height)-coalesce(pm, top) as height, not inv as valid from f""",
 )
 def _(t):
-    return segment.fix_seams(t.loose_slots, t.boxes.filter("tag = 'A'").withColumn("is_watermark", F.lit(False)))
+    return segment.fix_seams(t.loose_slots, t.boxes.withColumn("is_watermark", F.lit(False)))
 
 
 @query(
@@ -353,7 +355,7 @@ def _(t):
 @query(
     "occupy_slots",
     "blocks slots boxes",
-    """with o as (select page, block_index, x0, y0, x1, y1 from boxes where tag='R' and page%3=0),
+    """with o as (select page, block_index, x0, y0, x1, y1 from boxes where tag='R'),
     t as (select s.page, s.position_index, count(*) as blocks, count(*) filter (where mark) as markers, count(*) filter (where mark and inside) as im,
       count(*) filter (where not mark and inside) as complete, count(*) filter (where not mark and not inside) as crossing, count(*) filter (where not mark and confidence<0.9) as ut
       from (select s.page, s.position_index, b.text='此处空白无效！' as mark, b.x0>=s.x0 and b.y0>=s.y0 and b.x1<=s.x1 and b.y1<=s.y1 as inside, b.confidence
@@ -368,7 +370,7 @@ def _(t):
       reason is null and im>0 and (blocks>markers or objects>0) as suspected_invalid from e""",
 )
 def _(t):
-    objects = t.boxes.filter("tag = 'R' and page % 3 = 0").withColumn("kind", F.lit("stroke-path"))
+    objects = t.boxes.filter("tag = 'R'").withColumn("kind", F.lit("stroke-path"))
     return segment.occupy_slots(t.slots, t.blocks, objects)
 
 
@@ -376,10 +378,12 @@ def _(t):
     "outside_slots",
     "blocks slots",
     """select source_id, page, block_index from blocks b where not is_watermark and text<>'此处空白无效！' and not exists (
-      select 1 from slots s where s.page=b.page and s.position_index<3 and s.x0<b.x1 and s.x1>b.x0 and s.y0<b.y1 and s.y1>b.y0)""",
+      select 1 from (select * replace (y0+case when position_index=3 then 9000 else 0 end as y0, y1+case when position_index=3 then 9000 else 0 end as y1) from slots) s where s.page=b.page and s.x0<b.x1 and s.x1>b.x0 and s.y0<b.y1 and s.y1>b.y0)""",
 )
 def _(t):
-    return segment.outside_slots(t.slots.filter("position_index < 3"), t.blocks)
+    # The third slot lies below the page, so that some text is outside.
+    low = F.when(F.col("position_index") == 3, 9000).otherwise(0)
+    return segment.outside_slots(t.slots.withColumns({c: F.col(c) + low for c in ("y0", "y1")}), t.blocks)
 
 
 @query(
