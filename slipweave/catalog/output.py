@@ -153,6 +153,47 @@ def _(t):
     return export.overlap_conflicts(r)
 
 
+@query(
+    "excluded_conflicts", "routed",
+    """with r as (select * replace (y0 - case when segment_id%4=0 then 10 else 0 end as y0) from routed)
+    select distinct a.segment_id from r a join r b on a.source_id=b.source_id and a.page=b.page and not a.excluded and b.excluded
+    and (a.full_page or (least(a.y1,b.y1)>greatest(a.y0,b.y0) and least(a.x1,b.x1)>greatest(a.x0,b.x0)))""",
+)
+def _(t):
+    r = t.routed.withColumn("y0", F.col("y0") - F.when(F.col("segment_id") % 4 == 0, 10).otherwise(0))
+    return export.excluded_conflicts(r.filter("not excluded"), r.filter("excluded"))
+
+
+@query(
+    "scope_sources", "routed",
+    "select source_id, cast(count(*) as bigint) as slips from routed where source_id in (select r_regionkey*7+1 from region) group by 1")
+def _(t):
+    wanted = t.region.select((F.col("r_regionkey") * 7 + 1).cast("long").alias("source_id"))
+    return export.scoped(t.routed, "sources", wanted)[0].groupBy("source_id").agg(F.count(F.lit(1)).alias("slips"))
+
+
+@query(
+    "scope_errors", "routed",
+    """select cast(-c_custkey as varchar) as item, 'unknown' as error from customer where c_custkey%9=0 and c_custkey>0
+    union all select cast(s as varchar), 'duplicate' from (select distinct source_id as s from routed) where s%10=0
+    union all select null, 'empty' where not exists (select 1 from routed)""")
+def _(t):
+    """Sources that do not exist, and sources named twice."""
+    known = t.routed.select("source_id").distinct()
+    wanted = t.customer.filter("c_custkey % 9 = 0").select((-F.col("c_custkey")).alias("source_id")).unionByName(known).unionByName(known.filter("source_id % 10 = 0"))
+    return export.scoped(t.routed, "sources", wanted)[1]
+
+
+@query(
+    "group_gate", "slips",
+    f"""with {TRUTH}, x as (select *, case when segment_id%50=7 then 'other' else group_label end as shown from routed_slips where route<>'excluded')
+    select segment_id, 'group_changed' as violation from x where (route, group_key) in (select (route, group_key) from x group by route, group_key having min(shown)<>max(shown))""")
+def _(t):
+    """Groups some of whose slips show another name."""
+    routed = route.keep_routed(route.derive_route(wide(t), ACCOUNT))
+    return export.group_gate(routed.withColumn("group_label", F.when(F.col("segment_id") % 50 == 7, "other").otherwise(F.col("group_label"))))
+
+
 def _reviews(t):
     return t.orders.select(F.col("o_orderkey").alias("segment_id"), F.when(F.col("o_orderkey") % 31 == 0, "excluded").when(F.col("o_orderkey") % 37 == 1, "excluded").otherwise("confirmed").alias("review_status"))
 

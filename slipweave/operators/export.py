@@ -172,6 +172,27 @@ def resolve_scope(segments: DataFrame, wanted: DataFrame, key: str = "segment_id
     return chosen, errors.filter("error is not null")
 
 
+def scoped(segments: DataFrame, kind: str, wanted: DataFrame | None = None, key: str = "segment_id") -> tuple[DataFrame, DataFrame]:
+    """The slips of a scope and its errors ``item, error``: ``all``, ``sources`` (``wanted(source_id)``) or ``list`` (``wanted`` by ``key``).
+
+    Errors are ``unknown``, ``duplicate``, and ``empty`` (without an item) where no slip is chosen.
+    """
+    if kind not in ("all", "sources", "list"):
+        raise ValueError("a scope is all, sources or list")
+    name = "source_id" if kind == "sources" else key
+    if kind == "all":
+        chosen, errors = segments, None
+    elif kind == "list":
+        chosen, errors = resolve_scope(segments, wanted, key)
+    else:
+        _, errors = resolve_scope(segments.select(name).distinct(), wanted, name)
+        chosen = segments.join(wanted.select(name).distinct(), name, "left_semi")
+    empty = chosen.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(None).cast("string").alias("item"), F.lit("empty").alias("error"))
+    if errors is None:
+        return chosen, empty
+    return chosen, errors.select(F.col(name).cast("string").alias("item"), "error").unionByName(empty)
+
+
 def scope_counts(segments: DataFrame, selected: DataFrame, unresolved: Column, key: str = "segment_id") -> DataFrame:
     rows = segments.join(selected.select(key).distinct().withColumn("_in", F.lit(True)), key, "left")
     inside = F.coalesce("_in", F.lit(False))
@@ -194,19 +215,36 @@ def scope_summary(records: DataFrame) -> DataFrame:
     )
 
 
+def _tiled(rects: DataFrame, step: float) -> DataFrame:
+    """A row for each tile a rectangle touches; ``_band`` counts down the page, ``_strip`` across."""
+    return rects.withColumn("_band", F.explode(g.bands(F.col("y0"), F.col("y1"), step))).withColumn("_strip", F.explode(g.bands(F.col("x0"), F.col("x1"), step)))
+
+
+def excluded_conflicts(records: DataFrame, excluded: DataFrame, step: float = 64.0) -> DataFrame:
+    """Slips to be exported whose rectangle materially overlaps an excluded one (``excluded(source_id, page, x0 …)``); full pages with any on their page."""
+    other = _tiled(excluded.select(*PAGE, *_R), step).select(*PAGE, "_band", "_strip", *[F.col(c).alias("o_" + c) for c in _R]).distinct()
+    crops = _tiled(records.filter("not full_page").select("segment_id", *PAGE, *_R), step)
+    tile = [*PAGE, "_band", "_strip"]
+    # Each overlap is seen in the tile where the later of both rectangles begins, down and across.
+    first = (F.col("_band") == g.band(F.greatest("y0", "o_y0"), step)) & (F.col("_strip") == g.band(F.greatest("x0", "o_x0"), step))
+    hit = crops.join(other, tile).filter(first & g.material_overlap(Rect(), Rect("o_"))).select("segment_id")
+    whole = records.filter("full_page").join(excluded.select(*PAGE).distinct(), list(PAGE), "left_semi").select("segment_id")
+    return hit.unionByName(whole).distinct()
+
+
 def overlap_conflicts(records: DataFrame, step: float = 64.0) -> DataFrame:
     """Slips whose rectangle materially overlaps one of another group on the same page.
 
-    A full page conflicts with anything of another group. Rectangles meet per horizontal band
+    A full page conflicts with anything of another group. Rectangles meet per tile of the page, in both directions,
     and only the fact of a conflict is kept, never the pairs.
     """
     crops = records.filter("not full_page").select("segment_id", *PAGE, "group_id", *_R)
-    banded = crops.withColumn("_band", F.explode(g.bands(F.col("y0"), F.col("y1"), step)))
+    banded = _tiled(crops, step)
     # Equal rectangles of one group behave alike, so each is compared once.
-    shapes = banded.select(*PAGE, "_band", F.col("group_id").alias("o_group"), *[F.col(c).alias("o_" + c) for c in _R]).distinct()
+    shapes = banded.select(*PAGE, "_band", "_strip", F.col("group_id").alias("o_group"), *[F.col(c).alias("o_" + c) for c in _R]).distinct()
     hit = banded.join(
-        shapes.withColumnsRenamed({c: "o_" + c for c in (*PAGE, "_band")}),
-        (F.col("source_id") == F.col("o_source_id")) & (F.col("page") == F.col("o_page")) & (F.col("_band") == F.col("o__band"))
+        shapes.withColumnsRenamed({c: "o_" + c for c in (*PAGE, "_band", "_strip")}),
+        (F.col("source_id") == F.col("o_source_id")) & (F.col("page") == F.col("o_page")) & (F.col("_band") == F.col("o__band")) & (F.col("_strip") == F.col("o__strip"))
         & (F.col("group_id") != F.col("o_group")) & g.material_overlap(Rect(), Rect("o_")),
         "left_semi",
     ).select("segment_id")
@@ -234,6 +272,19 @@ def export_gate(routed: DataFrame, reviews: DataFrame, include_pending: bool = F
     return rows.select("segment_id", F.explode(checks).alias("violation"))
 
 
+def group_gate(routed: DataFrame) -> DataFrame:
+    """What the groups say against an export: slips of a group that others define differently, and ``nothing_left`` (without a slip).
+
+    ``routed(segment_id, route, group_id, group_key, group_label)``; excluded slips do not count.
+    """
+    live = routed.filter("route <> 'excluded'")
+    told = F.struct("route", "group_key", "group_label")
+    changed = live.filter("group_id is not null").groupBy("group_id").agg(F.min(told).alias("_lo"), F.max(told).alias("_hi")).filter("not (_lo <=> _hi)").select("group_id")
+    slips = live.join(changed, "group_id", "left_semi").select("segment_id", F.lit("group_changed").alias("violation"))
+    none = live.agg(F.count(F.lit(1)).alias("_n")).filter("_n = 0").select(F.lit(None).cast(routed.schema["segment_id"].dataType).alias("segment_id"), F.lit("nothing_left").alias("violation"))
+    return slips.unionByName(none)
+
+
 def exclusion_audit(reviews: DataFrame) -> DataFrame:
     """Who was left out and when, without any geometry."""
     return reviews.filter("review_status = 'excluded'").select("segment_id", "record_revision", "reviewed_at", "review_status")
