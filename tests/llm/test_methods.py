@@ -325,3 +325,23 @@ def test_rewritten_history_is_found(spark):
     rows = spark.createDataFrame([(1, 0, "user", "a"), (1, 1, "think", "b"), (1, 2, "user", "c"), (2, 0, "user", None), (2, 0, "user", None)], "conv_id long, turn long, role string, text string")
     found = {r.conv_id: r for r in chat.formatted(rows, forgetful).collect()}
     assert found[1].rewritten_at == 2 and not found[1].spans and found[2].rewritten_at is None and len(found[2].spans) == 2
+
+
+def test_long_pieces_cost_their_length():
+    import time
+
+    rng, encoding = random.Random(71), None
+    path = public_tokenizers.path("byte_bpe_multi_50k.tiktoken")
+    ranks = transducer.ranks_of(path)
+    encoding = tiktoken.Encoding("own", pat_str=public_tokenizers.PATTERN, mergeable_ranks=ranks, special_tokens={})
+    small = transducer.Transducer(ranks, public_tokenizers.PATTERN, most_states=3_000)
+    text = "".join(rng.choices("abcdefgé", k=40_000))
+    assert small.encode(text).tolist() == encoding.encode_ordinary(text)
+    assert len(small.states) < 60_000
+    fst, seconds = transducer.transducer(path, public_tokenizers.PATTERN), []
+    for n in (1_000_000, 4_000_000):
+        begin = time.process_time()
+        ids = fst.encode("ab" * (n // 2))
+        seconds.append(time.process_time() - begin)
+        assert sum(len(fst.bytes_of[i]) for i in ids) == n
+    assert seconds[1] < 8 * seconds[0] + 2
