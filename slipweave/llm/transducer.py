@@ -28,6 +28,8 @@ from slipweave.llm.shared import pick
 
 
 _NONE: dict = {}
+#: Bytes from which on a piece is written to a list; below, growing a tuple is faster.
+LONG = 4_096
 
 
 class State:
@@ -130,23 +132,34 @@ class Transducer:
         arc = state.arcs[byte] = (following, written)
         return arc
 
-    def encode_piece(self, raw: bytes) -> list[int]:
-        """Tokens of one piece, in time that grows with its length; a long piece drops the states on its way when there are too many."""
+    def encode_piece(self, raw: bytes) -> tuple[int, ...]:
+        if len(raw) > LONG:
+            return self.encode_long(raw)
+        state, out = self.start, ()
+        for byte in raw:
+            arc = state.arcs.get(byte) or self.expand(state, byte)
+            state = arc[0]
+            if arc[1]:
+                out += arc[1]
+        out += state.rest
+        # A piece that is itself in the vocabulary is one token even where no merges lead to it.
+        return (self.ranks[raw],) if len(out) > 1 and raw in self.ranks else out
+
+    def encode_long(self, raw: bytes) -> tuple[int, ...]:
+        """The same in time that grows with the length; states are dropped on the way when there are too many."""
         out: list[int] = []
         state = self.start
-        for at in range(0, len(raw), 1 << 14):
-            for byte in raw[at : at + (1 << 14)]:
+        for at in range(0, len(raw), LONG):
+            for byte in raw[at : at + LONG]:
                 arc = state.arcs.get(byte) or self.expand(state, byte)
                 state = arc[0]
-                if arc[1]:
-                    out += arc[1]
+                out += arc[1]
             if len(self.states) > self.most_states:
                 self.states = {}
                 self.start = State(pack(b"", [(0, ())], -1), ())
                 state = State(state.packed, state.rest)
         out += state.rest
-        # A piece that is itself in the vocabulary is one token even where no merges lead to it.
-        return [self.ranks[raw]] if len(out) > 1 and raw in self.ranks else out
+        return (self.ranks[raw],) if len(out) > 1 and raw in self.ranks else tuple(out)
 
     def encode(self, text: str) -> array:
         """Ids of a whole text, each match of the pattern by itself."""
@@ -160,7 +173,7 @@ class Transducer:
             if found is None:
                 found = self.encode_piece(piece.encode())
                 if len(piece) <= 64 and len(words) <= self.most_pieces:
-                    words[piece] = found = tuple(found)
+                    words[piece] = found
             ids.extend(found)
         return ids
 
