@@ -345,3 +345,78 @@ def test_long_pieces_cost_their_length():
         seconds.append(time.process_time() - begin)
         assert sum(len(fst.bytes_of[i]) for i in ids) == n
     assert seconds[1] < 8 * seconds[0] + 2
+
+
+def _brute_match(a, b):
+    if a.key != b.key:
+        return 0
+    xs, ys = ([c for c in n.children if isinstance(c, wrappers.Node)] for n in (a, b))
+    table = [[0] * (len(ys) + 1) for _ in range(len(xs) + 1)]
+    for i, x in enumerate(xs):
+        for j, y in enumerate(ys):
+            table[i + 1][j + 1] = max(table[i][j + 1], table[i + 1][j], table[i][j] + _brute_match(x, y))
+    return 1 + table[-1][-1]
+
+
+def test_tree_matching_equals_brute_force():
+    rng = random.Random(8)
+
+    def tree(depth):
+        inner = "".join(tree(depth - 1) for _ in range(rng.randint(0, 4))) if depth else ""
+        tag = rng.choice(("div", "ul", "b"))
+        return f"<{tag}>{rng.choice(('', 'x', 'y'))}{inner}</{tag}>"
+
+    for _ in range(150):
+        a, b = wrappers.parse(tree(3) + tree(3)), wrappers.parse(tree(3) + tree(2))
+        pairs = wrappers.match(a, b)
+        assert len(pairs) == _brute_match(a, b) and all(x.key == y.key for x, y in pairs)
+        assert len({id(x) for x, _ in pairs}) == len({id(y) for _, y in pairs}) == len(pairs)
+
+
+def test_long_lists_match_in_bounded_memory():
+    import tracemalloc
+
+    table = wrappers.parse("<table>" + "".join(f"<tr><td>{i}<td><b>{i}</b></tr>" for i in range(20000)) + "</table>")
+    other = wrappers.parse("<table><tr><th>head</th></tr>" + "".join(f"<tr><td>{i}<td><b>{i + 7}</b></tr>" for i in range(15000)) + "</table>")
+    mixed = [wrappers.parse("".join(rng.choice(("<p>{}</p>", "<div>{}</div>", "<ul>{}</ul>")).format(i) for i in range(3000))) for rng in (random.Random(1), random.Random(2))]
+    shapes = wrappers.Shapes()
+    for t in (table, other, *mixed):
+        shapes.number(t)
+    tracemalloc.start()
+    assert len(wrappers.match(table, table, shapes)) == 1 + 1 + 20000 * 4
+    assert len(wrappers.match(table, other, shapes)) >= 2 + 15000 * 4
+    assert len(wrappers.match(*mixed, shapes)) > 1000
+    assert tracemalloc.get_traced_memory()[1] < 200 << 20
+    tracemalloc.stop()
+
+
+def _texts(spark, pages, group=8):
+    rows = [(i, url, page) for i, (url, page) in enumerate(pages)]
+    return [r.text for r in wrappers.extract(spark.createDataFrame(rows, "page_id long, url string, html string"), group).orderBy("page_id").collect()]
+
+
+def test_words_never_take_the_article(spark):
+    article = "<article><h1>Title {0}</h1><p>Text of {0}, and more of it</article>"
+    shapes = [
+        '<body class="no-sidebar">' + article, '<body><main class="content-with-sidebar">' + article + "</main>",
+        '<body class="widget-page logged-in">' + article, '<body><div class="post-header"><h1>Title {0}</h1></div><p>Text of {0}, and more of it',
+        '<body><div class="widget"><h1>Title {0}</h1><p>Text of {0}, and more of it</div><div class="ad">Buy {0}</div>',
+    ]
+    pages = [(f"https://h{k}.example/{i}", shape.format(i)) for k, shape in enumerate(shapes) for i in range(3)]
+    assert _texts(spark, pages) == [f"Title {i}\nText of {i}, and more of it" for _ in shapes for i in range(3)]
+    related = '<article><h1>Title {0}</h1><div class="related-work">Others of {0} wrote</div><div class="related"><a href="x">See {0}</a></div></article>'
+    assert _texts(spark, [(f"https://r.example/{i}", related.format(i)) for i in range(3)]) == [f"Title {i}\nOthers of {i} wrote" for i in range(3)]
+    comments = '<body><h1>T{0}</h1><div class="comments"><p>' + "a reader wrote {0} " * 40 + "</div>"
+    assert _texts(spark, [(f"https://c.example/{i}", comments.format(i)) for i in range(3)]) == ["T0", "T1", "T2"]
+
+
+def test_copies_and_small_hosts(spark):
+    page = '<body><div class="brand">Always the same</div><div class="content"><h1>Title {0}</h1><p>Body {0} of the page</div><div class="legal">All rights of the host</div>'
+    want = "Title {0}\nBody {0} of the page"
+    for n in (2, 3, 4):
+        assert _texts(spark, [(f"https://s.example/{i}", page.format(i)) for i in range(n)]) == [want.format(i) for i in range(n)]
+    copies = [("https://k.example/x", page.format(1))] * 10 + [("https://k.example/y", page.format(2))]
+    assert _texts(spark, copies, 4) == [want.format(1)] * 10 + [want.format(2)]
+    # Two versions of one page tell nothing about the template.
+    long = "<article>" + "".join(f"<p>Paragraph {i} stays</p>" for i in range(30)) + "<p>{0}</article>"
+    assert [t.count("stays") for t in _texts(spark, [("https://v.example/1", long.format("a")), ("https://v.example/2", long.format("b"))])] == [30, 30]
