@@ -108,15 +108,19 @@ def _nfc_each(s: pd.Series) -> pd.Series:
     return s.map(lambda texts: [None if v is None else unicodedata.normalize("NFC", v) for v in texts], na_action="ignore")
 
 
-def composed(df: DataFrame, columns: list[str]) -> DataFrame:
-    """``df`` with the columns width-folded and composed where any of a row's texts needs it; other rows stay in the JVM."""
+def composed(df: DataFrame, columns: list[str], widths: bool = True) -> DataFrame:
+    """``df`` with the columns composed, and width-folded, in rows where any text needs it.
+
+    ``df`` is read twice: rows that need nothing never leave the JVM.
+    """
     if not columns:
         return df
     unstable = F.lit(False)
     for c in columns:
         unstable = unstable | ~F.coalesce(F.col(c).rlike(_STABLE_NFC), F.lit(True))
-    told = df.withColumn("_nfc", _nfc_each(F.when(unstable, F.array(*[fold_width(F.col(c)) for c in columns]))))
-    return told.withColumns({c: F.when(F.col("_nfc").isNull(), F.col(c)).otherwise(F.get("_nfc", F.lit(i))) for i, c in enumerate(columns)}).drop("_nfc")
+    told = df.filter(unstable).withColumn("_nfc", _nfc_each(F.array(*[fold_width(F.col(c)) if widths else F.col(c) for c in columns])))
+    told = told.withColumns({c: F.get("_nfc", F.lit(i)) for i, c in enumerate(columns)}).drop("_nfc")
+    return df.filter(~unstable).unionByName(told)
 
 
 def nfkc(c: Column) -> Column:

@@ -2,11 +2,8 @@
 
 from __future__ import annotations
 
-import unicodedata
-
 from collections.abc import Sequence
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -105,33 +102,28 @@ def page_mappings(numbered: DataFrame, records: DataFrame) -> DataFrame:
 RESERVED = ("con", "prn", "aux", "nul", *[f"com{i}" for i in range(1, 10)], *[f"lpt{i}" for i in range(1, 10)])
 UNNAMED = "未命名分组"
 LONGEST_NAME = 240
-_ILLEGAL = frozenset('<>:"/\\|?*')
-
+FORBIDDEN = r'[<>:"/\\|?*\p{Cc}\p{Cf}]'
 
-def limit_units(text: str, budget: int) -> str:
-    """The longest beginning of at most ``budget`` UTF-16 units that splits no character."""
-    return text.encode("utf-16-le", "surrogatepass")[: 2 * max(0, budget)].decode("utf-16-le", "ignore")
 
+def cut_units(c: Column, units: int) -> Column:
+    """The longest beginning of at most ``units`` UTF-16 units that splits no character."""
+    # Two bytes a unit, the higher first; the first half of a pair must not come last.
+    whole = F.encode(c, "UTF-16BE")
+    halved = F.hex(F.substring(whole, 2 * units - 1, 1)).rlike("^D[89AB]")
+    begin = F.when(halved, F.substring(whole, 1, 2 * units - 2)).otherwise(F.substring(whole, 1, 2 * units))
+    return F.when(F.length(whole) > 2 * units, F.btrim(F.decode(begin, "UTF-16BE"), F.lit(" ."))).otherwise(c)
 
-def safe_stem(label: str, suffix_units: int = 4) -> str:
-    """File-system safe name without its extension: composed, illegal and invisible characters replaced, ends trimmed, device names marked."""
-    composed = unicodedata.normalize("NFC", label).strip()
-    clean = "".join("_" if c in _ILLEGAL or unicodedata.category(c) in ("Cc", "Cf") else c for c in composed).strip(" .") or UNNAMED
-    clean += "_" if clean.casefold() in RESERVED else ""
-    return limit_units(clean, LONGEST_NAME - suffix_units).rstrip(" .") or UNNAMED
 
+def file_stem(composed: Column, units: int = LONGEST_NAME - 4) -> Column:
+    """A name that any file system takes, without its extension, from composed text."""
+    bare = F.btrim(F.regexp_replace(tx.strip(composed), FORBIDDEN, "_"), F.lit(" ."))
+    marked = F.concat(bare, F.when(F.lower(bare).isin(*RESERVED), "_").otherwise(""))
+    return F.coalesce(F.nullif(cut_units(marked, units), F.lit("")), F.lit(UNNAMED))
 
-def _stems(suffix_units: int):
-    """Stem, its caseless form, and the beginning that leaves room for a number; a group has one label, so few rows come here."""
-    room = LONGEST_NAME - suffix_units - 8
 
-    @F.pandas_udf("stem string, _low string, _head string")
-    def run(labels: pd.Series) -> pd.DataFrame:
-        stems = [safe_stem(v or "", suffix_units) for v in labels]
-        low = [v.casefold() for v in stems]
-        return pd.DataFrame({"stem": stems, "_low": low, "_head": [v if len(v) + sum(c > "\uffff" for c in v) <= room else limit_units(v, room).rstrip(" .") for v in low]})
-
-    return run
+def caseless(c: Column) -> Column:
+    """Equal for names that differ in case alone; sharp s is spelled out, and a final sigma is a sigma."""
+    return F.replace(F.translate(F.lower(c), "ς", "σ"), F.lit("ß"), F.lit("ss"))
 
 
 def unique_filenames(labels: DataFrame, key: str, label: str, suffix_units: int = 4) -> DataFrame:
@@ -141,7 +133,10 @@ def unique_filenames(labels: DataFrame, key: str, label: str, suffix_units: int
     numbered together with all that share the beginning left for it. Rows are numbered in key order by counts and
     prefix sums, so a stem of very many rows is spread over many tasks; no key may repeat.
     """
-    rows = labels.select(key, _stems(suffix_units)(label).alias("_s")).select(key, "_s.*")
+    room = LONGEST_NAME - suffix_units - 8
+    rows = tx.composed(labels.select(key, F.coalesce(label, F.lit("")).alias("_label")), ["_label"], widths=False)
+    rows = rows.select(key, file_stem(F.col("_label"), LONGEST_NAME - suffix_units).alias("stem")).withColumn("_low", caseless(F.col("stem")))
+    rows = rows.withColumn("_head", cut_units(F.col("_low"), room))
     numeric = labels.schema[key].dataType.typeName() in ("byte", "short", "integer", "long")
     block = F.floor(F.col(key) / 65536) if numeric else F.pmod(F.xxhash64(key), F.lit(1024))
     firsts = rows.groupBy("_low").agg(F.min(key).alias("_first"))

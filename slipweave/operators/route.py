@@ -62,7 +62,7 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = T
     """Decide own side, reasons, route and group of each slip against one own account.
 
     ``compose`` runs NFC on the texts; leave it off for text composed on the way in. One look per slip tells
-    whether any of its texts needs it, so most slips never go to Python.
+    whether any of its texts needs it; the others stay in the JVM, and ``slips`` is read twice.
     """
     account = normal_account(account)
     if compose:
