@@ -28,20 +28,19 @@ UNKNOWN = "und"
 
 @cache
 def _letters() -> np.ndarray:
-    """Lower-case code of every letter of the first two planes, a space for all else; built once per worker."""
-    lower = (c.lower() if (c := chr(i)).isalpha() else " " for i in range(1 << 17))
+    """Lower-case code of every letter, a space for all else; built once per worker."""
+    lower = (c.lower() if (c := chr(i)).isalpha() else " " for i in range(0x110000))
     return np.array([ord(c[0]) for c in lower], np.uint32)
 
 
 def gram_bins(text: str | None) -> np.ndarray:
-    """Counts of the hashed n-grams of the whole text; no letter gives zeros. Letters beyond the second plane stand for themselves."""
+    """Counts of the hashed n-grams of the whole text; no letter gives zeros."""
     total = np.zeros(BINS, np.float32)
     codes = np.frombuffer(f" {text or ''} ".encode("utf-32-le", "surrogatepass"), np.uint32)
     # In pieces, with an overlap of two, so that a text of any length needs little memory.
     tail = np.empty(0, np.uint64)
     for at in range(0, len(codes), 1 << 18):
-        c = codes[at : at + (1 << 18)]
-        c = np.where(c < 1 << 17, _letters()[np.minimum(c, (1 << 17) - 1)], c).astype(np.uint64)
+        c = _letters()[codes[at : at + (1 << 18)]].astype(np.uint64)
         space = c == 32
         before = np.empty(len(c), bool)
         before[0], before[1:] = len(tail) > 0 and tail[-1] == 32, space[:-1]
@@ -58,8 +57,11 @@ def gram_bins(text: str | None) -> np.ndarray:
 
 
 def vectors(counts: np.ndarray, idf: np.ndarray) -> np.ndarray:
-    v = np.log1p(counts) * idf
-    return v / np.maximum(np.linalg.norm(v, axis=1, keepdims=True), 1e-12)
+    """Unit vectors, written over ``counts``."""
+    v = np.log1p(counts, out=counts)
+    v *= idf
+    v /= np.maximum(np.sqrt(np.einsum("ij,ij->i", v, v)), 1e-12)[:, None]
+    return v
 
 
 @dataclass
@@ -74,7 +76,7 @@ class Centroids:
     def predict(self, texts: list[str | None]) -> tuple[list[str], np.ndarray, np.ndarray]:
         """Language, cosine and rejection of every text; null or letterless texts are unknown, zero and rejected."""
         counts = np.stack([gram_bins(t) for t in texts]) if texts else np.zeros((0, BINS), np.float32)
-        known = counts.any(axis=1)
+        known, grams = counts.any(axis=1), counts.sum(axis=1)
         if not self.langs:
             return [UNKNOWN] * len(texts), np.zeros(len(texts)), np.ones(len(texts), bool)
         cosine = vectors(counts, self.idf) @ self.matrix.T
@@ -83,7 +85,7 @@ class Centroids:
         score = np.where(known, np.clip(cosine.max(axis=1), 0, 1), 0.0).astype(np.float64).round(6)
         langs = [self.langs[i] if k else UNKNOWN for i, k in zip(best, known)]
         # Few n-grams leave a vector far from any centroid, so the bound loosens with length.
-        few = np.minimum(1, np.sqrt(counts.sum(axis=1) / 1500))
+        few = np.minimum(1, np.sqrt(grams / 1500))
         return langs, score, ~known | (score < self.reach[best] * few)
 
 
@@ -91,7 +93,7 @@ def cluster(counts: np.ndarray, idf: np.ndarray, k: int, rounds: int = 12) -> tu
     """Spherical k-means from far-apart starts, and the cosine that one text in 1,000 of each cluster stays under, less a margin.
 
     A cluster of few texts takes the bound of all texts given here; where these are few too, nothing is known of the distance of
-    further texts, and the bound is zero.
+    further texts, and the bound is zero. ``counts`` are overwritten: a sample of some thousand texts is held once.
     """
     v = vectors(counts, idf)
     starts = [int((v @ v.mean(axis=0)).argmax())]
@@ -100,7 +102,9 @@ def cluster(counts: np.ndarray, idf: np.ndarray, k: int, rounds: int = 12) -> tu
     centres = v[starts]
     for _ in range(rounds):
         own = (v @ centres.T).argmax(axis=1)
-        centres = np.stack([v[own == c].mean(axis=0) if (own == c).any() else centres[c] for c in range(len(centres))])
+        members = (own == np.arange(len(centres))[:, None]).astype(np.float32)
+        size = members.sum(axis=1, keepdims=True)
+        centres = np.where(size > 0, members @ v / np.maximum(size, 1), centres)
         centres /= np.maximum(np.linalg.norm(centres, axis=1, keepdims=True), 1e-12)
     cosine = v @ centres.T
     own = cosine.argmax(axis=1)
@@ -135,9 +139,12 @@ def fit(labelled: DataFrame, k: int = 3, sample: int = 2000) -> Centroids:
     idf = np.array([np.log((1 + docs) / (1 + by_bin.get(i, 0))) + 0.05 for i in range(BINS)], np.float32)
 
     def clusters(key: tuple, frame: pd.DataFrame) -> pd.DataFrame:
-        counts = np.stack([gram_bins(t) for t in frame.text])
-        counts = counts[counts.any(axis=1)]
-        if not len(counts):
+        counts, n = np.empty((len(frame), BINS), np.float32), 0
+        for t in frame.text:
+            counts[n] = gram_bins(t)
+            n += bool(counts[n].any())
+        counts = counts[:n]
+        if not n:
             return pd.DataFrame({"lang": [], "centre": [], "reach": []})
         centres, reach = cluster(counts, idf, k)
         return pd.DataFrame({"lang": key[0], "centre": [c.tolist() for c in centres], "reach": reach})
