@@ -119,7 +119,7 @@ DECOY, OPEN, CHECKED, ENTANGLED = -1, 0, 1, 2
 
 
 def proposals(docs: DataFrame) -> DataFrame:
-    """``row, doc_id, base, candidates`` per row; candidates carry their role and features."""
+    """``row, doc_id, base, candidates, text_hash`` per row; candidates carry their role and features."""
     span = pa.struct([("kind", pa.int32()), ("start", pa.int64()), ("end", pa.int64())])
     more = pa.struct([*span, ("role", pa.int32()), ("x", pa.list_(pa.float64()))])
     names = ("kind", "start", "end", "role", "x")
@@ -142,27 +142,29 @@ def proposals(docs: DataFrame) -> DataFrame:
                 for k, a, z in base:
                     out.append(dict(zip(names, (k, a, z, DECOY, features((d := decoy(text, k, a, z))[0], k, d[1], d[2])))))
                 all_spans.append(out)
-            yield pa.record_batch([b.column(0), b.column(1), pa.array(bases, pa.list_(span)), pa.array(all_spans, pa.list_(more))], ["row", "doc_id", "base", "candidates"])
+            columns = [b.column(0), b.column(1), pa.array(bases, pa.list_(span)), pa.array(all_spans, pa.list_(more)), b.column(3)]
+            yield pa.record_batch(columns, ["row", "doc_id", "base", "candidates", "text_hash"])
 
-    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text")
+    rows = pick(docs, "doc_id", "text").select(F.monotonically_increasing_id().alias("row"), "doc_id", "text", F.xxhash64("text").alias("text_hash"))
     kind = rows.schema["doc_id"].dataType.simpleString()
-    return rows.mapInArrow(run, f"row long, doc_id {kind}, base {_SPAN}, candidates array<struct<kind:int,start:long,end:long,role:int,x:array<double>>>")
+    return rows.mapInArrow(run, f"row long, doc_id {kind}, base {_SPAN}, candidates array<struct<kind:int,start:long,end:long,role:int,x:array<double>>>, text_hash long")
 
 
 def fit(spans: DataFrame, sample: int = 20_000, precision: float = 0.99, least: int = 10) -> tuple[GBTClassificationModel, dict[int, float]] | None:
     """Trees and the score threshold of each kind, or None where there are fewer than ``least`` checked spans.
 
-    ``spans`` are exploded candidates. The trees are fitted on about ``sample`` checked spans and decoys of four fifths of the rows,
-    chosen by hash; thresholds come from all those of the last fifth, by counts in steps of a hundredth made monotone.
-    A kind without a step of enough precision gets no additions.
+    ``spans`` are exploded candidates. The trees are fitted on about ``sample`` checked spans and decoys of four fifths of the distinct
+    texts, chosen by hash of the text, however files are split; thresholds come from all those of the last fifth, by counts in steps of a
+    hundredth made monotone. Equal texts teach once. A kind without a step of enough precision gets no additions.
     """
-    fold = F.pmod(F.xxhash64("row"), F.lit(5))
+    fold = F.pmod(F.xxhash64("text_hash"), F.lit(5))
     labelled = spans.filter(F.col("role").isin(DECOY, CHECKED)).withColumn("checked", F.col("role") == CHECKED)
+    labelled = labelled.dropDuplicates(["text_hash", "kind", "start", "end", "role"])
     size = labelled.filter((fold < 4) & F.col("checked")).count()
     if size < least:
         return None
     share = min(1.0, sample / (2 * size))
-    chosen = labelled.filter((fold < 4) & (F.pmod(F.xxhash64("row", "start", "end"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
+    chosen = labelled.filter((fold < 4) & (F.pmod(F.xxhash64("text_hash", "start", "end"), F.lit(1 << 20)) < int(share * (1 << 20)) + 1))
     model = GBTClassifier(featuresCol="v", labelCol="label", maxIter=20, maxDepth=4, stepSize=0.2, seed=7).fit(
         chosen.select(array_to_vector("x").alias("v"), F.col("checked").cast("double").alias("label")))
     steps = scored(labelled.filter(fold == 4), model).groupBy("kind", F.floor(F.col("score") * 100).alias("step")).agg(F.count_if("checked").alias("good"), F.count("*").alias("n"))
@@ -197,7 +199,7 @@ def find(docs: DataFrame, sample: int = 20_000, precision: float = 0.99) -> Data
     table gives an empty one.
     """
     rows = written(proposals(docs), "proposals")
-    spans = rows.select("row", F.explode("candidates").alias("c")).select("row", "c.*")
+    spans = rows.select("row", "text_hash", F.explode("candidates").alias("c")).select("row", "text_hash", "c.*")
     fitted = fit(spans, sample, precision)
     none = F.array().cast(_SPAN)
     if fitted is None or not fitted[1]:

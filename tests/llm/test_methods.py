@@ -192,6 +192,24 @@ def test_grams_do_not_depend_on_pieces():
     assert not whole and not language.gram_bins("  \n 12 ").any() and not language.gram_bins(None).any()
 
 
+def test_letters_of_every_plane_and_no_others():
+    assert not language.gram_bins(chr(0xE0041) * 9 + chr(0xF0001) * 9 + chr(0x1F600)).any()
+    assert language.gram_bins(chr(0x20001) * 3).any() and language.gram_bins(chr(0x30001)).any()
+
+
+def test_clusters_equal_plain_k_means():
+    rng = np.random.default_rng(3)
+    counts = rng.poisson(np.repeat(rng.random((3, 64)) * 4, 40, axis=0)).astype(np.float32)
+    idf = rng.random(64).astype(np.float32) + 0.1
+    v = np.log1p(counts.astype(np.float64)) * idf
+    v /= np.linalg.norm(v, axis=1, keepdims=True)
+    centres, _ = language.cluster(counts.copy(), idf, 3)
+    own = (v @ centres.T).argmax(axis=1)
+    for c in range(3):
+        mean = v[own == c].mean(axis=0)
+        assert np.allclose(centres[c], mean / np.linalg.norm(mean), atol=1e-5)
+
+
 PII = (
     r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(\.[A-Za-z0-9-]+)+", r"[0-9]+(\.[0-9]+)(\.[0-9]+)(\.[0-9]+)",
     r"[0-9]([\x20-]?[0-9])+", r"\+[0-9][\x20().0-9-]+[0-9]")
@@ -230,6 +248,19 @@ def test_trees_add_a_card_the_pattern_misses(spark):
         assert [tuple(s) for s in found[i].base] == list(plain_pii(text)) and set(map(tuple, found[i].base)) <= set(map(tuple, found[i].spans))
 
 
+def test_thresholds_do_not_depend_on_files_or_copies(spark):
+    rng = random.Random(14)
+    texts = [f"write to user{i}@mail{i % 7}.example or host 10.{i % 256}.3.{rng.randint(0, 255)} {'now ' * (i % 5)}" for i in range(120)]
+    plain = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(1)
+    copies = spark.createDataFrame(list(enumerate(texts + texts[:40] * 3)), "doc_id long, text string").repartition(5)
+
+    def found(df):
+        rows = private.proposals(df)
+        return private.fit(rows.select("row", "text_hash", private.F.explode("candidates").alias("c")).select("row", "text_hash", "c.*"))[1]
+
+    assert found(plain) == found(copies) != {}
+
+
 @pytest.mark.parametrize("name", ["byte_bpe_multi_50k.tiktoken", "byte_bpe_50k.tiktoken"])
 def test_transducer_equals_the_merges(name):
     ranks = transducer.ranks_of(public_tokenizers.path(name))
@@ -247,6 +278,15 @@ def test_transducer_equals_the_merges(name):
         back.feed([ranks[b"\xff"]])
 
 
+def test_workers_forget_many_states():
+    fst = transducer.Transducer(transducer.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
+    ids = fst.encode("some words of a text").tolist()
+    fst.release(10**6)
+    assert fst.states and fst.words
+    fst.release(3)
+    assert not fst.states and not fst.words and not fst.fits and fst.encode("some words of a text").tolist() == ids
+
+
 def test_encoded_digests(spark):
     df = spark.createDataFrame([(1, "Hello wörld  \n"), (2, None), (None, "x")], "doc_id long, text string")
     found = {r.doc_id: r for r in transducer.encoded(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
