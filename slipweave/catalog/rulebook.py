@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from slipweave.catalog.registry import query
-from slipweave.operators import rules
+from slipweave.operators import preview, rules
 
 def _k():
     return F.col("o_orderkey")
@@ -156,6 +156,79 @@ def _(t):
     return rules.preview_layout_change(t.slots, after, reviews)
 
 
+def _rerun(n, slots):
+    """Occupancy, assignment and selection of one layout in SQL, as tables ``i{n}``, ``o{n}`` and ``r{n}``."""
+    meets = lambda b: f"{b}.page=s.page and s.x0<{b}.x1 and s.x1>{b}.x0 and s.y0<{b}.y1 and s.y1>{b}.y0"
+    inside = lambda b: f"{b}.x0>=s.x0 and {b}.y0>=s.y0 and {b}.x1<=s.x1 and {b}.y1<=s.y1"
+    return f"""
+    t{n} as (select page, position_index, count(*) as blocks, count(*) filter (where mark) as markers, count(*) filter (where mark and fits) as im, count(*) filter (where not mark and fits) as complete
+      from (select s.page, s.position_index, b.text='此处空白无效！' as mark, {inside('b')} as fits from {slots} s join blocks b on not b.is_watermark and {meets('b')}) group by 1, 2),
+    v{n} as (select s.page, s.position_index, count(*) as objects from {slots} s join boxes b on b.tag='R' and {meets('b')} group by 1, 2),
+    i{n} as (select s.source_id, s.page, s.position_index, s.instance_id, s.x0, s.y0, s.x1, s.y1, case when complete>0 then 'occupied' else 'uncertain' end as occupancy,
+      coalesce(im, 0)>0 and (blocks>markers or objects is not null) as suspected
+      from {slots} s left join t{n} using (page, position_index) left join v{n} using (page, position_index) where objects is not null or coalesce(blocks, 0)<>coalesce(markers, 0)),
+    g{n} as (select h.*, s.instance_id, s.occupancy, count(s.instance_id) over (partition by h.page, h.block_index) as touched, {inside('h')} as fits from box_hits h left join i{n} s on {meets('h')}),
+    o{n} as (select *, case when touched=0 then 'unassigned' when touched>1 then 'ambiguous' when fits then 'contained' else 'cross_boundary' end as outcome from g{n}),
+    r{n} as (select i.* exclude (suspected), needs_review from i{n} i join (select page, instance_id, bool_or(outcome<>'contained' or confidence<0.9) or any_value(occupancy)='uncertain' as needs_review
+      from o{n} where instance_id is not null group by 1, 2 having bool_or(role='include') and not bool_or(role='exclude' and outcome='contained' and confidence>=0.9)) using (page, instance_id))"""
+
+
+_NEW = """with after as (select source_id, page, position_index, x0, y0 + case when page%4=0 and position_index=2 then 6 else 0 end as y0, x1, y1 + case when page%4=0 and position_index=2 then 6 else 0 end as y1,
+      concat(instance_id, case when page%16=0 then '-n' else '' end) as instance_id from slots where not (page%8=0 and position_index=3)),"""
+_BOTH = _NEW + _rerun(0, "slots") + "," + _rerun(1, "after") + """,
+    m as (select source_id, page, position_index, x0, y0+case when page%6=0 then 10 else 1 end as y0, x1, y1-1 as y1, case when page%5=0 and position_index>2 or page%25=0 then 'excluded' else 'confirmed' end as review_status,
+      page%3=0 as manual_adjusted, page%21=0 as full_page, case when page%24=0 then 'loan' end as document_type, page%9=0 as accept from slots),
+    q as (select s.source_id, s.page, s.position_index, b.instance_id as b_id, a.instance_id as a_id, b.page is not null as was, a.page is not null as now, a.x0 as ax0, a.y0 as ay0, a.x1 as ax1, a.y1 as ay1,
+      b.x0 as bx0, b.y0 as by0, b.x1 as bx1, b.y1 as by1, n.page is null or n.y0<>s.y0 as moved, (a.page is null)<>(b.page is null) or (a.instance_id, a.y0, a.occupancy, a.needs_review) is distinct from (b.instance_id, b.y0, b.occupancy, b.needs_review) as differs,
+      m.x0 as mx0, m.y0 as my0, m.x1 as mx1, m.y1 as my1, review_status='excluded' as gone, full_page, document_type, b.page is not null and (n.page is null or n.y0<>s.y0) and review_status<>'excluded' and (manual_adjusted or full_page) and not accept as manual
+      from slots s left join after n using (page, position_index) left join r0 b using (page, position_index) left join r1 a using (page, position_index) join m using (page, position_index) where s.page%4=0)"""
+
+
+def _preview(t):
+    page, at = F.col("page"), F.col("position_index")
+    low = F.when((page % 4 == 0) & (at == 2), 6).otherwise(0)
+    after = t.slots.filter(~((page % 8 == 0) & (at == 3))).withColumns(
+        {"y0": F.col("y0") + low, "y1": F.col("y1") + low, "instance_id": F.concat("instance_id", F.when(page % 16 == 0, "-n").otherwise(""))})
+    reviews = t.slots.withColumns({
+        "y0": F.col("y0") + F.when(page % 6 == 0, 10).otherwise(1), "y1": F.col("y1") - 1, "review_status": F.when((page % 5 == 0) & (at > 2) | (page % 25 == 0), "excluded").otherwise("confirmed"),
+        "manual_adjusted": page % 3 == 0, "full_page": page % 21 == 0, "document_type": F.when(page % 24 == 0, "loan"), "accept": page % 9 == 0})
+    objects, includes = t.boxes.filter("tag = 'R'").withColumn("kind", F.lit("stroke-path")), ["include-0", "include-1"]
+    previous = preview.results(t.slots, t.blocks, objects, t.box_hits, includes, "any")
+    return preview.preview(t.slots, after, previous, t.blocks, objects, t.box_hits, reviews, includes, "any")
+
+
+@query("preview_rerun_result", "slots blocks boxes box_hits", _NEW + _rerun(1, "after") + " select * from r1")
+def _(t):
+    return _preview(t).result
+
+
+@query(
+    "preview_rerun_slots", "slots blocks boxes box_hits",
+    _BOTH + """ select source_id, page, position_index, case when manual then 'retained_manual' when not was then 'added' when not now then 'removed' else 'updated' end as change, b_id as previous_id, a_id as instance_id,
+      case when manual then mx0 else ax0 end as x0, case when manual then my0 else ay0 end as y0, case when manual then mx1 else ax1 end as x1, case when manual then my1 else ay1 end as y1
+      from q where (was or now) and (moved or was<>now)""",
+)
+def _(t):
+    return _preview(t).slots
+
+
+@query(
+    "preview_rerun_issues", "slots blocks boxes box_hits",
+    _BOTH + """, hits as (select distinct source_id, page, block_index, unnest([case outcome when 'unassigned' then 'unassigned_block' when 'ambiguous' then 'ambiguous_block' when 'cross_boundary' then 'cross_boundary_block' end,
+        case when role='exclude' and confidence<0.9 and touched>0 then 'low_confidence_exclude' end]) as code from o1 where page%4=0)
+    select source_id, page, cast(null as bigint) as position_index, block_index, code, true as blocking from hits where code is not null
+    union all select source_id, page, position_index, null, 'manual_exception_conflict', true from q where manual and (not now or full_page or not (mx0>=ax0 and my0>=ay0 and mx1<=ax1 and my1<=ay1))
+    union all select source_id, page, position_index, null, 'manual_classification_membership', true from q where document_type is not null and not now
+    union all select source_id, page, position_index, null, 'uncertain_content', false from i1 where page%4=0 and occupancy='uncertain'
+    union all select source_id, page, position_index, null, 'suspected_invalid', false from i1 where page%4=0 and suspected
+    union all select source_id, page, position_index, null, 'excluded_decision_reset', false from q where gone and now and differs
+    union all select distinct x.source_id, x.page, x.position_index, null, 'excluded_decision_reset', false from q x join q e on e.page=x.page and e.gone and e.was
+      and x.ax0<e.bx1 and x.ax1>e.bx0 and x.ay0<e.by1 and x.ay1>e.by0 where x.now and not x.gone and x.differs""",
+)
+def _(t):
+    return _preview(t).issues
+
+
 def _rule_tables(t):
     """A rule for every customer; slips of the orders print their customer's layout, moved a little or too far."""
     def spec(key):

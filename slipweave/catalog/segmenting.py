@@ -466,6 +466,36 @@ def _(t):
     return segment.reference_layouts(pages)
 
 
+def _reference_tables(t):
+    k = F.col("o_orderkey")
+    source = F.floor(F.col("o_custkey") / 4).cast("long").alias("source_id")
+    names = lambda prefix, *ns: F.array_sort(F.array_distinct(F.array(*[F.concat(F.lit(prefix), n.cast("string")) for n in ns])))
+    pages = t.orders.select(
+        source, k.alias("page"), (k % 3).alias("slips"), (k % 4).alias("titles"), (k % 10 == 0).alias("vacant"),
+        F.when(k % 11 > 0, F.concat(F.lit("b"), (k % 2).cast("string"))).alias("bank"),
+        F.when(k % 7 > 0, names("k", k % 4, k % 6)).otherwise(F.array().cast("array<string>")).alias("keys"),
+    )
+    return pages, t.orders.filter(k % 13 > 0).select(source, k.alias("page"), F.explode(names("h", k % 5, k % 3 + 2)).alias("heading"))
+
+
+@query(
+    "reference_pages",
+    "",
+    """with p as (select o_custkey//4 as source_id, o_orderkey as page, o_orderkey%3 as slips, o_orderkey%4 as titles, o_orderkey%10=0 as vacant, case when o_orderkey%11>0 then concat('b', o_orderkey%2) end as bank,
+      case when o_orderkey%7>0 then [concat('k', o_orderkey%4), concat('k', o_orderkey%6)] else [] end as keys from orders),
+    h as (select source_id, page, unnest([concat('h', page%5), concat('h', page%3+2)]) as heading from p where page%13>0)
+    select a.source_id, a.page, 'template' as basis, b.page as reference_page from p a join p b on a.source_id=b.source_id and a.bank=b.bank and a.page<>b.page
+      and len(a.keys)>0 and b.slips>1 and (b.titles>1 or b.vacant) and list_has_all(b.keys, a.keys)
+    union all
+    select distinct a.source_id, a.page, 'heading', b.page from p a join h x on x.page=a.page join h y on y.source_id=a.source_id and y.heading=x.heading join p b on b.page=y.page and b.titles>1
+      where a.bank is null or len(a.keys)=0""",
+)
+def _(t):
+    tables = _reference_tables(t)
+    found = segment.page_forms(*tables).join(segment.reference_pages(*tables), ["source_id", "basis", "bank", "keys"])
+    return found.filter("basis = 'heading' or page <> reference_page").select("source_id", "page", "basis", "reference_page")
+
+
 @query(
     "bank_names",
     "",

@@ -531,6 +531,27 @@ def source_policy(evidence: DataFrame, keys: DataFrame) -> DataFrame:
     )
 
 
+def covering_forms(forms: DataFrame, refs: DataFrame) -> DataFrame:
+    """``source_id, bank, keys, ref_keys``: each form with the reference forms of its source and bank that hold all its keys.
+
+    Reference forms are listed under each of their keys; a form looks only under that of its keys with the
+    shortest list, so a key that nearly all forms share is looked up by forms that have no other.
+    """
+    at = ["source_id", "bank"]
+    listed = refs.select(*at, F.col("keys").alias("ref_keys"), F.explode("keys").alias("_k"))
+    lengths = listed.groupBy(*at, "_k").agg(F.count(F.lit(1)).alias("_n"))
+    shortest = F.min(F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_k").alias("key")))
+    looked = (
+        forms.select(*at, "keys", F.explode("keys").alias("_k"))
+        .join(lengths, [*at, "_k"], "left")
+        .groupBy(*at, "keys")
+        .agg(shortest.alias("_r"))
+        .filter("_r.n > 0")
+        .select(*at, "keys", F.col("_r.key").alias("_k"))
+    )
+    return looked.join(listed, [*at, "_k"]).filter(F.size(F.array_except("keys", "ref_keys")) == 0).select(*at, "keys", "ref_keys")
+
+
 def reference_layouts(pages: DataFrame) -> DataFrame:
     """Multi-slip layouts of a source that cover a page's template keys at the same bank.
 
@@ -543,15 +564,68 @@ def reference_layouts(pages: DataFrame) -> DataFrame:
     refs = forms.filter("slips > 1").groupBy(*shape).agg(
         F.min("page").alias("first_page"), F.count(F.lit(1)).alias("ref_pages")
     )
-    by_key = refs.withColumn("_k", F.explode("keys")).select("source_id", "bank", "_k", F.col("keys").alias("ref_keys"), "first_page", "ref_pages")
-    wanted = forms.groupBy(*shape).agg(F.lit(1).alias("_one"))
     found = (
-        wanted.withColumn("_k", F.element_at("keys", 1))
-        .join(by_key, ["source_id", "bank", "_k"])
-        .filter(F.size(F.array_except("keys", "ref_keys")) == 0)
+        covering_forms(forms.select(*shape).distinct(), refs)
+        .join(refs.withColumnRenamed("keys", "ref_keys"), ["source_id", "bank", "ref_keys"])
         .groupBy(*shape)
         .agg(F.min("first_page").alias("first_page"), F.sum("ref_pages").alias("ref_pages"))
     )
     return forms.join(found, shape).withColumn(
         "other_pages", F.col("ref_pages") - F.when(F.col("slips") > 1, 1).otherwise(0)
     ).filter("other_pages > 0").select(*PAGE, "first_page", "other_pages")
+
+
+def page_forms(pages: DataFrame, headings: DataFrame) -> DataFrame:
+    """``source_id, page, basis, bank, keys`` of every page that can look for reference pages.
+
+    ``pages(source_id, page, slips, titles, vacant, bank, keys)``, ``bank`` NULL unless the page has exactly one;
+    ``headings(source_id, page, heading)``. A page described in full is known by its template keys (basis
+    ``template``), any other with a heading by its set of headings (basis ``heading``, no bank).
+    """
+    full = (F.size("keys") > 0) & F.col("bank").isNotNull()
+    described = pages.filter(full).select(*PAGE, F.lit("template").alias("basis"), "bank", F.array_sort(F.array_distinct("keys")).alias("keys"))
+    rest = pages.filter(~F.coalesce(full, F.lit(False))).select(*PAGE)
+    titled = (
+        headings.filter(F.col("heading").isNotNull())
+        .join(rest, list(PAGE), "left_semi")
+        .groupBy(*PAGE)
+        .agg(F.array_sort(F.collect_set("heading")).alias("keys"))
+    )
+    return described.unionByName(titled.select(*PAGE, F.lit("heading").alias("basis"), F.lit("").alias("bank"), "keys"))
+
+
+def reference_pages(pages: DataFrame, headings: DataFrame) -> DataFrame:
+    """``source_id, basis, bank, keys, reference_page``: every page of several slips that a form may take its slots from.
+
+    The first four name a form of :func:`page_forms`, whose inputs these are; a page finds its references by joining
+    on them, those of basis ``template`` other than itself. Template references have several slips, the same
+    bank and all keys of the form. Where the form is not known in full, a page of several titles that shares one of its headings will do.
+    Pages of equal form are looked up once, so the rows grow with forms times reference pages, not with pages times pages.
+    """
+    forms = page_forms(pages, headings)
+    shape = ["source_id", "bank", "keys"]
+    known = forms.filter("basis = 'template'")
+    several = pages.filter((F.col("titles") > 1) | F.col("vacant"))
+    sources = known.join(several.filter("slips > 1").select(*PAGE), list(PAGE), "left_semi").select(*shape, F.col("page").alias("reference_page"))
+    by_keys = (
+        covering_forms(known.select(*shape).distinct(), sources.select(*shape).distinct())
+        .join(sources.withColumnRenamed("keys", "ref_keys"), ["source_id", "bank", "ref_keys"])
+        .select("source_id", F.lit("template").alias("basis"), "bank", "keys", "reference_page")
+    )
+    # Equal heading sets of references are looked up once as well.
+    sets = (
+        headings.filter(F.col("heading").isNotNull())
+        .join(pages.filter("titles > 1").select(*PAGE), list(PAGE), "left_semi")
+        .groupBy(*PAGE)
+        .agg(F.array_sort(F.collect_set("heading")).alias("ref_keys"))
+    )
+    offered = sets.select("source_id", "ref_keys").distinct().withColumn("_k", F.explode("ref_keys"))
+    wanted = forms.filter("basis = 'heading'").select("source_id", "keys").distinct().withColumn("_k", F.explode("keys"))
+    by_heading = (
+        wanted.join(offered, ["source_id", "_k"])
+        .select("source_id", "keys", "ref_keys")
+        .distinct()
+        .join(sets, ["source_id", "ref_keys"])
+        .select("source_id", F.lit("heading").alias("basis"), F.lit("").alias("bank"), "keys", F.col("page").alias("reference_page"))
+    )
+    return by_keys.unionByName(by_heading)
