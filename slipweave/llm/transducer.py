@@ -30,8 +30,6 @@ from slipweave.llm.shared import pick
 _NONE: dict = {}
 #: Bytes from which on a piece is written to a list; below, growing a tuple is faster.
 LONG = 4_096
-#: States a worker may keep from one task to the next.
-KEPT = 100_000
 
 
 class State:
@@ -74,12 +72,6 @@ class Transducer:
         self.fits: dict[tuple[int, int], bool] = {}
         self.reset()
 
-    def release(self, most: int) -> None:
-        """Forgets what was learned if that is more than ``most`` states, so that an idle worker holds little."""
-        if len(self.states) > most:
-            self.fits.clear()
-            self.reset()
-
     def reset(self) -> None:
         self.states: dict[bytes, State] = {}
         self.words: dict[str, tuple[int, ...]] = {}
@@ -246,7 +238,7 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 @cache
 def transducer(path: str, pattern: str) -> Transducer:
-    """One per worker process; its states serve the tasks the worker runs until there are many at the end of one."""
+    """One per worker process; its states serve all tasks the worker runs."""
     return Transducer(ranks_of(path), pattern)
 
 
@@ -260,28 +252,25 @@ def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataF
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path, pattern)
         decoder = Decoder(fst.bytes_of)
-        try:
-            for b in batches:
-                for at in range(0, b.num_rows, 512):
-                    part = b.slice(at, 512)
-                    counts, lists, shas, backs = [], [], [], []
-                    for t in part.column(1):
-                        found = fst.encode(t.as_py() or "")
-                        digest = hashlib.sha256()
-                        for k in range(0, len(found), 1 << 16):
-                            digest.update(decoder.feed(found[k : k + (1 << 16)]))
-                        decoder.close()
-                        counts.append(len(found))
-                        lists.append(found)
-                        shas.append(hashlib.sha256(found.tobytes()).hexdigest())
-                        backs.append(digest.hexdigest())
-                    columns = {"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64())}
-                    if ids:
-                        columns["ids"] = pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))
-                    columns |= {"ids_sha256": pa.array(shas), "decoded_sha256": pa.array(backs)}
-                    yield pa.record_batch(list(columns.values()), list(columns))
-        finally:
-            fst.release(KEPT)
+        for b in batches:
+            for at in range(0, b.num_rows, 512):
+                part = b.slice(at, 512)
+                counts, lists, shas, backs = [], [], [], []
+                for t in part.column(1):
+                    found = fst.encode(t.as_py() or "")
+                    digest = hashlib.sha256()
+                    for k in range(0, len(found), 1 << 16):
+                        digest.update(decoder.feed(found[k : k + (1 << 16)]))
+                    decoder.close()
+                    counts.append(len(found))
+                    lists.append(found)
+                    shas.append(hashlib.sha256(found.tobytes()).hexdigest())
+                    backs.append(digest.hexdigest())
+                columns = {"doc_id": part.column(0), "n_tokens": pa.array(counts, pa.int64())}
+                if ids:
+                    columns["ids"] = pa.array([x.tolist() for x in lists], pa.list_(pa.int32()))
+                columns |= {"ids_sha256": pa.array(shas), "decoded_sha256": pa.array(backs)}
+                yield pa.record_batch(list(columns.values()), list(columns))
 
     docs = pick(docs, "doc_id", "text")
     kept = f"doc_id {docs.schema['doc_id'].dataType.simpleString()}"

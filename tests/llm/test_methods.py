@@ -278,15 +278,6 @@ def test_transducer_equals_the_merges(name):
         back.feed([ranks[b"\xff"]])
 
 
-def test_workers_forget_many_states():
-    fst = transducer.Transducer(transducer.ranks_of(public_tokenizers.path("byte_bpe_50k.tiktoken")), public_tokenizers.PATTERN)
-    ids = fst.encode("some words of a text").tolist()
-    fst.release(10**6)
-    assert fst.states and fst.words
-    fst.release(3)
-    assert not fst.states and not fst.words and not fst.fits and fst.encode("some words of a text").tolist() == ids
-
-
 def test_encoded_digests(spark):
     df = spark.createDataFrame([(1, "Hello wörld  \n"), (2, None), (None, "x")], "doc_id long, text string")
     found = {r.doc_id: r for r in transducer.encoded(df, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN).collect()}
