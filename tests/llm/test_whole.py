@@ -40,32 +40,6 @@ def test_near_copies_from_similarity_four_fifths_on_are_dropped(spark):
     assert found == kept | {1000, 2000}
 
 
-def test_a_shared_passage_makes_few_pairs_and_loses_no_link(spark):
-    """Texts that share half their words, some with a near copy: pairs stay linear and every link is found."""
-    rng = random.Random(23)
-    passage = [f"p{i}" for i in range(60)]
-    texts = []
-    for g in range(600):
-        own = passage + [f"o{rng.getrandbits(40)}" for _ in range(50)]
-        texts.append(own)
-        if g % 5 == 0:
-            near = changed(rng, own, 1)
-            assert jaccard(own, near) >= 0.8
-            texts.append(near)
-    df = spark.createDataFrame([(i, " ".join(t)) for i, t in enumerate(texts)], "doc_id long, text string")
-    prints = copies.classes(df)
-    members = copies.written(copies.sets(df.join(prints, "doc_id").select("c", "text")), "sets")
-    placed = prints.select("c", F.col("c").alias("root"))
-    pairs = {(r.a, r.b) for r in copies.meeting(placed, members, 0.8).collect()}
-    of = {r.doc_id: r.c for r in prints.collect()}
-    want = {tuple(sorted((of[i], of[i + 1]))) for i in range(len(texts) - 1) if jaccard(texts[i], texts[i + 1]) >= 0.8}
-    assert want <= pairs and len(want) == 120 and len(pairs) < 10 * len(texts)
-    for crowd in (0, 8):
-        shared = prints.select("c", F.explode("keys").alias("key")).select("key", "c")
-        roots = {r.node: r.root for r in copies.linked(shared, members, 0.8, rounds=0, crowd=crowd).collect()}
-        assert {tuple(sorted(p)) for p in roots.items() if p[0] != p[1]} == want
-
-
 def test_copies_do_not_shrink_the_language_sample(spark):
     rng = random.Random(22)
     texts = [" ".join("".join(rng.choices(["ka", "lo", "mi", "tu", "re", "so"], k=rng.randint(1, 4))) for _ in range(40)) for _ in range(200)]
