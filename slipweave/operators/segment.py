@@ -470,7 +470,8 @@ def page_policy_evidence(blocks: DataFrame) -> DataFrame:
     several = F.size(F.filter(classify.split_lines(F.col("text")), classify.is_title)) > 1
     titled = ~F.col("is_watermark") & classify.is_title(F.col("text"))
     raw = blocks.withColumn("_t", titled).withColumn("_v", classify.vacant_marker(F.col("text")))
-    w = Window.partitionBy(*PAGE).orderBy("y0", "x0")
+    # Titles at one place are read in block order, so that the one before a title does not depend on the run.
+    w = Window.partitionBy(*PAGE).orderBy("y0", "x0", "block_index")
     t = raw.filter("_t").withColumn("_py", F.lag("y0").over(w)).withColumn("_px0", F.lag("x0").over(w)).withColumn("_px1", F.lag("x1").over(w))
     beside = F.coalesce(
         (F.abs(F.col("y0") - F.col("_py")) < 32) & (F.least("x1", "_px1") <= F.greatest("x0", "_px0")), F.lit(False)
