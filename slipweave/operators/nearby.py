@@ -17,12 +17,13 @@ def band_pairs(
     """Pairs of one page whose right coordinate ``{prefix}{at}`` may lie in the left's [lo, hi].
 
     The left side is repeated for each horizontal band its interval touches and both sides meet
-    on (keys, band): a hash join with no pair outside the neighbourhood, so a crowded page never
-    forms all its pairs and its work spreads over many keys. The caller filters exactly.
+    on (keys, band): a sort-merge join with no pair outside the neighbourhood, so a crowded page never
+    forms all its pairs and its work spreads over many keys. The join is hinted, as the planner takes the
+    repeated side for as small as it was before and would send it to the driver. The caller filters exactly.
     """
     lhs = left.withColumn("_band", F.explode(g.bands(lo, hi, step)))
     rhs = right.withColumn("_band", g.band(F.col(prefix + at), step))
-    return lhs.join(rhs, [*keys, "_band"]).drop("_band")
+    return lhs.join(rhs.hint("merge"), [*keys, "_band"]).drop("_band")
 
 
 def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], of_left: tuple[Column, Column], of_right: tuple[Column, Column], step: float = 128.0) -> DataFrame:
@@ -36,7 +37,7 @@ def meet(left: DataFrame, right: DataFrame, keys: Sequence[str], of_left: tuple[
 
     lhs = left.withColumns({"_first": low(*of_left), "_band": F.explode(g.bands(F.least(*of_left), F.greatest(*of_left), step))})
     rhs = right.withColumns({"_begin": low(*of_right), "_band": F.explode(g.bands(F.least(*of_right), F.greatest(*of_right), step))})
-    pairs = lhs.join(rhs, [*keys, "_band"])
+    pairs = lhs.join(rhs.hint("merge"), [*keys, "_band"])
     return pairs.filter(F.col("_band") == F.greatest("_first", "_begin")).drop("_band", "_first", "_begin")
 
 

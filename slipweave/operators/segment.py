@@ -13,6 +13,7 @@ from slipweave.functions.geometry import Rect
 from slipweave.operators import classify
 from slipweave.operators.nearby import band_pairs, greedy_starts, meet
 from slipweave.schema import PAGE
+from slipweave.session import stage
 
 MARGIN = 8.0
 MIN_HEIGHT = 12.0
@@ -233,7 +234,8 @@ def closed_tables(horizontal: DataFrame, vertical: DataFrame, tolerance: float =
     vertical rules, both side ends starting there, an inner rule across; only maximal ones stay.
 
     Inputs are merged rules with ``page_width, page_height``. Rules pair up through a hash of
-    their left and right edges, not through all pairs of a page.
+    their left and right edges, not through all pairs of a page. The joins are sort-merge joins by hint, as the
+    planner takes tables repeated per band for as small as they were before.
     """
     h = horizontal.select(
         *PAGE, "page_width", "page_height", F.col("position").alias("y"), F.col("start").alias("a"), F.col("end").alias("b")
@@ -246,7 +248,7 @@ def closed_tables(horizontal: DataFrame, vertical: DataFrame, tolerance: float =
     low = h.select(*PAGE, F.col("y").alias("y1"), F.col("a").alias("_a"), F.col("b").alias("_b"))
     low = low.withColumn("_band", g.band(F.col("_a"), step))
     boxes = (
-        top.join(low, [*PAGE, "_band"])
+        top.hint("merge").join(low, [*PAGE, "_band"])
         .filter(
             (F.col("y1") - F.col("y0") >= 48)
             & (F.abs(F.col("_a") - F.col("x0")) <= tolerance)
@@ -270,7 +272,7 @@ def closed_tables(horizontal: DataFrame, vertical: DataFrame, tolerance: float =
                 )
             ),
         )
-        .join(v.withColumn("_band", g.band(F.col("x"), step)), [*PAGE, "_band"])
+        .join(v.withColumn("_band", g.band(F.col("x"), step)).hint("merge"), [*PAGE, "_band"])
         .filter(at_left | at_right)
         .groupBy(*keys)
         .agg(
@@ -282,7 +284,7 @@ def closed_tables(horizontal: DataFrame, vertical: DataFrame, tolerance: float =
         .select(*keys)
     )
     rules = h.select(*PAGE, "y", "a", "b")
-    inner = (
+    inner = stage(
         band_pairs(sides, rules.withColumnsRenamed({"y": "i_y"}), PAGE, F.col("y0"), F.col("y1"), "y", prefix="i_", step=64.0)
         .filter(
             (F.col("i_y") > F.col("y0") + tolerance) & (F.col("i_y") < F.col("y1") - tolerance)
@@ -301,7 +303,7 @@ def closed_tables(horizontal: DataFrame, vertical: DataFrame, tolerance: float =
     spread = outer.withColumn("_band", F.explode(g.bands(F.col("o_y0") - tolerance, F.col("o_y1") + tolerance, 64.0)))
     hit = (
         inner.withColumn("_band", g.band(F.col("y0"), 64.0))
-        .join(spread, [*PAGE, "_band"])
+        .join(spread.hint("merge"), [*PAGE, "_band"])
         .filter(nested)
         .select(*keys)
         .distinct()
