@@ -152,36 +152,35 @@ def random_keys(tested: DataFrame, q: float = 0.01) -> DataFrame:
     return judged.filter(F.col("cut").isNull() | (F.col("step") < F.col("cut"))).select("key")
 
 
-def pair_scores(words: list[str]) -> tuple[list[float], float, float]:
-    """Log probability of a character after another, by place in ``SIGNS``, in ``words``; its mean per pair, and the spread of a word's sum per root of its pairs."""
-    places = np.full(128, len(SIGNS) - 1)
-    for i, c in enumerate(SIGNS):
-        places[ord(c)] = places[ord(c.upper())] = i
-    places[[ord(c) for c in "0123456789"]] = SIGNS.index("0")
-    codes = [places[np.frombuffer(w.encode("ascii"), np.uint8)] for w in words]
-
-    def fitted(codes: list[np.ndarray]) -> np.ndarray:
-        counts = np.zeros((len(SIGNS), len(SIGNS)))
-        for c in codes:
-            np.add.at(counts, (c[:-1], c[1:]), 1)
-        return np.log((counts + 0.5) / (counts + 0.5).sum(axis=1, keepdims=True))
+def language_null(text: DataFrame) -> tuple[list[float], float, float]:
+    """Log probability of a character after another, by place in ``SIGNS``; its mean per pair, and the spread of a word's sum per root of its pairs.
 
+    Taken from every distinct word of ``text`` too short to be a candidate itself, and from the known words. What comes to the driver are counts of
+    pairs of ``SIGNS`` and sums, whatever the number of words.
+    """
+    size = len(SIGNS)
+    words = text.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS), 0))).alias("word")).filter("length(word) < 20")
+    known = text.sparkSession.range(1).select(F.explode(F.array(*[F.lit(w) for w in KNOWN])).alias("word"))
+    body = F.translate(F.lower("word"), "123456789+/_", "0" * 9 + "-" * 3)
+    at = F.filter(F.transform(F.split(body, ""), lambda c: F.instr(F.lit(SIGNS), c) - 1), lambda x: x >= 0)
+    pairs = F.zip_with(F.slice("at", 1, F.size("at") - 1), F.slice("at", 2, F.size("at") - 1), lambda x, y: x * size + y)
     # Each half is scored by the other one, as words that took part in the fit look more usual than new ones.
-    halves = [codes[::2], codes[1::2]]
-    sums = np.array([table[c[:-1], c[1:]].sum() for half, table in zip(halves, map(fitted, halves[::-1])) for c in half])
-    n = np.array([len(c) - 1 for half in halves for c in half])
-    mean = sums.sum() / n.sum()
-    return fitted(codes).ravel().tolist(), float(mean), float(np.sqrt(np.mean((sums - n * mean) ** 2 / n)))
-
-
-def language_null(text: DataFrame, texts: int = 20_000, words: int = 20_000) -> tuple[list[float], float, float]:
-    """``pair_scores`` of about ``words`` distinct words, too short to be candidates themselves, of about ``texts`` distinct texts of ``text``, both chosen by hash, and of the known words."""
-    hashed = F.xxhash64("text", F.lit(5))
-    n = text.agg(F.approx_count_distinct(hashed)).first()[0]
-    chosen = text.filter(F.pmod(hashed, F.lit(1 << 20)) < min(1.0, texts / max(1, n)) * (1 << 20))
-    found = chosen.select(F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit(WORDS), 0))).alias("word")).filter("length(word) < 20")
-    rows = found.distinct().orderBy(F.xxhash64("word"), "word").limit(words).collect()
-    return pair_scores([*KNOWN, *(r["word"] for r in rows)])
+    half = F.pmod(F.xxhash64("word", F.lit(7)), F.lit(2)).cast("int")
+    rows = written(words.union(known).distinct().select(half.alias("half"), at.alias("at")).select("half", pairs.alias("pairs")), "words")
+    counts = np.zeros((2, size * size))
+    for r in rows.select("half", F.explode("pairs").alias("pair")).groupBy("half", "pair").count().collect():
+        counts[r["half"], r["pair"]] = r["count"]
+
+    def fitted(counts: np.ndarray) -> list[float]:
+        table = counts.reshape(size, size) + 0.5
+        return np.log(table / table.sum(axis=1, keepdims=True)).ravel().tolist()
+
+    other = F.array(*[F.array(*[F.lit(x) for x in fitted(c)]) for c in counts[::-1]])
+    scored = rows.select(F.size("pairs").alias("n"), F.aggregate(F.transform("pairs", lambda x: F.get(F.get(other, F.col("half")), x)), F.lit(0.0), lambda s, x: s + x).alias("sum"))
+    total, places, number, squares = scored.agg(F.sum("sum"), F.sum("n"), F.count("*"), F.sum(F.col("sum") * F.col("sum") / F.col("n"))).first()
+    mean = total / places
+    # The mean of (sum - n * mean)^2 / n, written out.
+    return fitted(counts.sum(axis=0)), mean, math.sqrt(max(1e-12, (squares - 2 * mean * total + mean * mean * places) / number))
 
 
 def unlike_language(keys: DataFrame, null: tuple[list[float], float, float], q: float = 0.01) -> DataFrame:
