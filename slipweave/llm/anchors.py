@@ -38,7 +38,11 @@ def simhash(text: str | None, width: int = 3) -> int:
         shingles = [b" ".join(words)]
     else:
         shingles = list(map(b" ".join, zip(*(words[i:] for i in range(width)))))
-    hashes = np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles))
+    return majority(np.fromiter((xxhash.xxh64_intdigest(s, SEED) for s in shingles), np.uint64, len(shingles)))
+
+
+def majority(hashes: np.ndarray) -> int:
+    """Signed 64-bit number whose bits are those set in over half of ``hashes``."""
     ones = np.zeros(BITS, np.int64)
     for start in range(0, len(hashes), 1 << 14):
         ones += np.unpackbits(hashes[start : start + (1 << 14)].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
