@@ -63,13 +63,13 @@ def unpack(packed: bytes) -> tuple[bytes, list[tuple[int, tuple[int, ...]]], int
 
 
 class Transducer:
-    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 400_000, most_pieces: int = 200_000):
-        self.ranks, self.most_states, self.most_pieces = ranks, most_states, most_pieces
+    def __init__(self, ranks: dict[bytes, int], pattern: str, most_states: int = 150_000, most_pieces: int = 100_000, most_pairs: int = 500_000):
+        self.ranks, self.most_states, self.most_pieces, self.most_pairs = ranks, most_states, most_pieces, most_pairs
         self.bytes_of = {i: t for t, i in ranks.items()}
         # White space as Unicode has it; the engine's own \s holds four control characters more.
         self.pieces = regex.compile(pattern.replace(r"[^\s", r"[^\p{White_Space}").replace(r"\S", r"\P{White_Space}").replace(r"\s", r"\p{White_Space}")).findall
         self.open = {t[:k] for t in ranks for k in range(1, len(t))}
-        self.fits: dict[tuple[int, int], bool] = {}
+        self.fits: dict[int, bool] = {}
         self.reset()
 
     def reset(self) -> None:
@@ -93,12 +93,13 @@ class Transducer:
         return [self.ranks[p] for p in parts]
 
     def compatible(self, left: int, right: int) -> bool:
-        found = self.fits.get((left, right))
+        key = (left + 2) << 32 | right
+        found = self.fits.get(key)
         if found is None:
-            if len(self.fits) > 2_000_000:
-                self.fits.clear()
+            if len(self.fits) >= self.most_pairs:
+                self.fits = {}
             raw = self.bytes_of[right] if left < 0 else self.bytes_of[left] + self.bytes_of[right]
-            found = self.fits[(left, right)] = self.merge(raw) == ([right] if left < 0 else [left, right])
+            found = self.fits[key] = self.merge(raw) == ([right] if left < 0 else [left, right])
         return found
 
     def expand(self, state: State, byte: int) -> tuple[State, tuple[int, ...]]:
@@ -237,20 +238,20 @@ def ranks_of(path: str) -> dict[bytes, int]:
 
 
 @cache
-def transducer(path: str, pattern: str) -> Transducer:
+def transducer(path: str, pattern: str, most_states: int = 150_000) -> Transducer:
     """One per worker process; its states serve all tasks the worker runs."""
-    return Transducer(ranks_of(path), pattern)
+    return Transducer(ranks_of(path), pattern, most_states, most_states * 2 // 3, most_states * 3)
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, most_states: int = 150_000) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every row of ``docs`` (``doc_id, text``).
 
     ``ids`` are left out on request. A null text counts as empty and has no tokens; repeated rows are encoded alike and an empty table
-    gives an empty one. ``path`` is that of a rank file on every executor.
+    gives an empty one. ``path`` is that of a rank file on every executor. A worker keeps about ``most_states`` states, also after its tasks.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        fst = transducer(path, pattern)
+        fst = transducer(path, pattern, most_states)
         decoder = Decoder(fst.bytes_of)
         for b in batches:
             for at in range(0, b.num_rows, 512):
