@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from slipweave import catalog as registered
 from slipweave.operators import nearby, segment
+from slipweave.plans import parties
 
 
 def beside_sql(spark, folder, name, tables):
@@ -49,3 +50,11 @@ def test_tables_repeated_per_band_are_not_broadcast(spark):
     assert tables.count() == 4
     for df in (pairs, met, tables):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_direct_labels_are_searched_once(spark):
+    cols = "segment_id long, line_no long, text string, x0 double, y0 double, x1 double, y1 double"
+    raw = spark.createDataFrame([(1, 1, "对方户名：甲", 40.0, 14.0, 240.0, 26.0), (2, 1, "本方户名：乙", 40.0, 14.0, 240.0, 26.0)], cols)
+    read = parties._direct_readings(raw)
+    assert [(r.segment_id, r.value) for r in read.collect()] == [(1, "甲")]
+    assert read._jdf.queryExecution().optimizedPlan().toString().count("*[:：])") == 1
