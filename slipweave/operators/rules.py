@@ -21,23 +21,31 @@ _R = ("x0", "y0", "x1", "y1")
 TOLERANCE = 0.012
 
 
+def layouts(labels: DataFrame, key: str) -> DataFrame:
+    """``key, labels``: the labels of each layout as one sorted array of ``(kind, rx0, ry0, rx1, ry1)``, as long as one slip has labels."""
+    return labels.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("kind", *REL))).alias("labels"))
+
+
+def _close(p: Column, q: Column, tol: float) -> Column:
+    """Labels of one kind whose edges lie within ``tol``."""
+    return F.coalesce((p["kind"] == q["kind"]) & (F.greatest(*[F.abs(p[c] - q[c]) for c in REL]) <= tol), F.lit(False))
+
+
+def one_to_one(a: Column, b: Column, tol: float = TOLERANCE) -> Column:
+    """Whether two label arrays pair off: each label has exactly one partner on the other side."""
+    def single(some: Column, others: Column) -> Column:
+        return F.forall(some, lambda p: F.size(F.filter(others, lambda q: _close(p, q, tol))) == 1)
+
+    return (F.size(a) == F.size(b)) & single(a, b) & single(b, a)
+
+
 def match_layout_one_to_one(pairs: DataFrame, left: DataFrame, right: DataFrame, tol: float = TOLERANCE) -> DataFrame:
     """Pairs ``(a_id, b_id)`` whose labels match kind by kind, edge by edge, each used once.
 
-    ``left(a_id, kind, …)`` and ``right(b_id, kind, …)``.
+    ``left(a_id, kind, …)`` and ``right(b_id, kind, …)``. A layout travels as one array, so a pair stays one row.
     """
-    na = left.groupBy("a_id").agg(F.count(F.lit(1)).alias("_na"))
-    nb = right.groupBy("b_id").agg(F.count(F.lit(1)).alias("_nb"))
-    sized = pairs.join(na, "a_id").join(nb, "b_id").filter("_na = _nb")
-    a = left.select("a_id", "kind", *[F.col(c).alias("a" + c) for c in REL])
-    b = right.select("b_id", "kind", *[F.col(c).alias("b" + c) for c in REL])
-    close = F.greatest(*[F.abs(F.col("a" + c) - F.col("b" + c)) for c in REL]) <= tol
-    met = sized.join(a, "a_id").join(b, ["b_id", "kind"]).filter(close)
-    per_a = met.groupBy("a_id", "b_id", "_na", F.struct("kind", *["a" + c for c in REL]).alias("_l")).agg(F.count(F.lit(1)).alias("_n"))
-    per_b = met.groupBy("a_id", "b_id", F.struct("kind", *["b" + c for c in REL]).alias("_l")).agg(F.count(F.lit(1)).alias("_m"))
-    ok_a = per_a.groupBy("a_id", "b_id", "_na").agg(F.count(F.lit(1)).alias("_k"), F.max("_n").alias("_x")).filter("_k = _na and _x = 1")
-    ok_b = per_b.groupBy("a_id", "b_id").agg(F.max("_m").alias("_y")).filter("_y = 1")
-    return ok_a.join(ok_b, ["a_id", "b_id"]).select("a_id", "b_id")
+    a, b = layouts(left, "a_id").withColumnRenamed("labels", "_a"), layouts(right, "b_id").withColumnRenamed("labels", "_b")
+    return pairs.join(a, "a_id").join(b, "b_id").filter(one_to_one(F.col("_a"), F.col("_b"), tol)).select("a_id", "b_id")
 
 
 def _cells(low: Column, high: Column, width: float) -> Column:
@@ -45,6 +53,22 @@ def _cells(low: Column, high: Column, width: float) -> Column:
     return F.sequence(F.floor(low / width), F.floor(high / width))
 
 
+def _candidates(rules: DataFrame, shapes: DataFrame, tol: float, aspect_tol: float) -> DataFrame:
+    """Rows ``(a_id, b_id, _at, _home, _a, _b)`` of rules and shapes that may match; ``_at`` and ``_home`` are the labels that met."""
+    width, stretch = 4 * tol, 4 * aspect_tol
+    kinds, first = F.xxhash64(F.transform("labels", lambda q: q["kind"])), F.element_at("labels", 1)
+    probes = rules.select("a_id", "bank", F.col("aspect").alias("_ra"), F.col("labels").alias("_a"), kinds.alias("_kinds"), first.alias("_at")).withColumn("kind", F.col("_at.kind"))
+    for c in REL:
+        probes = probes.withColumn("_" + c, F.explode(_cells(F.col("_at")[c] - tol, F.col("_at")[c] + tol, width)))
+    low, high = F.log(F.col("_ra") * (1 - aspect_tol)), F.log(F.col("_ra") * (1 + aspect_tol))
+    probes = probes.withColumn("_aspect", F.explode(_cells(low - 1e-9, high + 1e-9, stretch)))
+    home = F.explode(F.filter("labels", lambda q: q["kind"] == F.element_at("labels", 1)["kind"]))
+    homes = shapes.select("b_id", "bank", F.col("aspect").alias("_sa"), F.col("labels").alias("_b"), kinds.alias("_kinds"), home.alias("_home"))
+    homes = homes.withColumns({"kind": F.col("_home.kind"), **{"_" + c: F.floor(F.col("_home")[c] / width) for c in REL}, "_aspect": F.floor(F.log("_sa") / stretch)})
+    met = probes.join(homes, ["bank", "_kinds", "kind", *["_" + c for c in REL], "_aspect"])
+    return met.filter(F.abs(F.col("_sa") / F.col("_ra") - 1) <= aspect_tol)
+
+
 def layout_candidates(rules: DataFrame, rule_labels: DataFrame, shapes: DataFrame, shape_labels: DataFrame, tol: float = TOLERANCE, aspect_tol: float = 0.015) -> DataFrame:
     """Pairs ``(a_id, b_id)`` of a rule and a shape that may match, by a grid of label boxes; a match is never left out.
 
@@ -53,42 +77,31 @@ def layout_candidates(rules: DataFrame, rule_labels: DataFrame, shapes: DataFram
     partner of it lies in one of the few grid cells within ``tol``, which the rule probes. A shape stands in one cell for each of its labels of that kind. The aspect
     is a fifth axis. So rules and shapes meet on a hash key, and a bank with many rules spreads over its layouts.
     """
-    width, stretch = 4 * tol, 4 * aspect_tol
-
-    def profile(labels: DataFrame, key: str) -> DataFrame:
-        return labels.groupBy(key).agg(F.xxhash64(F.array_sort(F.collect_list("kind"))).alias("_kinds"), F.min("kind").alias("kind"))
-
-    one = rule_labels.join(profile(rule_labels, "a_id"), ["a_id", "kind"]).groupBy("a_id", "_kinds", "kind").agg(F.min(F.struct(*REL)).alias("_at"))
-    probes = one.join(rules.select("a_id", "bank", "aspect"), "a_id")
-    for c in REL:
-        probes = probes.withColumn("_" + c, F.explode(_cells(F.col("_at")[c] - tol, F.col("_at")[c] + tol, width)))
-    low, high = F.log(F.col("aspect") * (1 - aspect_tol)), F.log(F.col("aspect") * (1 + aspect_tol))
-    probes = probes.withColumn("_aspect", F.explode(_cells(low - 1e-9, high + 1e-9, stretch)))
-    homes = shape_labels.join(profile(shape_labels, "b_id"), ["b_id", "kind"]).join(shapes.select("b_id", "bank", "aspect"), "b_id")
-    homes = homes.withColumns({**{"_" + c: F.floor(F.col(c) / width) for c in REL}, "_aspect": F.floor(F.log("aspect") / stretch)})
-    cell = ["bank", "_kinds", "kind", *["_" + c for c in REL], "_aspect"]
-    met = probes.select("a_id", F.col("aspect").alias("_ra"), *cell).join(homes.select("b_id", "aspect", *cell).distinct(), cell)
-    return met.filter(F.abs(F.col("aspect") / F.col("_ra") - 1) <= aspect_tol).select("a_id", "b_id").distinct()
+    drawn = rules.select("a_id", "bank", "aspect").join(layouts(rule_labels, "a_id"), "a_id")
+    printed = shapes.select("b_id", "bank", "aspect").join(layouts(shape_labels, "b_id"), "b_id")
+    return _candidates(drawn, printed, tol, aspect_tol).select("a_id", "b_id").distinct()
 
 
-def match_rules(slips: DataFrame, slip_labels: DataFrame, rules: DataFrame, rule_labels: DataFrame) -> DataFrame:
+def match_rules(slips: DataFrame, slip_labels: DataFrame, rules: DataFrame, rule_labels: DataFrame, tol: float = TOLERANCE, aspect_tol: float = 0.015) -> DataFrame:
     """The one active rule of a slip's bank that fits its labels, else none or multiple.
 
-    ``slips(segment_id, bank, aspect, reliable, signature)``: equal signatures have equal labels, so distinct (bank, aspect,
-    signature) shapes are matched, not the slips themselves; and of rules that are equal in all of these one stands for all. Rules meet shapes
-    by :func:`layout_candidates`.
+    ``slips(segment_id, bank, aspect, reliable, signature)``: equal signatures have equal labels, so the labels of one slip stand for all of
+    its (bank, aspect, signature). What is matched are distinct (bank, aspect, labels), of slips and of rules, as the labels of different signatures
+    may be equal too; they meet by the grid of :func:`layout_candidates`.
     """
-    shape = ["bank", "aspect", "signature"]
-    usable = slips.filter("reliable")
-    shapes = usable.groupBy(*shape).agg(F.min("segment_id").alias("b_id"))
-    b = slip_labels.join(shapes.select(F.col("b_id").alias("segment_id")), "segment_id", "left_semi").withColumnRenamed("segment_id", "b_id")
-    live = rules.filter("active and not batch_only").select("rule_id", F.col("bank_name").alias("bank"), "aspect")
-    drawn = rule_labels.groupBy("rule_id").agg(F.xxhash64(F.array_sort(F.collect_list(F.struct("kind", *REL)))).alias("_drawn"))
-    kinds = live.join(drawn, "rule_id").groupBy("bank", "aspect", "_drawn").agg(F.min("rule_id").alias("a_id"), F.count(F.lit(1)).alias("_same"))
-    a = rule_labels.join(kinds.select(F.col("a_id").alias("rule_id")), "rule_id", "left_semi").withColumnRenamed("rule_id", "a_id")
-    fit = match_layout_one_to_one(layout_candidates(kinds, a, shapes, b), a, b).join(kinds.select("a_id", "_same"), "a_id")
+    shape, layout = ["bank", "aspect", "signature"], ["bank", "aspect", "labels"]
+    seen = slips.filter("reliable").groupBy(*shape).agg(F.min("segment_id").alias("b_id"))
+    printed = seen.join(layouts(slip_labels, "segment_id").withColumnRenamed("segment_id", "b_id"), "b_id")
+    shapes = printed.groupBy(*layout).agg(F.min("b_id").alias("b_id"))
+    live = rules.filter("active and not batch_only").select(F.col("rule_id").alias("a_id"), F.col("bank_name").alias("bank"), "aspect")
+    drawn = live.join(layouts(rule_labels, "rule_id").withColumnRenamed("rule_id", "a_id"), "a_id")
+    kinds = drawn.groupBy(*layout).agg(F.min("a_id").alias("a_id"), F.count(F.lit(1)).alias("_same"))
+    # A pair that fits meets once: by the one label of the shape that is the partner of the rule's first.
+    met = _candidates(kinds, shapes, tol, aspect_tol).filter(_close(F.col("_at"), F.col("_home"), tol) & one_to_one(F.col("_a"), F.col("_b"), tol))
+    fit = met.select("a_id", "b_id").join(kinds.select("a_id", "_same"), "a_id")
     per_shape = fit.groupBy("b_id").agg(F.sum("_same").alias("_n"), F.min("a_id").alias("_rule"))
-    by_shape = shapes.join(per_shape, "b_id", "left").select(*shape, F.coalesce("_n", F.lit(0)).alias("_n"), "_rule")
+    found = shapes.join(per_shape, "b_id").drop("b_id")
+    by_shape = printed.join(found, layout).select(*shape, "_n", "_rule")
     return slips.join(by_shape, shape, "left").select(
         "segment_id", F.when(F.col("reliable") & (F.col("_n") == 1), F.col("_rule")).alias("rule_id"),
         F.when(~F.col("reliable"), "labels_unavailable").when(F.col("_n") == 1, "matched").when(F.col("_n") > 1, "multiple_rules").otherwise("no_rule").alias("reason"),

@@ -58,3 +58,19 @@ def test_no_product_of_rules_and_shapes(spark):
     la = spark.createDataFrame(labels, f"a_id long, kind string, {boxes}")
     pairs = rules.layout_candidates(a, la, a.withColumnRenamed("a_id", "b_id"), la.withColumnRenamed("a_id", "b_id")).count()
     assert n <= pairs < n * n / 30
+
+
+def test_equal_labels_of_many_signatures_meet_once(spark, monkeypatch):
+    """Slips of other signatures that print the same labels are one shape, and no label of a pair becomes a row of its own."""
+    n, met = 500, []
+    grid = rules._candidates
+    monkeypatch.setattr(rules, "_candidates", lambda *a: met.append(grid(*a)) or met[-1])
+    boxes = ", ".join(f"{c} double" for c in REL)
+    at = lambda i: [(i, k, x, 0.1, x + 0.1, 0.15) for k, x in (("a", 0.1), ("b", 0.3))]
+    slips = spark.createDataFrame([(i, "B", 1.5, True, f"s{i}") for i in range(n)], "segment_id long, bank string, aspect double, reliable boolean, signature string")
+    printed = spark.createDataFrame([x for i in range(n) for x in at(i)], f"segment_id long, kind string, {boxes}")
+    drawn = spark.createDataFrame([(i, "B", 1.5, False, True) for i in range(2)], "rule_id long, bank_name string, aspect double, batch_only boolean, active boolean")
+    far = [(1, k, x + 0.02, *rest) for _, k, x, *rest in at(1)]
+    found = rules.match_rules(slips, printed, drawn, spark.createDataFrame(at(0) + far, f"rule_id long, kind string, {boxes}"))
+    assert {(r.rule_id, r.reason) for r in found.collect()} == {(0, "matched")} and found.count() == n
+    assert met[0].count() <= 2
