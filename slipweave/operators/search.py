@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+from collections.abc import Iterator, Sequence
 from difflib import SequenceMatcher
 
 import numpy as np
@@ -74,32 +74,86 @@ def fuzzy_bound(text: Column, word: str) -> Column:
     return tx.let(text, lambda t: tx.let(_char_counts(t, word), lambda common: bound(common, F.length(t))))
 
 
-def best_ratio(word: str, text: str, seen: dict[str, float] | None = None) -> float:
-    """Best match ratio of ``word`` against all windows of nearly its length.
+def _common_lengths(word: str, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """For each window length, how long the common subsequence of ``word`` and the window at each place is.
 
-    Window bounds come from prefix counts of the keyword's characters; windows are then scored
-    from the best bound down until no bound can beat the best score, so the maximum is exact.
-    ``seen`` remembers the scores of windows that recur within a batch.
+    One bit per character of the word, all windows in step: a carry of the addition marks one more common character.
     """
-    k, seen = len(word), {} if seen is None else seen
-    codes = np.frombuffer(text.encode("utf-32-le"), dtype=np.uint32)
+    k = len(word)
+    kind = next(t for t in (np.uint8, np.uint16, np.uint32, np.uint64) if np.iinfo(t).bits >= k)
+    full = kind((1 << k) - 1)
+    masks = np.zeros(len(codes), dtype=kind)
+    for ch in set(word):
+        masks[codes == ord(ch)] = kind(sum(1 << i for i, c in enumerate(word) if c == ch))
+    state, out = np.full(len(codes), full, dtype=kind), []
+    for i in range(min(k + 1, len(codes))):
+        state = state[: len(codes) - i]
+        met = state & masks[i:]
+        state = ((state + met) | (state - met)) & full
+        if i + 1 >= (k if k <= 2 else k - 1):
+            out.append((i + 1, k - np.bitwise_count(state).astype(np.int64)))
+    return out
+
+
+def _common_counts(word: str, codes: np.ndarray) -> list[tuple[int, np.ndarray]]:
+    """The same bound from counts of characters, for words of more than 64."""
+    k = len(word)
     sums = {ch: np.concatenate(([0], np.cumsum(codes == ord(ch)))) for ch in set(word)}
-    best = FLOOR = FUZZY_THRESHOLD - 1e-12
-    for n in range(k if k <= 2 else k - 1, k + 2):
-        if n > len(text):
-            continue
-        common = np.zeros(len(text) - n + 1, dtype=np.int64)
-        for ch, c in sums.items():
-            common += np.minimum(c[n:] - c[:-n], word.count(ch))
+    sizes = [n for n in range(k - 1, k + 2) if n <= len(codes)]
+    return [(n, sum(np.minimum(c[n:] - c[:-n], word.count(ch)) for ch, c in sums.items())) for n in sizes]
+
+
+def best_ratios(word: str, texts: Sequence[str], seen: dict[str, float] | None = None) -> list[float]:
+    """Best match ratio of ``word`` against all windows of nearly its length, for each text; 0 below the threshold.
+
+    Matching blocks are a common subsequence, so its length bounds a window's ratio. The texts are laid end to end and bounded
+    together; windows are then scored from the best bound down until no bound can beat the best score, so the maximum is exact.
+    ``seen`` remembers the scores of windows that recur.
+    """
+    k, seen, floor = len(word), {} if seen is None else seen, FUZZY_THRESHOLD - 1e-12
+    best = [floor] * len(texts)
+    joined = "".join(texts)
+    codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), dtype=np.uint32)
+    ends = np.cumsum([len(t) for t in texts])
+    starts, bounds, sizes = [], [], []
+    for n, common in (_common_lengths if k <= 64 else _common_counts)(word, codes):
         bound = 2.0 * common / (k + n)
-        for start in np.argsort(-bound, kind="stable"):
-            if bound[start] <= best:
-                break
-            window = text[start : start + n]
+        at = np.flatnonzero(bound > floor)
+        starts.append(at)
+        bounds.append(bound[at])
+        sizes.append(np.full(len(at), n))
+    if starts:
+        start, bound, size = map(np.concatenate, (starts, bounds, sizes))
+        owner = np.searchsorted(ends, start, side="right")
+        inside = start + size <= ends[owner]
+        start, bound, size, owner = start[inside], bound[inside], size[inside], owner[inside]
+        order = np.argsort(-bound, kind="stable")
+        for i, b, n, who in zip(*(x[order].tolist() for x in (start, bound, size, owner))):
+            if b <= best[who]:
+                continue
+            window = joined[i : i + n]
             if window not in seen:
                 seen[window] = SequenceMatcher(None, word, window).ratio()
-            best = max(best, seen[window])
-    return best if best > FLOOR else 0.0
+            best[who] = max(best[who], seen[window])
+    return [r if r > floor else 0.0 for r in best]
+
+
+def best_ratio(word: str, text: str, seen: dict[str, float] | None = None) -> float:
+    """:func:`best_ratios` of one text."""
+    return best_ratios(word, [text], seen)[0]
+
+
+def _in_runs(texts: pd.Series, size: int = 100_000) -> Iterator[list[str]]:
+    """Texts in runs of about ``size`` characters; a longer text is a run of its own."""
+    run, n = [], 0
+    for t in texts:
+        if run and n + len(t) > size:
+            yield run
+            run, n = [], 0
+        run.append(t)
+        n += len(t)
+    if run:
+        yield run
 
 
 def search_fuzzy(blocks: DataFrame, keyword: str) -> DataFrame:
@@ -116,20 +170,21 @@ def search_fuzzy(blocks: DataFrame, keyword: str) -> DataFrame:
     @F.pandas_udf("double")
     def score(texts: pd.Series) -> pd.Series:
         seen: dict[str, float] = {}
-        return texts.map(lambda t: best_ratio(word, t, seen))
+        return pd.Series([r for run in _in_runs(texts) for r in best_ratios(word, run, seen)], dtype="float64")
 
+    # Whoever filters by a score has it computed where the rows are, before they are dealt out, and again after, unless it is said not to repeat.
+    score = score.asNondeterministic()
     tasks = int(blocks.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     survivors = (
-        blocks.withColumn("matched_text", matched)
-        .withColumn("_t", tx.no_space(F.col("matched_text")))
-        .filter(fuzzy_bound(F.col("_t"), word) >= FUZZY_THRESHOLD)
-        .repartition(tasks, *PAGE, "block_index")  # scoring costs far more than moving the few survivors
+        blocks.filter(fuzzy_bound(tx.no_space(matched), word) >= FUZZY_THRESHOLD)
+        .repartition(tasks, *PAGE, "block_index")  # scoring costs far more than moving the survivors
     )
     return (
-        survivors.withColumn("_r", score("_t"))
+        survivors.withColumn("matched_text", matched)
+        .withColumn("_r", score(tx.no_space(F.col("matched_text"))))
         .filter(F.col("_r") >= FUZZY_THRESHOLD)
         .withColumn("confidence", F.round(F.least("_r", "confidence"), 4))
-        .drop("_t", "_r")
+        .drop("_r")
     )
 
 
