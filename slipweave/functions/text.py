@@ -142,7 +142,12 @@ def compatible(df: DataFrame, column: str, name: str) -> DataFrame:
 
 def norm_search(c: Column) -> Column:
     """Search form: widths folded up to U+FF60, zero-width spaces dropped, ends stripped."""
-    return strip(F.regexp_replace(fold_width(c, 0xFF60), "\u200b", ""))
+    def fold(t: Column) -> Column:
+        # Folding looks every character up, and most texts hold none of these.
+        folded = F.regexp_replace(fold_width(t, 0xFF60), "\u200b", "")
+        return strip(F.when(t.rlike("[\u200b\u3000\uff01-\uff60]"), folded).otherwise(t))
+
+    return let(c, fold)
 
 
 def norm_name(c: Column, compose: bool = True) -> Column:
@@ -213,17 +218,17 @@ def labelled_state(field: Column, c: Column) -> Column:
 
 def canonical_bank(c: Column, aliases: dict[str, str] | None = None) -> Column:
     """One legal name per bank heading, NULL where the text is no bank heading."""
-    aliases = BANK_ALIASES if aliases is None else aliases
-    names = table(aliases)
-    compact = F.regexp_replace(c, f"[A-Za-z·.\\-{SPACES}]+", "")
-    barred = compact.isin(*BANK_CHANNELS) | compact.rlike("|".join(NOT_ISSUER_WORDS))
-    shaped = compact.rlike("^[\\u4e00-\\u9fff]{2,18}(?:银行|农村信用合作联社|农村信用社)$")
-    bare = F.regexp_replace(compact, "^中国", "")
-    return (
-        F.when(c.isNull() | barred, F.lit(None).cast("string"))
-        .when(F.element_at(names, compact).isNotNull(), F.element_at(names, compact))
-        .when(shaped, F.coalesce(F.element_at(names, bare), compact))
-    )
+    names = table(BANK_ALIASES if aliases is None else aliases)
+
+    def name(compact: Column) -> Column:
+        barred = compact.isin(*BANK_CHANNELS) | compact.rlike("|".join(NOT_ISSUER_WORDS))
+        shaped = compact.rlike("^[\\u4e00-\\u9fff]{2,18}(?:银行|农村信用合作联社|农村信用社)$")
+        bare = F.regexp_replace(compact, "^中国", "")
+        found = F.coalesce(F.element_at(names, compact), F.when(shaped, F.coalesce(F.element_at(names, bare), compact)))
+        # Few texts have a name, so what bars one is asked last.
+        return let(found, lambda n: F.when(n.isNotNull() & ~barred, n))
+
+    return let(F.regexp_replace(c, f"[A-Za-z·.\\-{SPACES}]+", ""), name)
 
 
 def rural_unspecified(a: Column, b: Column) -> Column:

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from slipweave.functions import geometry as g
 from slipweave.functions import text as tx
 from slipweave.functions.geometry import Rect
+from slipweave.functions.settle import settle
 from slipweave.operators.nearby import band_pairs, greedy_starts, meet
 from slipweave.schema import PAGE
 
@@ -23,6 +24,8 @@ TITLE_PREFIX_WORDS = (
 )
 TITLE_SUFFIXES = ("网上支付跨行清算业务", "小额支付系统业务", "大额支付系统业务", "电子缴税付款业务", "存款利息", "通用")
 EXACT_TITLES = ("上海银行电子缴税付款凭证", "宁波银行网上交易凭证")
+#: One of these stands in every title: 回单, 利息单, 通知, 凭证.
+TITLE_MARKS = "单知证"
 BODY_WORDS = (
     "备注", "凭证", "信息", "通过", "校验", "管理", "打印",
     "费用", "时间戳", "摘要", "重要提示", "验证", "下载",
@@ -105,9 +108,9 @@ def is_title(c: Column) -> Column:
     lines = F.filter(lines, lambda s: s != "")
     pairs = F.arrays_zip(lines.alias("a"), F.slice(lines, 2, F.greatest(F.size(lines) - 1, F.lit(0))).alias("b"))
     named = F.transform(pairs, lambda p: F.struct(p["a"].alias("line"), F.coalesce(p["b"], F.lit("")).alias("next")))
-    return F.coalesce(
-        F.exists(named, lambda p: ~p["next"].contains("专用章") & _title_line(p["line"])), F.lit(False)
-    )
+    # The grammar is tried on the few blocks that hold a character every title ends its form with.
+    found = F.exists(named, lambda p: ~p["next"].contains("专用章") & _title_line(p["line"]))
+    return F.coalesce(F.when(c.rlike(f"[{TITLE_MARKS}]"), found), F.lit(False))
 
 
 def flag_titles(blocks: DataFrame) -> DataFrame:
@@ -252,7 +255,7 @@ def _prefixed(prefix: str) -> list[Column]:
 
 def masthead_bank(lines: DataFrame, line_id: str = "block_index") -> DataFrame:
     """Bank headings that are not the value of an account label on their row or just above."""
-    heads = lines.withColumn("bank", tx.canonical_bank(F.col("text"))).filter("bank is not null")
+    heads = settle(lines, {"bank": tx.canonical_bank(F.col("text"))}).filter("bank is not null")
     words = tx.no_space(F.col("text")).rlike(alternatives(ACCOUNT_WORDS))
     labels = lines.filter(words).select(*PAGE, *_prefixed("a_"))
     r, a = Rect(), Rect("a_")
