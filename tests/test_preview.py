@@ -95,3 +95,26 @@ def test_a_common_key_is_not_looked_up(spark):
     assert plan.count() == n
     listed = forms.selectExpr("source_id", "bank", "explode(keys) as k").groupBy("k").count()
     assert listed.filter("k = 'all'").first()["count"] == n
+
+
+def test_previews_deal_out_text_and_hits_once(spark):
+    """No table of a page is sorted or shuffled again for each step: the plan of the result holds few exchanges."""
+    box = ["0.0D as x0", "10.0D * id as y0", "50.0D as x1", "10.0D * id + 8 as y1"]
+    at = spark.range(4).selectExpr("0L as source_id", "1L as page", "id as block_index", *box)
+    slots = spark.range(2).selectExpr("0L as source_id", "1L as page", "id as position_index", "'s' || id as instance_id", "0.0D as x0", "20.0D * id as y0", "60.0D as x1", "20.0D * (id + 1) as y1")
+    blocks = at.selectExpr("*", "'text' as text", "false as is_watermark", "1.0D as confidence")
+    matches = at.selectExpr("*", "1.0D as confidence", "'include-0' as query_id", "'include' as role")
+    found = preview.results(slots, blocks, at.selectExpr("*", "'stroke-path' as kind"), matches, ["include-0"])
+    plan = found._jdf.queryExecution().sparkPlan().toString()
+    assert plan.count("Join") == 2 and plan.count("HashAggregate") <= 4
+    assert sorted((r.instance_id, r.y0, r.y1, r.needs_review) for r in found.collect()) == [("s0", 0.0, 20.0, False), ("s1", 20.0, 40.0, False)]
+
+
+def test_slots_without_things_or_places_stay(spark):
+    """A slot that meets nothing keeps one row, whether it spans several bands or has no height at all."""
+    shape = f"source_id long, page long, position_index long, {BOX}, instance_id string"
+    slots = spark.createDataFrame([(0, 1, 1, 0.0, 0.0, 50.0, 900.0, "a"), (0, 1, 2, 0.0, None, 50.0, None, "b"), (0, 2, 1, 0.0, 0.0, 50.0, 900.0, "c")], shape)
+    blocks = spark.createDataFrame([(0, 2, 1, 5.0, 200.0, 9.0, 300.0, "text", False, 0.5), (0, 2, 2, 5.0, 600.0, 9.0, 700.0, "text", False, 1.0)], f"source_id long, page long, block_index long, {BOX}, text string, is_watermark boolean, confidence double")
+    objects = spark.createDataFrame([(0, 2, 5.0, 250.0, 9.0, 880.0, "stroke-path")], f"source_id long, page long, {BOX}, kind string")
+    got = {(r.page, r.position_index): (r.instance_id, r.excluded_reason, r.blocks, r.uncertain_text, r.objects) for r in segment.occupy_slots(slots, blocks, objects, ("instance_id",)).collect()}
+    assert got == {(1, 1): ("a", "blank", 0, 0, 0), (1, 2): ("b", "blank", 0, 0, 0), (2, 1): ("c", None, 2, 1, 1)}
