@@ -58,6 +58,13 @@ def normal_account(account: Mapping[str, str]) -> dict[str, str]:
     return {**account, "company_name": text(account["company_name"]), "bank_name": text(account["bank_name"]), "account_number": text(account["account_number"]).replace(" ", "")}
 
 
+def composed_slips(slips: DataFrame) -> DataFrame:
+    """``slips`` with all texts a decision reads composed; they are read twice."""
+    texts = [c for c in (*[f"{p}{s}_{f}" for s in SIDES for f in FIELDS for p in ("", "o_")], *[f"o_counterparty_{f}" for f in FIELDS],
+                         *[f"{s}_observed_{f}" for s in ("own", "counterparty") for f in FIELDS], "source_bank") if c in slips.columns]
+    return tx.composed(slips, texts)
+
+
 def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = True) -> DataFrame:
     """Decide own side, reasons, route and group of each slip against one own account.
 
@@ -66,9 +73,7 @@ def derive_route(slips: DataFrame, account: Mapping[str, str], compose: bool = T
     """
     account = normal_account(account)
     if compose:
-        texts = [c for c in (*[f"{p}{s}_{f}" for s in SIDES for f in FIELDS for p in ("", "o_")], *[f"o_counterparty_{f}" for f in FIELDS],
-                             *[f"{s}_observed_{f}" for s in ("own", "counterparty") for f in FIELDS], "source_bank") if c in slips.columns]
-        slips = tx.composed(slips, texts)
+        slips = composed_slips(slips)
         compose = False
     have = set(slips.columns)
 
@@ -315,17 +320,21 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
     slips reject names and assignments; internal and special slips cannot be assigned. ``routed`` holds every
     slip: those whose edit is refused, and excluded ones, as they were.
     """
-    df = with_optional(slips)
-    e = edits.select("segment_id", *[F.col(c).alias("e_" + c) for c in edits.columns if c != "segment_id"])
+    # Texts are composed once, before the slips are joined and decided; whether a name changed is told by the texts as they came.
+    columns = with_optional(slips).columns
+    kept = slips.withColumn("e_was_name", F.col("o_counterparty_name") if "o_counterparty_name" in slips.columns else F.lit(None).cast("string"))
+    df = with_optional(composed_slips(kept))
+    e = tx.composed(edits.withColumn("name_text", F.col("name_value")), ["name_text"])
+    e = e.select("segment_id", *[F.col(c).alias("e_" + c) for c in e.columns if c != "segment_id"])
     many = e.groupBy("segment_id").agg(F.count(F.lit(1)).alias("_edits"))
     # Only edited slips are decided twice. Of several edits of one slip none is taken, so it does not matter which stands for them.
     rows = df.join(e.dropDuplicates(["segment_id"]), "segment_id").join(many, "segment_id")
     untouched = df.join(many.select("segment_id"), "segment_id", "left_anti")
     g = groups.select(F.col("group_id").alias("e_assign_group"), F.col("kind").alias("_kind"), F.col("group_key").alias("_key"), F.col("label").alias("_label"))
     rows = rows.join(g, "e_assign_group", "left")
-    new = F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce("e_name_value", "o_counterparty_name"))
+    new, came = [F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce(*c)) for c in (("e_name_text", "o_counterparty_name"), ("e_name_value", "e_was_name"))]
     new_state = F.when(F.coalesce("e_clear_name", F.lit(False)), F.lit(None)).otherwise(F.coalesce("e_name_state", "o_counterparty_name_state"))
-    changed = ~new.eqNullSafe(F.col("o_counterparty_name")) | ~new_state.eqNullSafe(F.col("o_counterparty_name_state"))
+    changed = ~came.eqNullSafe(F.col("e_was_name")) | ~new_state.eqNullSafe(F.col("o_counterparty_name_state"))
     edited = F.col("_edits").isNotNull()
     named = edited & changed & (new_state == "present")
     assign = F.col("e_assign_group").isNotNull()
@@ -338,7 +347,7 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
             "e_new_name": new, "e_new_state": new_state,
         }
     ).withColumns({"o_counterparty_name": F.col("e_new_name"), "o_counterparty_name_state": F.col("e_new_state"), "assigned_group": F.lit(None).cast("string")})
-    basis = derive_route(tried, account)
+    basis = derive_route(tried, account, compose=False)
     wants = F.col("e_named") | F.col("e_assign")
     auto_service = (F.col("route") == "special") & F.coalesce(F.col("document_type").isin("", "ordinary"), F.lit(True)) & (F.col("counterparty_name_state") == "blank")
     problem = (
@@ -366,8 +375,8 @@ def apply_edits(slips: DataFrame, edits: DataFrame, groups: DataFrame, account:
             "assigned_key": F.when(assigned, F.col("e_key")).otherwise(F.col("assigned_key")),
             "assigned_label": F.when(assigned, F.col("e_label")).otherwise(F.col("assigned_label")),
         }
-    ).select(*df.columns)
-    return derive_route(untouched.select(*df.columns).unionByName(resolved), account), conflicts
+    ).select(*columns)
+    return derive_route(untouched.select(*columns).unionByName(resolved), account, compose=False), conflicts
 
 
 GUIDANCE = (
