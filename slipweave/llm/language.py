@@ -30,7 +30,7 @@ UNKNOWN = "und"
 def _letters() -> np.ndarray:
     """Lower-case code of every letter, a space for all else; built once per worker."""
     lower = (c.lower() if (c := chr(i)).isalpha() else " " for i in range(0x110000))
-    return np.array([ord(c[0]) for c in lower], np.uint32)
+    return np.fromiter((ord(c[0]) for c in lower), np.uint32, 0x110000)
 
 
 def gram_bins(text: str | None) -> np.ndarray:

@@ -82,6 +82,11 @@ class Transducer:
         self.older: dict[str, tuple[int, ...]] = {}
         self.start = State(pack(b"", [(0, ())], -1), ())
 
+    def forget(self) -> None:
+        """Drops all that was learned from texts, so that an idle worker holds the vocabulary alone."""
+        self.fits = {}
+        self.reset()
+
     def merge(self, raw: bytes, least_parts: int = 1) -> list[int]:
         """The merges as defined: always the pair of least rank, leftmost first, down to ``least_parts``. Used on one or two tokens only."""
         rank, none = self.ranks.get, 1 << 60
@@ -285,15 +290,24 @@ def transducer(path: str, pattern: str, most_states: int = 400_000) -> Transduce
     return Transducer(ranks_of(path), pattern, most_states, max(100_000, most_states // 2), min(500_000, most_states * 5))
 
 
-def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, most_states: int = 400_000) -> DataFrame:
+def encoded(docs: DataFrame, path: str, pattern: str, ids: bool = True, most_states: int = 400_000, keep: bool = True) -> DataFrame:
     """``doc_id, n_tokens, ids, ids_sha256, decoded_sha256`` of every row of ``docs`` (``doc_id, text``).
 
     ``ids`` are left out on request. A null text counts as empty and has no tokens; repeated rows are encoded alike and an empty table
-    gives an empty one. ``path`` is that of a rank file on every executor. A worker keeps about ``most_states`` states, also after its tasks.
+    gives an empty one. ``path`` is that of a rank file on every executor. A worker keeps about ``most_states`` states, also after its tasks
+    unless ``keep`` is off.
     """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         fst = transducer(path, pattern, most_states)
+        try:
+            yield from told(batches, fst)
+        finally:
+            if not keep:
+                fst.forget()
+                pa.default_memory_pool().release_unused()
+
+    def told(batches: Iterator[pa.RecordBatch], fst: Transducer) -> Iterator[pa.RecordBatch]:
         decoder = Decoder(fst.bytes_of)
         for b in batches:
             for at in range(0, b.num_rows, 512):

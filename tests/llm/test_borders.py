@@ -36,3 +36,18 @@ def test_frequent_pieces_stay_when_others_are_dropped():
     for i in range(300):
         assert fst.encode(f"often {i}").tolist() == list(f"often {i}".encode())
     assert met.count(b"often") == 1 and len(fst.words) + len(fst.older) <= 40
+
+
+def test_a_worker_may_forget_what_it_learned():
+    """What was learned from texts is dropped on request, and the same ids come out afterwards."""
+    import public_tokenizers
+
+    from slipweave.llm.transducer import Transducer, ranks_of
+
+    fst = Transducer(ranks_of(public_tokenizers.path("byte_bpe_multi_50k.tiktoken")), public_tokenizers.PATTERN)
+    text = "Überraschung! naïve 12345 tokens, pneumonoultramicroscopic" * 3
+    first = fst.encode(text).tolist()
+    assert fst.states and fst.words and fst.fits
+    fst.forget()
+    assert not fst.states and not fst.words and not fst.older and not fst.fits
+    assert fst.encode(text).tolist() == first
