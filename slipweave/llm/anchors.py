@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from slipweave.llm.shared import components, pick, written
+from slipweave.llm.shared import components, dealt, pick, written
 
 BITS, SEED = 64, 42
 
@@ -109,7 +109,7 @@ def links(fps: DataFrame, threshold: int = 3) -> DataFrame:
     home = cells.filter("home").select("cell", F.col("fp").alias("a"))
     away = cells.select("cell", F.col("fp").alias("b"))
     return (
-        home.join(away, "cell")
+        home.join(dealt(away), "cell")
         .filter((F.col("a") != F.col("b")) & (F.bit_count(F.col("a").bitwiseXOR(F.col("b"))) <= threshold))
         .select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
         .distinct()
@@ -127,10 +127,10 @@ def near_duplicates(docs: DataFrame, threshold: int = 3, width: int = 3) -> Data
     prints = written(fingerprints(docs, width), "fingerprints")
     classes = prints.groupBy("fp").agg(F.min("doc_id").alias("first"))
     roots = components(links(classes, threshold))
-    rooted = classes.join(roots, classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
+    rooted = classes.join(dealt(roots), classes.fp == roots.node, "left").select("fp", "first", F.coalesce("root", "fp").alias("root"))
     firsts = rooted.groupBy("root").agg(F.min("first").alias("component_id"))
-    named = rooted.join(firsts, "root").select("fp", "root", "component_id")
-    return prints.join(named, "fp").select(
+    named = rooted.join(dealt(firsts), "root").select("fp", "root", "component_id")
+    return prints.join(dealt(named), "fp").select(
         "doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "fp", "text_hash", "root")
 
 
@@ -148,13 +148,13 @@ def first_of_each(docs: DataFrame, found: DataFrame) -> DataFrame:
     first = found.groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("s"))
     chosen = F.col("doc_id").eqNullSafe(F.col("s.doc_id")) & (F.col("text_hash") == F.col("s.text_hash"))
     stay = written(
-        found.join(first, "root").filter(chosen).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
+        found.join(dealt(first), "root").filter(chosen).groupBy("doc_id", "text_hash").agg(F.count("*").alias("times"))
         .select(F.col("doc_id").alias("stay_id"), F.col("text_hash").alias("stay_hash"), "times"), "stay")
     keys = pick(docs, "doc_id", "text")
     numbered = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
     own, text = (f"c{docs.columns.index(c)}" for c in keys.columns)
     hashed = numbered.withColumn("hash", F.xxhash64(text))
-    kept = hashed.join(stay, F.col(own).eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash"))).drop("stay_id", "stay_hash")
+    kept = hashed.join(dealt(stay), F.col(own).eqNullSafe(F.col("stay_id")) & (F.col("hash") == F.col("stay_hash"))).drop("stay_id", "stay_hash")
     # Only rows that stand there several times are gathered to keep one of them.
     once = kept.filter("times = 1").drop("times")
     if not stay.filter("times > 1").isEmpty():

@@ -5,8 +5,10 @@ import random
 
 import numpy as np
 import public_tokenizers
+from pyspark.sql import functions as F
 
-from slipweave.llm import copies, secrets
+from slipweave.llm import anchors, copies, secrets
+from slipweave.llm.shared import written
 from slipweave.llm.transducer import Transducer, ranks_of
 
 
@@ -49,3 +51,14 @@ def test_known_pairs_are_bounded():
     tight = Transducer(ranks, public_tokenizers.PATTERN, most_states=200, most_pieces=50, most_pairs=100)
     assert [tight.encode(t) for t in texts] == [free.encode(t) for t in texts]
     assert len(tight.fits) <= 100 < len(free.fits)
+
+
+def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
+    few = written(spark.range(50).select(F.xxhash64("id").alias("fp")), "few")
+    pairs = anchors.links(few)
+    sets = spark.range(4).selectExpr("id as c", "2L as n", "array(1L, 2L) as set")
+    alike = copies.similar(spark.createDataFrame([(0, 1), (2, 3)], "a long, b long"), sets, 0.8)
+    assert sorted(map(tuple, alike.collect())) == [(0, 1), (2, 3)]
+    docs = spark.createDataFrame([(i, f"one two three four five {i % 2}") for i in range(4)], "doc_id long, text string")
+    for df in (pairs, alike, anchors.near_duplicates(docs), anchors.one_of_each(docs)):
+        assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
