@@ -5,7 +5,7 @@ from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from slipweave import catalog as registered
-from slipweave.operators import nearby, segment
+from slipweave.operators import labels, nearby, segment
 from slipweave.plans import parties
 
 
@@ -58,3 +58,15 @@ def test_direct_labels_are_searched_once(spark):
     read = parties._direct_readings(raw)
     assert [(r.segment_id, r.value) for r in read.collect()] == [(1, "甲")]
     assert read._jdf.queryExecution().optimizedPlan().toString().count("*[:：])") == 1
+
+
+def test_labels_are_searched_by_many_tasks_and_once_per_vocabulary(spark):
+    cols = "segment_id long, line_no long, text string, x0 double, y0 double, x1 double, y1 double"
+    texts = ["付款人名称：甲", "付 款 人 账 号:1 收款人名称：乙", "户名：丙", "\x1c户　名 = 丁", "付款人名称甲", "", None, "x付款人名称：甲"]
+    raw = spark.createDataFrame([(1, i, t, 0.0, 0.0, 1.0, 1.0) for i, t in enumerate(texts)], cols).coalesce(1)
+    found = labels.match_labels(raw)
+    assert sorted((r.line_no, r.cell_no, r.label, r.value, r.side, r.explicit) for r in found.collect()) == [
+        (0, 0, "付款人名称", "甲", "payer", True), (1, 0, "付款人账号", "1", "payer", True), (1, 1, "收款人名称", "乙", "payee", True),
+        (2, 0, "户名", "丙", "", False), (3, 0, "户名", "丁", "", False)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("(?=[") == 2 and "RepartitionByExpression" in plan
