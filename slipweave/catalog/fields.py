@@ -7,6 +7,7 @@ from slipweave.functions import text as tx
 from slipweave.operators import fields as fd
 from slipweave.operators import labels as lb
 from slipweave.plans import parties
+from slipweave.session import stage
 
 
 def _scoped(df, width=600.0, height=140.0):
@@ -105,8 +106,8 @@ def _(t):
 )
 def _(t):
     lines = _columns(t, table=True)
-    generic = lb.match_labels(lines).filter("side = ''")
-    return fd.table_values(generic, lines, fd.role_headers(lines, generic)).select("segment_id", "side", "field", "text")
+    generic = stage(lb.match_labels(lines).filter("side = ''"))
+    return fd.table_values(generic, lines, stage(fd.role_headers(lines, generic))).select("segment_id", "side", "field", "text")
 
 
 @query(
@@ -116,7 +117,7 @@ def _(t):
 )
 def _(t):
     lines = _columns(t)
-    cells = lb.match_labels(lines)
+    cells = stage(lb.match_labels(lines))
     return fd.column_side(cells.filter("side = ''").drop("side"), cells.filter("side <> ''")).select("segment_id", "field", "side")
 
 

@@ -12,8 +12,10 @@ from pyspark.sql import functions as F
 from slipweave.functions import geometry as g
 from slipweave.functions import text as tx
 from slipweave.functions.geometry import Rect
+from slipweave.functions.settle import settle
 from slipweave.operators.nearby import band_pairs, meet
 from slipweave.schema import FIELDS, SIDES
+from slipweave.session import stage
 
 SEG = ["segment_id"]
 CELL = ["segment_id", "line_no", "cell_no"]
@@ -96,7 +98,9 @@ def role_headers(lines: DataFrame, generic: DataFrame) -> DataFrame:
     Headers are written across or one character per line. Each needs a name and an account
     label of its own close by and aligned, so stray role words never make a table.
     """
-    one = lines.withColumn("_c", tx.no_space(F.col("text")))
+    one = settle(lines.select(*SEG, "line_no", "text", *_R), {"_c": tx.no_space(F.col("text"))})
+    # Read once for each character of a header, so only what may be one is kept.
+    one = stage(one.filter(F.col("_c").isin(*ROLE_WORDS, "付", "收", "款", "人", "方")).drop("text"))
     r = Rect()
     flat = one.filter(F.col("_c").isin(*ROLE_WORDS)).select(
         *SEG, F.when(F.col("_c").startswith("付"), "payer").otherwise("payee").alias("side"), *_R,
