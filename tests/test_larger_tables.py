@@ -1,11 +1,13 @@
 """Queries on small tables shaped like larger ones, where keys and ties meet that the smallest test tables do not have."""
 
 import duckdb
+import pytest
 from pyspark.sql import Row
 from pyspark.sql import functions as F
 
 from slipweave import catalog as registered
-from slipweave.operators import labels, nearby, segment
+from slipweave import session
+from slipweave.operators import fields, labels, nearby, segment
 from slipweave.plans import parties
 
 
@@ -70,3 +72,22 @@ def test_labels_are_searched_by_many_tasks_and_once_per_vocabulary(spark):
         (2, 0, "户名", "丙", "", False), (3, 0, "户名", "丁", "", False)]
     plan = found._jdf.queryExecution().optimizedPlan().toString()
     assert plan.count("(?=[") == 2 and "RepartitionByExpression" in plan
+
+
+def test_party_tables_are_not_broadcast(spark):
+    cols = "segment_id long, line_no long, text string, x0 double, y0 double, x1 double, y1 double, sy0 double, sy1 double"
+    texts = [("付款人名称", 40.0, 20.0), ("甲", 120.0, 21.0), ("收款人名称", 340.0, 20.0), ("乙", 420.0, 21.0)]
+    raw = spark.createDataFrame([(1, i, t, x, y, x + 70, y + 12, 0.0, 140.0) for i, (t, x, y) in enumerate(texts)], cols)
+    seen = []
+    def staged(df):
+        seen.append(df._jdf.queryExecution().sparkPlan().toString())
+        return session.stage(df)
+    with pytest.MonkeyPatch.context() as m:
+        m.setattr(parties, "stage", staged)
+        m.setattr(fields, "stage", staged)
+        got = parties.extract_parties(raw)
+    found = {(r.side, r.field): r.value for r in got.collect()}
+    assert found["payer", "name"] == "甲" and found["payee", "name"] == "乙" and len(found) == 6
+    for plan in [*seen, got._jdf.queryExecution().sparkPlan().toString()]:
+        # Plans of cached tables stand inside the later ones, as they were planned with their own sizes.
+        assert "BroadcastHashJoin" not in plan
