@@ -7,7 +7,7 @@ import numpy as np
 import public_tokenizers
 from pyspark.sql import functions as F
 
-from slipweave.llm import anchors, copies, secrets
+from slipweave.llm import anchors, copies, decontaminate, secrets
 from slipweave.llm.shared import written
 from slipweave.llm.transducer import Transducer, ranks_of
 
@@ -62,3 +62,22 @@ def test_tables_that_grow_with_the_documents_are_not_broadcast(spark):
     docs = spark.createDataFrame([(i, f"one two three four five {i % 2}") for i in range(4)], "doc_id long, text string")
     for df in (pairs, alike, anchors.near_duplicates(docs), anchors.one_of_each(docs)):
         assert "BroadcastHashJoin" not in df._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_equal_items_are_searched_once_and_blocks_one_after_another(spark):
+    words = [f"word{i}" for i in range(60)]
+    items = [(i, " ".join(words[:25])) for i in range(40)] + [(40, " ".join(words[30:55])), (3, " ".join(words[30:55])), (41, "")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    docs = spark.createDataFrame([(1, " ".join(words)), (2, "nothing of it")], "doc_id long, text string")
+    parts = 80 * len(decontaminate.MASKS)
+    whole, dealt = decontaminate.overlaps(docs, bench), decontaminate.overlaps(docs, bench, block_rows=parts)
+    rows = sorted(map(tuple, whole.collect()))
+    assert rows == sorted(map(tuple, dealt.collect())) and [r[1] for r in rows] == list(range(41))
+    assert {r.item_id: r.n_hits for r in whole.collect()}[3] == rows[0][2] + rows[40][2]
+    # 1,050 tokens of items, 50 of them different: one block, and where there are several their tables are not in one plan.
+    assert "BroadcastExchange" in whole._jdf.queryExecution().executedPlan().toString()
+    several = decontaminate.overlaps(docs, bench, block_rows=25 * len(decontaminate.MASKS))
+    assert "xxhash64(0" in whole._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(0" in dealt._jdf.queryExecution().optimizedPlan().toString()
+    assert "xxhash64(0" not in several._jdf.queryExecution().optimizedPlan().toString()
+    assert sorted(map(tuple, several.collect())) == rows
